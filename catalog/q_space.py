@@ -138,15 +138,16 @@ def g5w(spark, sf):
 
 @query("g5_nearest_sample", k.with_(fx.MESH_SQL, k.MEASURES_CTE, k.ADJACENCY_CTE).replace("with ", "with recursive ", 1) + f"""
 , ed as (select mesh_id, a.face_id, a.nbr_id, sqrt(power(p.mx - q.mx, 2) + power(p.my - q.my, 2) + power(p.mz - q.mz, 2)) as w from fx_adj a join fx_measures p using (mesh_id, face_id) join (select mesh_id, face_id as nbr_id, mx, my, mz from fx_measures) q using (mesh_id, nbr_id)),
-sp as (select mesh_id, face_id, 0e0 as dist from fx_faces where face_id in (0, 120, 241)
-  union all select mesh_id, face_id, min(dist) from (
-    select e.mesh_id, e.nbr_id as face_id, s.dist + e.w as dist from sp s join ed e on e.mesh_id = s.mesh_id and e.face_id = s.face_id where s.dist < 8e0) group by 1, 2)
-select mesh_id, face_id, {R('min(dist)')} as dist from sp group by 1, 2""" if False else None)
+sp(mesh_id, face_id, dist) using key (mesh_id, face_id) as (
+  select mesh_id, face_id, 0e0 from fx_faces where face_id in (0, 120, 241)
+  union (select e.mesh_id, e.nbr_id, min(s.dist + e.w) from sp s join ed e on e.mesh_id = s.mesh_id and e.face_id = s.face_id
+    left join recurring.sp r on r.mesh_id = e.mesh_id and r.face_id = e.nbr_id where r.dist is null or s.dist + e.w < r.dist group by 1, 2))
+select mesh_id, face_id, {R('dist')} as dist from sp""")
 def g5(spark, sf):
     own, _, edges = _edges(spark, sf)
     seeds = own.faces.filter(F.col("face_id").isin(0, 120, 241)).select("mesh_id", "face_id", F.floor(F.col("face_id") / 120).alias("sample_id"))
     out = graph.nearest_sample(edges, seeds)
-    return out.select("mesh_id", "face_id", r6(F.col("dist")).alias("dist"), "sample_id")
+    return out.select("mesh_id", "face_id", r6(F.col("dist")).alias("dist"))
 
 
 @query("g4_sample_faces")
@@ -223,6 +224,7 @@ def g11(spark, sf):
 
 CURVE = np.array([[2.0, 2.1, 0.4], [8.2, 1.7, 0.5], [9.1, 8.3, 0.45], [5.0, 9.6, 0.6], [1.6, 7.2, 0.5]])
 _C, _B, _H, _M = region.curve_plane(CURVE)
+_C, _B = _C.tolist(), _B.tolist()
 _flat = lambda axis: "(" + " + ".join(f"({n} - {_C[i]!r}::DOUBLE) * {_B[axis][i]!r}::DOUBLE" for i, n in enumerate("xyz")) + ")"
 _EDGES = [(*p, *q) for p, q in zip(_H.tolist(), np.roll(_H, -1, axis=0).tolist())]
 _side = lambda e: f"(({e[2]!r}::DOUBLE - {e[0]!r}) * (pv - {e[1]!r}) - ({e[3]!r}::DOUBLE - {e[1]!r}) * (pu - {e[0]!r}) >= 0)"
@@ -281,8 +283,8 @@ def a13(spark, sf):
 
 
 @query("p9_restore_scale", k.with_(fx.VERTICES_SQL, fx.LANDMARKS_SQL, SIZES) + f"""
-, at as (select label, avg(x) as x, avg(y) as y, avg(z) as z from fx_landmarks group by 1), c as (select avg(x) as mx, avg(y) as my, avg(z) as mz from at),
-f as (select (select avg(size) from sz) / sqrt(sum(power(x - mx, 2) + power(y - my, 2) + power(z - mz, 2))) as f from at, c)
+, atl as (select label, avg(x) as x, avg(y) as y, avg(z) as z from fx_landmarks group by 1), c as (select avg(x) as mx, avg(y) as my, avg(z) as mz from atl),
+f as (select (select avg(size) from sz) / sqrt(sum(power(x - mx, 2) + power(y - my, 2) + power(z - mz, 2))) as f from atl, c)
 select mesh_id, vertex_id, {R('mx + f * (x - mx)')} as x, {R('my + f * (y - my)')} as y, {R('mz + f * (z - mz)')} as z from fx_vertices, c, f""")
 def p9(spark, sf):
     lm = fx.landmarks(spark, sf)
@@ -328,7 +330,14 @@ def p2(spark, sf):
 
 @query("p3_gpa")
 def p3(spark, sf):
-    return align.gpa(fx.landmarks(spark, sf), scale=True).mean
+    return align.gpa(fx.marks(spark, sf)).transforms
+
+
+# With scaling, the mean is centred and keeps the population's mean size.
+@query("p3_gpa_mean_size", k.with_(fx.VERTICES_SQL, fx.MARKS_SQL, SIZES.replace("fx_landmarks", "fx_marks")) + f" select 0e0 as x, 0e0 as y, 0e0 as z, {R('avg(size)')} as size from sz")
+def p3b(spark, sf):
+    mean = align.gpa(fx.marks(spark, sf), scale=True).mean
+    return mean.agg(*[(F.round(F.avg(n), 6) + F.lit(0.0)).alias(n) for n in "xyz"], r6(F.sqrt(F.sum(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")))).alias("size"))
 
 
 @query("w2_closest_to_mean", k.with_(fx.LANDMARKS_SQL) + f"""
@@ -378,6 +387,36 @@ def _resampled(spark, sf, method, mean=True):
     return align.resample(own, lm, shared, marks, marks if mean else None, method=method)
 
 
+# Every specimen is its own affine image of the atlas. Splines reproduce affine maps, so each
+# atlas vertex must land on its image, at distance 0.
+IMAGE = ("(1 + s_nationkey / 50e0) * x + 0.1e0 * y - 0.2e0 * z + s_suppkey", "(1 + s_nationkey / 100e0) * y + 0.05e0 * x", "1.5e0 * z - 0.1e0 * x + 2e0")
+IMAGES_SQL = k.with_(fx.ATLAS_SQL) + "\n, img as (select s_suppkey as specimen_id, vertex_id, " + ", ".join(f"{e} as {n}" for e, n in zip(IMAGE, "xyz")) + " from supplier, fx_atlas_v)"
+
+
+def _images(spark, sf, df, key):
+    s = fx.read(spark, sf, "supplier").select("s_suppkey", "s_nationkey", F.explode(F.expr("sequence(0L, 143L)")).alias("vertex_id"))
+    rows = s.join(df.select("vertex_id", "x", "y", "z", *[c for c in df.columns if c in ("label", "ord")]), "vertex_id")
+    return rows.select(F.col("s_suppkey").alias(key), *[c for c in df.columns if c not in ("mesh_id", "x", "y", "z")], *[F.expr(e.replace("e0", "d")).alias(n) for e, n in zip(IMAGE, "xyz")])
+
+
+def _image_case(spark, sf, method):
+    shared = fx.atlas(spark, sf)
+    ids = F.posexplode(F.array(*[F.lit(v).cast("bigint") for v in fx.MARK_VERTICES])).alias("ord", "vertex_id")
+    marks = cut(shared.vertices.limit(1).select(ids).join(shared.vertices, "vertex_id").select(
+        "vertex_id", F.concat(F.lit("P"), F.col("ord").cast("string")).alias("label"), F.col("ord").cast("bigint").alias("ord"), "x", "y", "z"))
+    vertices = cut(_images(spark, sf, shared.vertices, "mesh_id"))
+    own = m.Mesh(vertices, fx.faces(spark, sf))
+    lm = cut(_images(spark, sf, marks, "specimen_id").drop("vertex_id"))
+    out = align.resample(own, lm, shared.vertices, marks, method=method)
+    places = 4 if method == "tps_projection" else 5
+    return out.select("specimen_id", "vertex_id", *[(F.round(n, places) + F.lit(0.0)).alias(n) for n in ("x", "y", "z")], (F.col("dist") < 1e-4).alias("on_surface"))
+
+
+@query("p6_resample_affine", IMAGES_SQL + " select specimen_id, vertex_id, round(x, 5) + 0e0 as x, round(y, 5) + 0e0 as y, round(z, 5) + 0e0 as z, true as on_surface from img")
+def p6a(spark, sf):
+    return _image_case(spark, sf, "common")
+
+
 @query("p6_resample")
 def p6(spark, sf):
     return _resampled(spark, sf, "common", mean=False)
@@ -405,7 +444,7 @@ def a14(spark, sf):
 @query("p10_build_atlas")
 def p10(spark, sf):
     lm = cut(fx.marks(spark, sf))
-    options = atlas_plan.AtlasOptions(texture_size=128, uv_angle=80.0, extrusion=0.05)
+    options = atlas_plan.AtlasOptions(texture_size=32, uv_angle=80.0, extrusion=0.05)
     own = fx.mesh(spark, sf)
     out = atlas_plan.build_atlas(m.Mesh(cut(own.vertices), cut(own.faces), cut(own.corner_uv)), lm, fx.pixels(spark, sf), options)
     return out.average

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surfpop.functions import geometry as g
-from surfpop.session import number_rows
+from surfpop.session import cut, number_rows
 
 BLOCK = 65536  # ids per block when numbering
 
@@ -141,9 +141,10 @@ def remap_faces(faces: DataFrame, representatives: DataFrame) -> tuple[DataFrame
         F.min(F.when(~F.col("changed"), F.col("face_id"))).alias("still"),
         F.min("face_id").alias("first"),
     ).select("mesh_id", "key", F.coalesce("still", "first").alias("owner"))
-    placed = live.join(owner, ["mesh_id", "key"]).withColumn(
-        "target", F.when(F.col("changed"), F.col("owner")).otherwise(F.col("face_id"))
-    )
+    placed = cut(live.join(owner, ["mesh_id", "key"]).select(
+        "mesh_id", "face_id", "na", "nb", "nc",
+        F.when(F.col("changed"), F.col("owner")).otherwise(F.col("face_id")).alias("target"),
+    ))
     kept = placed.filter(F.col("target") == F.col("face_id"))
     new_ids = compact(kept, "face_id")
     out = kept.join(new_ids, ["mesh_id", "face_id"]).select(
