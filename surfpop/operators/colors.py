@@ -18,8 +18,7 @@ MOMENTS = ("mean_l", "std_l", "mean_c", "std_c")
 
 def to_lab(colors: DataFrame) -> DataFrame:
     """Adds L, a, b."""
-    lab = col.srgb_to_lab(F.col("r"), F.col("g"), F.col("b"))
-    return colors.withColumns(dict(zip(("L", "a", "b_"), lab)))
+    return col.with_lab(colors)
 
 
 def _lab_columns(colors: DataFrame) -> DataFrame:

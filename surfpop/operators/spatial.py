@@ -46,86 +46,104 @@ def morton(x, y, z, low, high):
     return code
 
 
+BOX = [f"{tag}{n}" for tag in ("lo", "hi") for n in "xyz"]
+
+
 class PackedBoxes:
-    """Item table with a packing position, and one box table per level."""
+    """Items with a packing position, and per level the boxes below each parent as one array.
+
+    ``levels[l]`` maps (mesh_id, _parent) to at most FAN boxes; ``top`` maps mesh_id to the
+    few boxes of the highest level.
+    """
 
     def __init__(self, items: DataFrame, corner_prefixes: tuple[str, ...], item_id: str):
-        lo = [F.least(*[F.col(p + n) for p in corner_prefixes]) if len(corner_prefixes) > 1 else F.col(corner_prefixes[0] + n) for n in "xyz"]
-        hi = [F.greatest(*[F.col(p + n) for p in corner_prefixes]) if len(corner_prefixes) > 1 else F.col(corner_prefixes[0] + n) for n in "xyz"]
-        per_mesh = items.groupBy("mesh_id").agg(
-            F.count(F.lit(1)).alias("n"), *[F.min(c).alias(f"lo{n}") for c, n in zip(lo, "xyz")],
-            *[F.max(c).alias(f"hi{n}") for c, n in zip(hi, "xyz")],
-        )
+        def extent(fn):
+            cols = [[F.col(p + n) for p in corner_prefixes] for n in "xyz"]
+            return [fn(*c) if len(c) > 1 else c[0] for c in cols]
+
+        lo, hi = extent(F.least), extent(F.greatest)
+        bounds = [F.min(c).alias(f"lo{n}") for c, n in zip(lo, "xyz")] + [F.max(c).alias(f"hi{n}") for c, n in zip(hi, "xyz")]
+        per_mesh = items.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n"), *bounds)
         row = per_mesh.agg(F.max("n"), *[F.min(f"lo{n}") for n in "xyz"], *[F.max(f"hi{n}") for n in "xyz"]).first()
         largest = row[0] or 0
         low, high = (row[1:4], row[4:7]) if largest else ((0.0,) * 3, (1.0,) * 3)
         centre = [(p + q) / 2.0 for p, q in zip(lo, hi)]
-        keyed = items.withColumn("_code", morton(*centre, low, high))
         order = ["mesh_id", "_code", item_id]
-        self.items = cut(
-            keyed.repartitionByRange(*order).sortWithinPartitions(*order)
-            .withColumn("_pos", F.monotonically_increasing_id()).drop("_code")
-        ).withColumn("_node", F.floor(F.col("_pos") / FAN).cast("bigint"))
+        sorted_items = cut(
+            items.withColumn("_code", morton(*centre, low, high))
+            .repartitionByRange(*order).sortWithinPartitions(*order)
+            .withColumn("_at", F.monotonically_increasing_id()).drop("_code")
+        ).withColumn("_part", F.shiftright("_at", 33))
+        # Close the gaps between partitions: one small row per partition.
+        before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sorted_items.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).select(
+            "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start")
+        )
+        row_in_part = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+        self.items = sorted_items.join(starts, "_part").withColumn(
+            "_node", F.floor((F.col("_start") + row_in_part) / FAN).cast("bigint")
+        ).drop("_at", "_part", "_start")
         self.depth = max(1, math.ceil(math.log(max(largest / FAN, 1.0), FAN) - 1e-9))
         first = corner_prefixes[0]
-        boxes = self.items.groupBy("mesh_id", "_node").agg(
-            *[F.min(c).alias(f"lo{n}") for c, n in zip(lo, "xyz")],
-            *[F.max(c).alias(f"hi{n}") for c, n in zip(hi, "xyz")],
-            F.min(F.struct(F.col("_pos"), *[F.col(first + n).alias(n) for n in "xyz"])).alias("rep"),
-        )
-        self.levels = {1: cut(boxes)}
-        for level in range(2, self.depth + 1):
-            below = self.levels[level - 1]
-            self.levels[level] = cut(
-                below.withColumn("_node", F.floor(F.col("_node") / FAN).cast("bigint"))
-                .groupBy("mesh_id", "_node").agg(
-                    *[F.min(f"lo{n}").alias(f"lo{n}") for n in "xyz"],
-                    *[F.max(f"hi{n}").alias(f"hi{n}") for n in "xyz"], F.min("rep").alias("rep"),
-                )
-            )
-
-    def children(self, level: int) -> DataFrame:
-        return self.levels[level].withColumn("_parent", F.floor(F.col("_node") / FAN).cast("bigint"))
+        boxes = cut(self.items.groupBy("mesh_id", "_node").agg(
+            *bounds, F.min(F.struct(F.col(item_id).alias("id"), *[F.col(first + n).alias(n) for n in "xyz"])).alias("rep")
+        ))
+        self.levels = {}
+        for level in range(1, self.depth + 1):
+            packed = F.collect_list(F.struct("_node", *BOX, *[F.col(f"rep.{n}").alias(f"r{n}") for n in "xyz"])).alias("_boxes")
+            if level == self.depth:
+                self.top = boxes.groupBy("mesh_id").agg(packed)
+                break
+            parent = F.floor(F.col("_node") / FAN).cast("bigint")
+            self.levels[level] = boxes.withColumn("_parent", parent).groupBy("mesh_id", "_parent").agg(packed)
+            boxes = cut(boxes.withColumn("_node", parent).groupBy("mesh_id", "_node").agg(
+                *[F.min(f"lo{n}").alias(f"lo{n}") for n in "xyz"], *[F.max(f"hi{n}").alias(f"hi{n}") for n in "xyz"], F.min("rep").alias("rep")
+            ))
 
 
 def _sum_squares(values):
     return reduce(lambda p, q: p + q, [v * v for v in values])
 
 
-def _box_gap2(p):
-    """Squared distance from a point to the box in columns lo*/hi*."""
-    return _sum_squares([
-        F.greatest(F.col(f"lo{n}") - c, c - F.col(f"hi{n}"), F.lit(0.0)) for c, n in zip(p, "xyz")
-    ])
-
-
 def _walk(points: DataFrame, tree: PackedBoxes) -> DataFrame:
     """(points columns, _q, _node): the lowest boxes that may hold the nearest item.
 
+    Boxes travel as arrays of at most FAN, so a level costs one row per kept parent.
     ``_q`` names a query in one column. Pruning groups by it alone, so Spark reshuffles by
     query instead of keeping the join's mesh-wise layout with a hot mesh in one task.
     """
     query = points.columns
     p = g.vec("q")
-    state = points.withColumn("_q", F.struct("mesh_id", "query_id"))
 
-    def prune(df):
-        rep = [F.col(f"rep.{n}") - c for c, n in zip(p, "xyz")]
-        scored = df.withColumn("_lb", _box_gap2(p)).withColumn("_ub", _sum_squares(rep))
-        best = F.min("_ub").over(Window.partitionBy("_q"))
-        return (
-            scored.withColumn("_best", best).filter(F.col("_lb") <= F.col("_best") * SLACK)
-            .select(*query, "_q", "_node")
-        )
+    def score(df):
+        """Lower and upper bound of the squared distance for every box of the row."""
+        return df.select(*query, "_q", F.transform("_boxes", lambda b: F.struct(
+            b["_node"].alias("node"),
+            _sum_squares([F.greatest(b[f"lo{n}"] - c, c - b[f"hi{n}"], F.lit(0.0)) for c, n in zip(p, "xyz")]).alias("lb"),
+            _sum_squares([b[f"r{n}"] - c for c, n in zip(p, "xyz")]).alias("ub"),
+        )).alias("_s"))
+
+    def keep(df):
+        return df.select(*query, "_q", F.explode(
+            F.filter("_s", lambda b: b["lb"] <= F.col("_best") * SLACK)
+        ).alias("_b"), "_best").select(*query, "_q", "_best", F.col("_b.node").alias("_node"))
 
-    state = prune(spread_join(state, tree.levels[tree.depth], ["mesh_id"], ["_q"], SALTS))
+    nearest = F.array_min(F.transform("_s", lambda b: b["ub"]))
+    state = points.withColumn("_q", F.struct("mesh_id", "query_id"))
+    state = score(spread_join(state, tree.top, ["mesh_id"], ["_q"], SALTS, heavy=True))
+    state = keep(state.withColumn("_best", nearest))
     for level in range(tree.depth - 1, 0, -1):
-        state = prune(
-            state.withColumnRenamed("_node", "_parent").join(tree.children(level), ["mesh_id", "_parent"])
-        )
+        state = score(state.withColumnRenamed("_node", "_parent").join(tree.levels[level], ["mesh_id", "_parent"]))
+        state = keep(state.withColumn("_best", F.min(nearest).over(Window.partitionBy("_q"))))
     return state
 
 
+def _only(df: DataFrame, condition) -> DataFrame:
+    """Filter on computed columns where they are: the row number keeps the optimizer from
+    copying their expressions down into the join."""
+    return df.withColumn("_row", F.monotonically_increasing_id()).filter(condition & (F.col("_row") >= 0)).drop("_row")
+
+
 def nearest_on_surface(points: DataFrame, tri: DataFrame) -> DataFrame:
     """Closest surface point of the query's own mesh, exact.
 
@@ -133,10 +151,14 @@ def nearest_on_surface(points: DataFrame, tri: DataFrame) -> DataFrame:
     (mesh_id, query_id, face_id, px, py, pz, d2); the smaller face id wins a tie.
     """
     tree = PackedBoxes(tri, ("a", "b", "c"), "face_id")
-    cand = _walk(points, tree).join(tree.items, ["mesh_id", "_node"])
-    scored = g.with_closest_point(cand, ["_q", "face_id"])
+    corner = lambda fn, n: fn(*[F.col(f"{c}{n}") for c in "abc"])
+    gap = [F.greatest(corner(F.least, n) - q, q - corner(F.greatest, n), F.lit(0.0)) for q, n in zip(g.vec("q"), "xyz")]
+    # The box around a triangle rules most of them out before the exact distance is taken.
+    cand = _walk(points, tree).join(tree.items, ["mesh_id", "_node"]).filter(_sum_squares(gap) <= F.col("_best") * SLACK)
+    scored = g.with_closest_point(cand, ["_q", "_best", "face_id"])
     d2 = _sum_squares([F.col(f"p{n}") - F.col(f"q{n}") for n in "xyz"])
-    best = scored.groupBy("_q").agg(F.min(F.struct(d2.alias("d2"), F.col("face_id"), *g.vec("p"))).alias("s"))
+    near = _only(scored.select("_q", "_best", "face_id", *g.vec("p"), d2.alias("d2")), F.col("d2") <= F.col("_best") * SLACK)
+    best = near.groupBy("_q").agg(F.min(F.struct(F.col("d2"), F.col("face_id"), *g.vec("p"))).alias("s"))
     return best.select("_q.mesh_id", "_q.query_id", "s.face_id", "s.px", "s.py", "s.pz", "s.d2")
 
 
@@ -145,23 +167,22 @@ def nearest_vertex(points: DataFrame, vertices: DataFrame) -> DataFrame:
     tree = PackedBoxes(vertices.select("mesh_id", "vertex_id", "x", "y", "z"), ("",), "vertex_id")
     cand = _walk(points, tree).join(tree.items, ["mesh_id", "_node"])
     d2 = _sum_squares([F.col(n) - F.col(f"q{n}") for n in "xyz"])
-    best = cand.groupBy("_q").agg(F.min(F.struct(d2.alias("d2"), F.col("vertex_id"))).alias("s"))
+    near = _only(cand.select("_q", "_best", "vertex_id", d2.alias("d2")), F.col("d2") <= F.col("_best") * SLACK)
+    best = near.groupBy("_q").agg(F.min(F.struct("d2", "vertex_id")).alias("s"))
     return best.select("_q.mesh_id", "_q.query_id", "s.vertex_id", "s.d2")
 
 
-def _slab_hit(p, d, limit):
-    """Whether a ray meets the box in columns lo*/hi*, grown by rounding."""
+def _slab_hit(p, d, inverse, limit, b):
+    """Whether a ray meets box ``b``, grown by rounding. ``inverse`` is NULL where d is 0."""
     enter, leave = F.lit(0.0), limit
     inside = F.lit(True)
-    for c, v, n in zip(p, d, "xyz"):
-        pad = (F.abs(F.col(f"lo{n}")) + F.abs(F.col(f"hi{n}")) + F.abs(c)) * 1e-9
-        lo, hi = F.col(f"lo{n}") - pad, F.col(f"hi{n}") + pad
-        moves = v != 0.0
-        t0 = F.when(moves, (lo - c) / v)
-        t1 = F.when(moves, (hi - c) / v)
+    for c, v, w, n in zip(p, d, inverse, "xyz"):
+        pad = (F.abs(b[f"lo{n}"]) + F.abs(b[f"hi{n}"]) + F.abs(c)) * 1e-9
+        lo, hi = b[f"lo{n}"] - pad, b[f"hi{n}"] + pad
+        t0, t1 = (lo - c) * w, (hi - c) * w
         enter = F.greatest(enter, F.least(t0, t1))  # NULLs are skipped by both
         leave = F.least(leave, F.greatest(t0, t1))
-        inside = inside & (moves | ((c >= lo) & (c <= hi)))
+        inside = inside & ((v != 0.0) | ((c >= lo) & (c <= hi)))
     return inside & (enter <= leave)
 
 
@@ -172,32 +193,35 @@ def ray_hits(rays: DataFrame, tri: DataFrame, max_dist: float = 0.0) -> DataFram
     than ``max_dist``; 0 means no limit. Edges count as hit.
     """
     tree = PackedBoxes(tri, ("a", "b", "c"), "face_id")
-    p, d = g.vec("q"), g.vec("d")
+    p, d, inverse = g.vec("q"), g.vec("d"), g.vec("i")
     limit = F.lit(float(max_dist) if max_dist else float("inf"))
-    query = rays.columns
-    state = rays.withColumn("_q", F.struct("mesh_id", "query_id"))
-    state = spread_join(state, tree.levels[tree.depth], ["mesh_id"], ["_q"], SALTS)
-    state = state.filter(_slab_hit(p, d, limit)).select(*query, "_q", "_node")
+    state = rays.select(*rays.columns, F.struct("mesh_id", "query_id").alias("_q"), *[
+        F.when(v != 0.0, F.lit(1.0) / v).alias(f"i{n}") for v, n in zip(d, "xyz")
+    ])
+    query = state.columns
+
+    def keep(df):
+        met = F.filter("_boxes", lambda b: _slab_hit(p, d, inverse, limit, b))
+        return df.select(*query, F.explode(F.transform(met, lambda b: b["_node"])).alias("_node"))
+
+    state = keep(spread_join(state, tree.top, ["mesh_id"], ["_q"], SALTS, heavy=True))
     for level in range(tree.depth - 1, 0, -1):
-        state = (
-            state.withColumnRenamed("_node", "_parent").join(tree.children(level), ["mesh_id", "_parent"])
-            .filter(_slab_hit(p, d, limit)).select(*query, "_q", "_node")
-        )
+        state = keep(state.withColumnRenamed("_node", "_parent").join(tree.levels[level], ["mesh_id", "_parent"]))
     cand = state.join(tree.items, ["mesh_id", "_node"])
+    # The usual determinant test, one step per projection so that no term is computed twice.
     a, b, c = g.vec("a"), g.vec("b"), g.vec("c")
-    e1, e2 = g.sub(b, a), g.sub(c, a)
-    h = g.cross(d, e2)
-    det = g.dot(e1, h)
-    s = g.sub(p, a)
-    inv = F.when(det != 0.0, F.lit(1.0) / det)
-    u = g.dot(s, h) * inv
-    q = g.cross(s, e1)
-    v = g.dot(d, q) * inv
-    t = g.dot(e2, q) * inv
-    hit = (u >= 0.0) & (v >= 0.0) & (u + v <= 1.0) & (t >= 0.0) & (t < limit)
-    best = cand.withColumn("_t", F.when(hit, t)).filter("_t IS NOT NULL").groupBy("_q").agg(
-        F.min(F.struct(F.col("_t").alias("t"), F.col("face_id"),
-                       *[(p[i] + d[i] * F.col("_t")).alias(f"p{n}") for i, n in enumerate("xyz")])).alias("s")
+    base = ["_q", "face_id", *p, *d]
+    named = lambda vs, name: [v.alias(f"{name}{n}") for v, n in zip(vs, "xyz")]
+    out = cand.select(*base, *named(g.sub(b, a), "e"), *named(g.sub(c, a), "f"), *named(g.sub(p, a), "s"))
+    e1, e2, s = g.vec("e"), g.vec("f"), g.vec("s")
+    out = out.select("*", *named(g.cross(d, e2), "h"), *named(g.cross(s, e1), "k"))
+    h, q = g.vec("h"), g.vec("k")
+    out = out.select(*base, g.dot(e1, h).alias("det"), g.dot(s, h).alias("u"), g.dot(d, q).alias("v"), g.dot(e2, q).alias("t"))
+    det = F.nullif(F.col("det"), F.lit(0.0))
+    out = out.select(*base, *[(F.col(n) / det).alias(n) for n in "uvt"])
+    hit = (F.col("u") >= 0.0) & (F.col("v") >= 0.0) & (F.col("u") + F.col("v") <= 1.0) & (F.col("t") >= 0.0) & (F.col("t") < limit)
+    best = _only(out, hit).groupBy("_q").agg(
+        F.min(F.struct(F.col("t"), F.col("face_id"), *[(p[i] + d[i] * F.col("t")).alias(f"p{n}") for i, n in enumerate("xyz")])).alias("s")
     )
     return best.select("_q.mesh_id", "_q.query_id", "s.face_id", "s.t", "s.px", "s.py", "s.pz")
 

@@ -80,14 +80,26 @@ def number_rows(df: DataFrame, group: list[str], block: str, order: list, out: s
     )
 
 
+def wide_parts(spark: SparkSession) -> int:
+    """Partition count for work that is heavy per row rather than per byte.
+
+    Adaptive coalescing goes by bytes and would put a few megabytes of queries, each
+    worth thousands of operations, into one task; a fixed count is left alone.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
 def spread_join(big: DataFrame, small: DataFrame, on: list[str], salt_by: list[str], salts: int = 16,
-                how: str = "inner") -> DataFrame:
+                how: str = "inner", heavy: bool = False) -> DataFrame:
     """Equi-join where one key may hold a large share of ``big``.
 
     ``small`` has few rows per key. Each key is split into ``salts`` keys, chosen on the
-    big side by a hash of ``salt_by``, so no single task receives a whole hot key.
+    big side by a hash of ``salt_by``, so no single task receives a whole hot key. ``heavy`` fixes the number of tasks for
+    costly work on the joined rows; the join itself uses the same layout.
     """
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
+    if heavy:
+        left = left.repartition(wide_parts(big.sparkSession), *on, "_salt")
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
