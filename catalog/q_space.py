@@ -309,10 +309,7 @@ def p1c(spark, sf):
 @query("p1_procrustes_recovers", k.with_(fx.LANDMARKS_SQL) + f" select specimen_id, label, {R('x')} as x, {R('y')} as y, {R('z')} as z from fx_landmarks")
 def p1(spark, sf):
     lm = cut(fx.landmarks(spark, sf))
-    first = lm.agg(F.min("specimen_id")).scalar()
-    target = lm.filter(F.col("specimen_id") == first)
     turned = lm.select("specimen_id", "label", "ord", ((F.col("x") * 0.6 - F.col("y") * 0.8) * 2 + 1).alias("x"), ((F.col("x") * 0.8 + F.col("y") * 0.6) * 2 - 3).alias("y"), (F.col("z") * 2 + 0.5).alias("z"))
-    pairs = lm.join(target.select("label", *[F.col(n).alias(f"o{n}") for n in "xyz"]), "label")
     # Fit every turned specimen to its own original by naming the pair in the label.
     own = lambda df: df.withColumn("label", F.concat(F.col("specimen_id").cast("string"), F.lit("/"), F.col("label")))
     fits = align.procrustes(own(turned), own(lm), scale=True)

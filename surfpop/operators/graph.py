@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surfpop.operators import mesh as m
-from surfpop.session import cut
+from surfpop.session import cut, spread_join
 
 
 def face_edges(faces: DataFrame) -> DataFrame:
@@ -57,9 +57,13 @@ def components(faces: DataFrame, links: DataFrame, max_rounds: int = 200) -> Dat
                 F.least("component", F.coalesce("low", "component")).alias("component"),
             )
         )
-        # The label of a label: look up only the distinct labels in use.
-        roots = hooked.select("mesh_id", F.col("face_id").alias("component"), F.col("component").alias("root"))
-        jumped = hooked.join(roots, ["mesh_id", "component"]).select(
+        # The label of a label. Late rounds have few labels with very many faces each, so only
+        # labels in use are looked up and a crowded label is split over several tasks.
+        used = hooked.select("mesh_id", "component").distinct()
+        roots = hooked.select("mesh_id", F.col("face_id").alias("component"), F.col("component").alias("root")).join(
+            used, ["mesh_id", "component"], "left_semi"
+        )
+        jumped = spread_join(hooked, roots, ["mesh_id", "component"], ["face_id"], salts=8).select(
             "mesh_id", "face_id", "old", F.col("root").alias("component")
         )
         labels = cut(jumped)
@@ -239,4 +243,3 @@ def smooth(colors: DataFrame, measures: DataFrame, adj: DataFrame, steps: int,
     if steps == 0 and sample_ids is not None:
         out = out.join(sample_ids.select("face_id"), "face_id", "left_semi")
     return out
-

@@ -124,14 +124,16 @@ def _walk(points: DataFrame, tree: PackedBoxes) -> DataFrame:
         )).alias("_s"))
 
     def keep(df):
+        # The row number keeps the bound a column: inlined, it would be taken anew for every box.
+        df = df.withColumn("_row", F.monotonically_increasing_id())
         return df.select(*query, "_q", F.explode(
-            F.filter("_s", lambda b: b["lb"] <= F.col("_best") * SLACK)
+            F.filter("_s", lambda b: (b["lb"] <= F.col("_best") * SLACK) & (F.col("_row") >= 0))
         ).alias("_b"), "_best").select(*query, "_q", "_best", F.col("_b.node").alias("_node"))
 
     nearest = F.array_min(F.transform("_s", lambda b: b["ub"]))
     state = points.withColumn("_q", F.struct("mesh_id", "query_id"))
     state = score(spread_join(state, tree.top, ["mesh_id"], ["_q"], SALTS, heavy=True))
-    state = keep(state.withColumn("_best", nearest))
+    state = keep(state.select(*query, "_q", "_s", nearest.alias("_best")))
     for level in range(tree.depth - 1, 0, -1):
         state = score(state.withColumnRenamed("_node", "_parent").join(tree.levels[level], ["mesh_id", "_parent"]))
         state = keep(state.withColumn("_best", F.min(nearest).over(Window.partitionBy("_q"))))
@@ -154,7 +156,8 @@ def nearest_on_surface(points: DataFrame, tri: DataFrame) -> DataFrame:
     corner = lambda fn, n: fn(*[F.col(f"{c}{n}") for c in "abc"])
     gap = [F.greatest(corner(F.least, n) - q, q - corner(F.greatest, n), F.lit(0.0)) for q, n in zip(g.vec("q"), "xyz")]
     # The box around a triangle rules most of them out before the exact distance is taken.
-    cand = _walk(points, tree).join(tree.items, ["mesh_id", "_node"]).filter(_sum_squares(gap) <= F.col("_best") * SLACK)
+    cand = _walk(points, tree).join(tree.items, ["mesh_id", "_node"]).withColumn("_gap", _sum_squares(gap))
+    cand = _only(cand, F.col("_gap") <= F.col("_best") * SLACK)
     scored = g.with_closest_point(cand, ["_q", "_best", "face_id"])
     d2 = _sum_squares([F.col(f"p{n}") - F.col(f"q{n}") for n in "xyz"])
     near = _only(scored.select("_q", "_best", "face_id", *g.vec("p"), d2.alias("d2")), F.col("d2") <= F.col("_best") * SLACK)

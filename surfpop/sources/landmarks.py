@@ -53,7 +53,6 @@ def _table_points(files: DataFrame) -> DataFrame:
         "specimen_id", "kind", F.filter(F.split("text", "\r\n|\r|\n"), lambda s: F.trim(s) != "").alias("rows")
     )
     fcsv = F.col("kind") == "fcsv"
-    after = lambda tag: F.element_at(F.filter("rows", lambda s: s.startswith(tag)), -1)
     value = lambda line: F.trim(F.regexp_replace(line, "^[^=]*=", ""))
     tagged = lambda tag: F.when(F.exists("rows", lambda s: s.startswith(tag)), value(F.try_element_at(F.filter("rows", lambda s: s.startswith(tag)), F.lit(-1))))
     head = text.select(
