@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from surfpop.functions import color as col
 from surfpop.operators import checks, graph, texture
-from surfpop.session import spread_join
+from surfpop.session import cut, spread_join
 
 MOMENTS = ("mean_l", "std_l", "mean_c", "std_c")
 
@@ -61,6 +61,7 @@ def pooled_moments(moments: DataFrame) -> DataFrame:
     Within and between spread are added about the pooled mean, so new specimens only
     need their own row.
     """
+    moments = cut(moments)  # one row per specimen, read once per statistic below
     n = F.col("n").cast("double")
     means = moments.agg(
         F.sum("n").alias("n"), *[(F.sum(F.col(f"mean_{c}") * n) / F.sum(n)).alias(f"mean_{c}") for c in "lc"]
@@ -77,8 +78,8 @@ def pooled_moments(moments: DataFrame) -> DataFrame:
 
 def normalization_stats(colors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(per specimen, pooled); every specimen needs at least one valid sample."""
-    moments = color_moments(colors)
-    return moments, pooled_moments(moments)
+    moments = cut(color_moments(colors))
+    return moments, cut(pooled_moments(moments))
 
 
 def normalize(colors: DataFrame, moments: DataFrame, pooled: DataFrame, norm_l: bool = True,
