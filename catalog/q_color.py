@@ -132,12 +132,12 @@ def c2(spark, sf):
     return _rounded(per.unionByName(pooled.withColumn("specimen_id", F.lit(None).cast("bigint"))))
 
 
-@query("v15_stale_stats", MOMENTS + " select specimen_id from mom where specimen_id in (select l_suppkey from lineitem where l_tax > 0.075e0 group by 1 having count(*) > 60)")
+@query("v15_stale_stats", MOMENTS + " select specimen_id from mom where specimen_id in (select l_suppkey from lineitem where l_tax > 0.075e0 group by 1 having count(*) > 37)")
 def v15(spark, sf):
     li = fx.read(spark, sf, "lineitem")
     own = cut(colors.color_moments(fx.samples(spark, sf)))
     moved = li.filter("l_tax > 0.075d").groupBy(F.col("l_suppkey").alias("specimen_id")).agg(F.count(F.lit(1)).alias("k"))
-    stored = own.join(moved, "specimen_id").withColumn("mean_l", F.when(F.col("k") > 60, F.col("mean_l") * 1.001).otherwise(F.col("mean_l") * (1 + 1e-9))).drop("k")
+    stored = own.join(moved, "specimen_id").withColumn("mean_l", F.when(F.col("k") > 37, F.col("mean_l") * 1.001).otherwise(F.col("mean_l") * (1 + 1e-9))).drop("k")
     return checks.stale_stats(stored, own)
 
 
