@@ -1,10 +1,10 @@
 """Benchmark decontamination: documents that hold windows of benchmark items.
 
 Items and documents are cut into words; an item gives its windows of 10 words, or itself where it is
-shorter. The windows' hashes are a broadcast set that the scan of all document windows probes where the
-text is read; a match is verified by comparing the words, still in the same task, so document text is
-never shuffled. The set is broadcast in blocks of at most ``block_windows`` windows; a larger benchmark
-takes one scan per block. DataFrame functions only.
+shorter. The windows' hashes are one set of bounded size that goes out with the tasks and is probed where
+a document's text is read; the words of each match stay with the row and are verified by a broadcast
+join. Document text is never shuffled. More than ``SET_WINDOWS`` windows are taken in blocks of that
+size, one scan each. DataFrame functions only.
 
 Defined results: null and empty texts have no words and no hits. Items without words have no window.
 Items with equal ids count once. Rows that share a document id are judged each by its own text. A null
@@ -17,22 +17,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surfpop.llm.common import ascii_lower, id_of, query, replace_text, table
+from surfpop.llm.common import NO_ID, ascii_lower, id_of, query, replace_text, table
+from surfpop.session import cut
 
-#: The word pattern of the contract, after lower-casing and before it; fixed values.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What parts words after lower-casing, and words before it, by the contract's pattern; fixed values.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
-BLOCK_WINDOWS = 1_000_000
+SET_WINDOWS = 50_000
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP, -1), "")
 
 
-def run_hash(hashes: str, at: str | int, length: int) -> Column:
-    """Hash of the ``length`` words from a place on, from the words' hashes."""
-    return F.xxhash64(*[F.get(hashes, (F.col(at) if isinstance(at, str) else F.lit(at)) + k) for k in range(length)])
+def run_hash(length: int) -> str:
+    """Hash of the ``length`` words from place i on, from the array _hs of the words' hashes."""
+    return f"xxhash64({', '.join(f'get(_hs, i + {k})' for k in range(length))})"
 
 
 def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -48,45 +49,46 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text",
         F.first("_run").alias("_run"), F.collect_set("_item").alias("_items"))
 
 
-def hashed_windows(items: DataFrame, item_id: str, text: str, window: int) -> tuple[DataFrame, list[int], int]:
-    rows = item_windows(items, item_id, text, window)
-    counts = rows.groupBy("_len").count().collect()  # at most `window` rows
-    hashed = F.expr("transform(_run, w -> xxhash64(w))")
-    keyed = None
-    for length in sorted(r["_len"] for r in counts):
-        part = rows.where(F.col("_len") == length).withColumn("_hs", hashed).withColumn(
-            "_hash", run_hash("_hs", 0, length))
-        part = part.select("_len", "_window", "_items", "_hash")
-        keyed = part if keyed is None else keyed.unionByName(part)
-    return keyed, sorted(r["_len"] for r in counts), sum(r["count"] for r in counts)
-
-
-def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-         item_text: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame | None:
-    """(_doc, _row, _at, _len, _items): verified places of item windows; None if the items have no words."""
-    keyed, lengths, n = hashed_windows(items, item_id, item_text, window)
-    if not lengths:
-        return None
-    scanned = (
+def scan(docs: DataFrame, doc_id: str, text: str, sets: dict[int, list[int]]) -> DataFrame:
+    """(_doc, _row, _n, _runs): word count of each text and its runs of words whose hash is in the set of their length."""
+    probes = [
+        f"transform(filter(sequence(0, greatest(size(_hs) - {n}, 0)), i -> i + {n} <= size(_hs) and {run_hash(n)} in "
+        f"({', '.join(f'{h}L' if h != -(2**63) else 'cast(-9223372036854775808 as bigint)' for h in sorted(hashes))})), "
+        f"i -> struct(i as at, {n} as len, array_join(slice(_words, i + 1, {n}), ' ') as run))"
+        for n, hashes in sets.items()
+    ]
+    return (
         docs.select(id_of(doc_id).alias("_doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_row"), words(F.col(text)).alias("_words"))
         .withColumn("_hs", F.expr("transform(_words, w -> xxhash64(w))"))
+        .select("_doc", "_row", F.size("_words").cast("bigint").alias("_n"), F.expr(f"concat({', '.join(probes)})").alias("_runs"))
     )
-    places = scanned.select("_doc", "_row", "_words", "_hs", F.posexplode("_hs").alias("_at", "_first"))
-    runs = F.array(*[F.struct(F.lit(x).alias("len"), run_hash("_hs", "_at", x).alias("hash")) for x in lengths])
-    probes = (
-        places.select("_doc", "_row", "_words", "_at", F.explode(runs).alias("_run"))
-        .where(F.col("_at") + F.col("_run.len") <= F.size("_words"))
-        .select("_doc", "_row", "_words", "_at", F.col("_run.len").alias("_len"), F.col("_run.hash").alias("_hash"))
-    )
-    blocks = -(-n // block_windows)
-    found = None
+
+
+def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
+            item_text: str = "text", window: int = WINDOW, set_windows: int = SET_WINDOWS) -> tuple[DataFrame, DataFrame] | None:
+    """Per text (_doc, _row, _n), and the verified (_doc, _row, _at, _len, _items); None if the items have no words."""
+    keyed = cut(item_windows(items, item_id, item_text, window).withColumn("_hs", F.expr("transform(_run, w -> xxhash64(w))")).withColumn(
+        "_hash", F.expr("case _len " + " ".join(f"when {n} then {run_hash(n).replace('i + ', '')}" for n in range(1, window + 1)) + " end")
+    ).select("_len", "_hash", "_window", "_items"))
+    n = keyed.count()
+    blocks = -(-n // set_windows)
+    texts = found = None
     for block in range(blocks):
-        chosen = keyed if blocks == 1 else keyed.where(F.pmod("_hash", F.lit(blocks)) == block)
-        part = probes.join(F.broadcast(chosen), ["_hash", "_len"]).where(
-            F.array_join(F.slice("_words", F.col("_at") + 1, F.col("_len")), " ") == F.col("_window"))
-        part = part.select("_doc", "_row", "_at", "_len", "_items")
+        chosen = keyed.where(F.pmod("_hash", F.lit(blocks)) == block)
+        sets: dict[int, list[int]] = {}
+        for r in chosen.select("_len", "_hash").distinct().collect():  # about set_windows rows
+            sets.setdefault(r["_len"], []).append(r["_hash"])
+        if not sets:
+            continue
+        scanned = cut(scan(docs, doc_id, text, sets))
+        texts = texts or scanned.select("_doc", "_row", "_n")
+        part = (
+            scanned.where(F.size("_runs") > 0).select("_doc", "_row", F.inline("_runs").alias("_at", "_len", "_window"))
+            .join(F.broadcast(chosen.select("_window", "_items")), "_window")
+            .select("_doc", "_row", "_at", "_len", "_items")
+        )
         found = part if found is None else found.unionByName(part)
-    return found
+    return (texts, found) if blocks else None
 
 
 def covered(places: Column) -> Column:
@@ -95,24 +97,21 @@ def covered(places: Column) -> Column:
 
 
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The columns of ``docs``, then struct ``_leak``: n_words, hit (word positions from 0), items (sorted as strings)."""
-    row = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    found = hits(docs, items, doc_id, text, **how)
-    n_words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD_ANY_CASE)).cast("bigint")
+    """One row per text (_doc, _row): _n words, _hit (hit word positions from 0) and _names (items, sorted as strings)."""
     none = F.array().cast("array<int>"), F.array().cast("array<string>")
-    if found is None:
-        return docs.withColumn("_leak", F.struct(n_words.alias("n_words"), none[0].alias("hit"), none[1].alias("items")))
-    per_doc = (
-        found.groupBy(F.col("_doc").alias("_doc_of_hit"), F.col("_row").alias("_row_of_hit"))
+    got = matches(docs, items, doc_id, text, **how)
+    if got is None:
+        return docs.select(id_of(doc_id).alias("_doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_row"),
+                           F.size(words(F.col(text))).cast("bigint").alias("_n"), none[0].alias("_hit"), none[1].alias("_names"))
+    texts, found = got
+    per_text = (
+        found.groupBy("_doc", "_row")
         .agg(F.collect_set(F.struct("_at", "_len")).alias("_places"), F.collect_set("_items").alias("_lists"))
-        .select("_doc_of_hit", "_row_of_hit", covered(F.col("_places")).alias("_hit"),
+        .select("_doc", "_row", covered(F.col("_places")).alias("_hit"),
                 F.array_sort(F.transform(F.array_distinct(F.flatten("_lists")), lambda i: i.cast("string"))).alias("_names"))
     )
-    joined = docs.withColumn("_n_words", n_words).join(
-        per_doc, (id_of(doc_id) == F.col("_doc_of_hit")) & (row == F.col("_row_of_hit")), "left")
-    return joined.withColumn("_leak", F.struct(
-        F.col("_n_words").alias("n_words"), F.coalesce("_hit", none[0]).alias("hit"), F.coalesce("_names", none[1]).alias("items"),
-    )).drop("_n_words", "_doc_of_hit", "_row_of_hit", "_hit", "_names")
+    return texts.join(per_text, ["_doc", "_row"], "left").withColumns(
+        {"_hit": F.coalesce("_hit", none[0]), "_names": F.coalesce("_names", none[1])})
 
 
 def remove_hits(text: Column, hit: Column) -> Column:
@@ -130,15 +129,21 @@ def remove_hits(text: Column, hit: Column) -> Column:
     return F.when(F.size(hit) == 0, text).otherwise(rebuilt)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "documents", text: str = "text", **how) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "documents", doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The columns of ``docs``: contaminated documents go, or with ``remove="spans"`` only their hit words."""
-    judged = contamination(docs, items, text=text, **how)
-    if remove == "documents":
-        return judged.where(F.size("_leak.hit") == 0).drop("_leak")
-    if remove != "spans":
+    if remove not in ("documents", "spans"):
         raise ValueError("remove is documents or spans")
-    return replace_text(judged, text, F.when(F.size("_leak.hit") == 0, F.col(text)).otherwise(
-        remove_hits(F.col(text), F.col("_leak.hit")))).drop("_leak")
+    bad = (
+        contamination(docs, items, doc_id, text, **how).where(F.size("_hit") > 0)
+        .select(F.col("_doc").alias("_bad_doc"), F.col("_row").alias("_bad_row"), F.col("_hit").alias("_bad_hit"))
+        .dropDuplicates(["_bad_doc", "_bad_row"])
+    )
+    same = (id_of(doc_id) == F.col("_bad_doc")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_bad_row"))
+    if remove == "documents":
+        return docs.join(bad, same, "left_anti")
+    joined = docs.join(bad, same, "left")
+    return replace_text(joined, text, F.when(F.col("_bad_hit").isNull(), F.col(text)).otherwise(
+        remove_hits(F.col(text), F.col("_bad_hit")))).drop("_bad_doc", "_bad_row", "_bad_hit")
 
 
 @query("op5_benchmark_decontamination", r"""
@@ -166,6 +171,6 @@ def op5_benchmark_decontamination(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = contamination(docs, table(spark, sf_dir, "benchmark"))
     return judged.select(
-        "doc_id", "_leak.n_words", F.size("_leak.hit").cast("bigint").alias("n_hit"),
-        F.size("_leak.items").cast("bigint").alias("n_items"),
-        F.sha2(F.array_join("_leak.items", ","), 256).alias("items_sha256"), (F.size("_leak.hit") > 0).alias("contaminated"))
+        F.when(F.col("_doc") != NO_ID, F.col("_doc")).alias("doc_id"), F.col("_n").alias("n_words"), F.size("_hit").cast("bigint").alias("n_hit"),
+        F.size("_names").cast("bigint").alias("n_items"), F.sha2(F.array_join("_names", ","), 256).alias("items_sha256"),
+        (F.size("_hit") > 0).alias("contaminated"))

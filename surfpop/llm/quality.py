@@ -36,7 +36,6 @@ NOTICES = (
 )
 END_MARKS = ".!?:;…。！？\"'”’»)]"
 BARS = re.compile(r"[|•·»›]|\s[>/]\s")
-LETTER = re.compile(r"[^\W\d_]")
 NOTICE = re.compile("|".join(map(re.escape, NOTICES)), re.IGNORECASE)
 
 
@@ -58,9 +57,9 @@ def repeated_words(words: list[bytes], window: int) -> int:
     n = len(words) - window + 1
     if n < 2:
         return 0
-    seen: dict[bytes, int] = {}
-    ids = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words))
-    if len(seen) == len(words):
+    first: dict[bytes, int] = {}
+    ids = np.array(list(map(first.setdefault, words, range(len(words)))), np.int64)  # a word's first place
+    if len(first) == len(words):
         return 0
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
@@ -84,13 +83,10 @@ def repeated_words(words: list[bytes], window: int) -> int:
 
 def line_fails(line: str, rules: Rules) -> str | None:
     """The rule that a line with words fails."""
-    n = len(line.encode().split())
-    if sum(map(line.count, SYMBOLS)) > rules.max_symbol_ratio * n and not BARS.search(line):
-        return "punctuation"
-    bars = len(BARS.findall(line))
+    n, bars = len(line.encode("utf-8", "surrogatepass").split()), len(BARS.findall(line))
     if bars >= rules.min_bars and n - bars <= rules.max_bar_words * (bars + 1):
         return "navigation"
-    if not LETTER.search(line) or (n < rules.min_line_words and line.strip(BLANK)[-1] not in END_MARKS):
+    if line.lower() == line.upper() or (n < rules.min_line_words and line.strip(BLANK)[-1] not in END_MARKS):
         return "punctuation"
     if sum(map(line.count, SYMBOLS)) > rules.max_symbol_ratio * n:
         return "punctuation"
