@@ -1,4 +1,4 @@
 """The corpus queries and their SQL, gathered from the operators' modules."""
 
-from surfpop.llm import chat, decontaminate, html_text, line_dedup, quality, warc  # noqa: F401
+from surfpop.llm import chat, decontaminate, html_text, line_dedup, packing, quality, toxicity, warc  # noqa: F401
 from surfpop.llm.common import QUERIES, SQL  # noqa: F401
