@@ -7,8 +7,8 @@ Every byte under a string of ``length`` bytes that also starts anywhere else goe
    equal ``length``-byte strings choose alike) occurs twice holds no repeat and needs no sorting.
 3. Cover samples: suffixes at positions whose remainder modulo ``period`` is in a difference cover, so any two
    suffixes have a common shift below ``period`` at which both are samples. Samples are ranked by their first
-   ``length - period + 1`` bytes; only those that tie with another can lie inside a repeat.
-4. The suffixes whose samples all tie are dealt into buckets and sorted one bucket at a time; the ties that
+   ``length - period + 1`` bytes. A repeat has a tied sample within its first ``period`` places.
+4. The suffixes that have one are dealt into buckets and sorted one bucket at a time; the ties that
    are left there agree in ``length`` bytes.
 
 Ranks and sort keys are hashes of the strings (64 bits for samples, 96 for suffixes), since only equality is asked
@@ -108,8 +108,7 @@ def once(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     order = np.lexsort(keys[::-1])
     keys = [k[order] for k in keys]
     new = np.ones(len(order), bool)
-    for k in keys[:1] if len(keys) == 1 else [keys[0]]:
-        new[1:] = k[1:] != k[:-1]
+    new[1:] = keys[0][1:] != keys[0][:-1]
     for k in keys[1:]:
         new[1:] |= k[1:] != k[:-1]
     first = np.flatnonzero(new)
@@ -138,33 +137,37 @@ def sort_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     tie = (k[1:] == k[:-1]) & (c[1:] == c[:-1])
     repeated = several[order] | np.r_[tie, False] | np.r_[False, tie]
     back = np.sort(order[repeated])
-    out = [(int(rows["_chunk"].iat[r]), keys[p].tobytes(), checks[p].tobytes()) for r in np.unique(owner[back]) for p in [back[owner[back] == r]]] \
-        if len(rows) < 64 else split_back(rows, keys, checks, owner, back)
-    return pd.DataFrame(out, columns=["_chunk", "_keys", "_checks"])
-
-
-def split_back(rows, keys, checks, owner, back):
     cuts = np.flatnonzero(np.diff(owner[back])) + 1
-    return [(int(rows["_chunk"].iat[owner[p[0]]]), keys[p].tobytes(), checks[p].tobytes()) for p in np.split(back, cuts) if len(p)]
+    out = [(int(rows["_chunk"].iat[owner[p[0]]]), keys[p].tobytes(), checks[p].tobytes()) for p in np.split(back, cuts) if len(p)]
+    return pd.DataFrame(out, columns=["_chunk", "_keys", "_checks"])
 
 
 def repeats(rows: DataFrame) -> DataFrame:
     return cut(rows.groupBy("_bucket").applyInPandas(sort_bucket, "_chunk long, _keys binary, _checks binary"))
 
 
-def known(keys: np.ndarray, checks: np.ndarray, found: pd.DataFrame) -> np.ndarray:
-    """Which keys are among the found ones."""
-    there = np.frombuffer(b"".join(found["_keys"]), np.uint64)
-    if not len(there) or not len(keys):
-        return np.zeros(len(keys), bool)
-    marks = np.frombuffer(b"".join(found["_checks"]), np.uint32)
-    order = np.lexsort((marks, there))
-    there, marks = there[order], marks[order]
-    if (there[1:] == there[:-1]).any():  # equal keys with other checks: compare both
-        pair = set(zip(there.tolist(), marks.tolist()))
-        return np.fromiter(((a, b) in pair for a, b in zip(keys.tolist(), checks.tolist())), bool, len(keys))
-    at = np.minimum(np.searchsorted(there, keys), len(there) - 1)
-    return (there[at] == keys) & (marks[at] == checks)
+class Found:
+    """A chunk's repeated keys, sorted once for all its texts."""
+
+    def __init__(self, rows: pd.DataFrame):
+        keys, checks = np.frombuffer(b"".join(rows["_keys"]), np.uint64), np.frombuffer(b"".join(rows["_checks"]), np.uint32)
+        order = np.lexsort((checks, keys))
+        self.keys, self.checks = keys[order], checks[order]
+        self.doubled = bool((self.keys[1:] == self.keys[:-1]).any())  # equal keys with other checks
+        self.pairs = set(zip(self.keys.tolist(), self.checks.tolist())) if self.doubled else None
+
+    def holds(self, keys: np.ndarray, checks_of=None) -> np.ndarray:
+        """Which keys are found; ``checks_of`` gives the checks at the places where the key alone is."""
+        if not len(self.keys) or not len(keys):
+            return np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        here = self.keys[at] == keys
+        if checks_of is not None and here.any():
+            place = np.flatnonzero(here)
+            checks = checks_of(place)
+            here[place] = (
+                [(a, b) in self.pairs for a, b in zip(keys[place].tolist(), checks.tolist())] if self.doubled else self.checks[at[place]] == checks)
+        return here
 
 
 def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, period: int | None = None,
@@ -211,21 +214,21 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return key_rows(group["_chunk"].iat[0], keys, np.zeros(len(keys), np.uint32), several, buckets)
 
     def suffixes(data: np.ndarray, tools, ranked) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Suffixes all of whose samples tie, with their sort keys."""
+        """Suffixes with a tied sample at a shift below the period, with their sort keys."""
         sums = tools[0].sums(data)
         place = np.arange(max(len(data) - prefix + 1, 0))
         place = place[np.isin(place % period, cover)]
-        alone = np.zeros(len(data) + 1, np.int32)
+        tied = np.zeros(len(data) + 1, np.int32)
         codes = tools[0].at(sums, place, prefix)
-        alone[place + 1] = ~known(codes, np.zeros(len(codes), np.uint32), ranked)
-        alone = np.cumsum(alone)
+        tied[place + 1] = ranked.holds(codes)
+        tied = np.cumsum(tied)
         starts = np.arange(max(len(data) - length + 1, 0))
-        starts = starts[alone[starts + length - prefix + 1] == alone[starts]]
+        starts = starts[tied[starts + period] > tied[starts]]
         return starts, tools[0].at(sums, starts, length), (tools[1].at(tools[1].sums(data), starts, length) >> np.uint64(32)).astype(np.uint32)
 
     def suffix_keys(group: pd.DataFrame, ranked: pd.DataFrame) -> pd.DataFrame:
-        tools = [Prefixes(b) for b in BASES]
-        found = [suffixes(bytes_of(t), tools, ranked)[1:] for t in group["_text"]]
+        tools, ties = [Prefixes(b) for b in BASES], Found(ranked)
+        found = [suffixes(bytes_of(t), tools, ties)[1:] for t in group["_text"]]
         found += [f for f, n in zip(found, group["_copies"]) if n > 1]
         if not found:
             return pd.DataFrame(columns=["_chunk", "_bucket", "_keys", "_checks", "_many"])
@@ -233,17 +236,16 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return key_rows(group["_chunk"].iat[0], keys, checks, several, buckets)
 
     def remove(group: pd.DataFrame, ranked: pd.DataFrame) -> pd.DataFrame:
-        tools = [Prefixes(b) for b in BASES]
-        both = list(zip(ranked["_keys"], ranked["_checks"]))
-        found = pd.DataFrame({"_keys": [k for k, _ in both], "_checks": [c for _, c in both]})
+        tools, ties = [Prefixes(b) for b in BASES], Found(ranked)
         out = []
         for k1, k2, content_of in zip(group["_k1"], group["_k2"], group["_text"]):
             data = bytes_of(content_of)
             starts = np.arange(max(len(data) - length + 1, 0))
             codes = tools[0].at(tools[0].sums(data), starts, length)
-            maybe = np.flatnonzero(np.isin(codes, np.frombuffer(b"".join(found["_keys"]), np.uint64)))
-            checks = (tools[1].at(tools[1].sums(data), maybe, length) >> np.uint64(32)).astype(np.uint32)
-            starts = maybe[known(codes[maybe], checks, found)]
+            if not ties.holds(codes).any():
+                continue
+            more = tools[1].sums(data)
+            starts = starts[ties.holds(codes, lambda at: (tools[1].at(more, at, length) >> np.uint64(32)).astype(np.uint32))]
             if not len(starts):
                 continue
             edge = np.zeros(len(data) + 1, np.int64)
