@@ -8,7 +8,9 @@ branches on average, whatever the sizes. Nodes of at most
 together (sets that are all alike) or ``levels`` is reached. Runs are repeated until a pair at the threshold
 meets with probability ``recall``; pairs above it meet more often.
 
-End nodes are compared by brute force in blocks of chunk pairs, so a node that holds a third of all sets is
+In an end node, sets are first held against each other by their ``SKETCH`` smallest shingle hashes: two sets at 0.8 share
+at least half of the smaller sketch but for a chance below one in a million. Only sets with such a partner
+are sent on whole. They are compared by brute force in blocks of chunk pairs, so a node that holds a third of all sets is
 many tasks. A block does not emit its pairs: it gives each set's number of links and enough edges to keep
 its linked sets connected. A pair that meets in several end nodes is counted in the smallest of them.
 Connected sets are one class. Work in a group of copies grows with the square of its different sets, the
@@ -35,6 +37,8 @@ from surfpop.session import cut
 
 CHUNK = 512
 COLUMNS = 4096
+SKETCH = 48
+BROADCAST_ROWS = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -60,11 +64,11 @@ def runs_for(recall: float, rate: float) -> int:
 
 
 def shingle_sets(docs: DataFrame, doc_id: str, text: str, n: int, share: float, runs: int, rate: float) -> DataFrame:
-    """(_doc, _row, _text, _key, _size, _tokens, _paths) per document: its set and the first nodes it enters."""
+    """(_doc, _row, _text, _key, _tokens, _sketch, _paths) per document: its set and the first nodes it enters."""
     def build(batches):
         powers = np.array([pow(0xD1342543DE82EF95, k, 2**64) for k in range(n)], np.uint64)
         for batch in batches:
-            keys, sizes, tokens, paths = [], [], [], []
+            keys, tokens, sketches, paths = [], [], [], []
             for hashes in batch["_hs"]:
                 h = np.asarray(hashes, np.int64).view(np.uint64)
                 m = max(len(h) - n + 1, min(len(h), 1))
@@ -74,15 +78,22 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str, n: int, share: float,
                 grams = np.unique(mix(code))
                 folded = np.unique((grams >> np.uint64(32)).astype(np.uint32)).view(np.int32)
                 keys.append(hashlib.blake2b(grams.tobytes(), digest_size=16).hexdigest() if m else None)
-                sizes.append(len(folded))
                 tokens.append(folded.tobytes())
+                drawn = mix(folded.view(np.uint32).astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+                sketches.append(folded[np.argsort(drawn)[:SKETCH]].tobytes())
                 paths.append(np.unique(np.concatenate([branches(r + 1, folded, rate / (share * max(len(folded), 1))) for r in range(runs)])))
-            yield pd.DataFrame({"_doc": batch["_doc"], "_row": batch["_row"], "_text": batch["_text"], "_key": keys, "_size": sizes, "_tokens": tokens, "_paths": paths})
+            yield pd.DataFrame({"_doc": batch["_doc"], "_row": batch["_row"], "_text": batch["_text"], "_key": keys, "_tokens": tokens, "_sketch": sketches, "_paths": paths})
 
     hashed = docs.select(
         id_of(doc_id).alias("_doc"), F.monotonically_increasing_id().alias("_row"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_text"),
         F.transform(words(F.lower(F.col(text))), lambda w: F.xxhash64(w)).alias("_hs"))
-    return hashed.mapInPandas(build, "_doc long, _row long, _text long, _key string, _size int, _tokens binary, _paths array<long>")
+    return hashed.mapInPandas(build, "_doc long, _row long, _text long, _key string, _tokens binary, _sketch binary, _paths array<long>")
+
+
+def beside(sets: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The chosen sets with their shingles: at most ``BROADCAST_ROWS`` rows go to the shingles, more meet them in a shuffle."""
+    few = chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return sets.join(F.broadcast(chosen) if few else chosen, "_set")
 
 
 def split_nodes(nodes: DataFrame, sets: DataFrame, share: float, rate: float) -> DataFrame:
@@ -97,8 +108,8 @@ def split_nodes(nodes: DataFrame, sets: DataFrame, share: float, rate: float) ->
                     out += [(path, child, chosen) for child in branches(int(path), tokens, rate / (share * max(len(tokens), 1)))]
             yield pd.DataFrame(out, columns=["_parent", "_path", "_set"])
 
-    by_set = nodes.groupBy("_set").agg(F.collect_list("_path").alias("_paths"))
-    return by_set.join(sets.select("_set", "_tokens"), "_set").mapInPandas(split, "_parent long, _path long, _set long")
+    by_set = cut(nodes.groupBy("_set").agg(F.collect_list("_path").alias("_paths")))
+    return beside(sets.select("_set", "_tokens"), by_set).mapInPandas(split, "_parent long, _path long, _set long")
 
 
 def end_nodes(start: DataFrame, sets: DataFrame, share: float, rate: float, bucket: int, levels: int) -> DataFrame:
@@ -114,7 +125,7 @@ def end_nodes(start: DataFrame, sets: DataFrame, share: float, rate: float, buck
         if level == levels or big.isEmpty():
             ends.append(big.select(F.col("_path").alias("_leaf"), "_set", "_n"))
             break
-        children = cut(sized(split_nodes(big, sets, share, rate)))
+        children = cut(sized(cut(split_nodes(big, sets, share, rate))))
         largest = children.groupBy(F.col("_parent").alias("_path")).agg(F.max("_n").alias("_most"))
         alike = cut(big.select("_path", "_n").distinct().join(largest, "_path").where("_most > 0.5 * _n").select("_path"))
         ends.append(big.join(alike, "_path", "left_semi").select(F.col("_path").alias("_leaf"), "_set", "_n"))
@@ -170,35 +181,49 @@ def compare(block: pd.DataFrame, threshold: float) -> list[tuple[int, int, int]]
     return [(int(ids[i]), int(ids[root[i]]), int(counts[i])) for i in np.flatnonzero(root >= 0)]
 
 
-def compare_blocks(ends: DataFrame, sets: DataFrame, threshold: float, chunk: int) -> DataFrame:
-    """(_set, _to, _links) from all blocks of all end nodes."""
-    of_set = ends.groupBy("_set").agg(F.collect_list(F.struct("_leaf", "_n")).alias("_ends"))
+def screen(block: pd.DataFrame, share: float = 0.5) -> list[tuple[int, int]]:
+    """(node, set) for the sets of a block whose sketch shares enough with another's."""
+    tokens = [np.frombuffer(x, np.int32) for x in block["_tokens"]]
+    size = np.array(list(map(len, tokens)), np.float64)
+    close = common_counts(tokens) >= share * np.minimum(size[:, None], size[None, :])
+    np.fill_diagonal(close, False)
+    return list(zip(block["_leaf"][close.any(1)].tolist(), block["_set"][close.any(1)].tolist()))
+
+
+def in_blocks(rows: DataFrame, chunk: int, work, columns: list[str]) -> DataFrame:
+    """``work`` on every chunk pair of every node, from rows (_leaf, _n, _set, _tokens, ...), ``_n`` being the node's sets."""
     rows = (
-        of_set.join(sets.select("_set", "_tokens"), "_set")
-        .select("_set", "_tokens", F.array_sort(F.transform("_ends", lambda e: e["_leaf"])).alias("_leaves"), F.explode("_ends").alias("_end"))
-        .withColumn("_chunks", F.ceil(F.col("_end._n") / chunk))
-        .withColumn("_chunk", F.pmod(F.xxhash64("_set"), F.col("_chunks")))
+        rows.withColumn("_chunks", F.ceil(F.col("_n") / chunk)).withColumn("_chunk", F.pmod(F.xxhash64("_set"), F.col("_chunks")))
         .withColumn("_with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_chunks") - 1)))
-        .select(F.col("_end._leaf").alias("_leaf"), F.least("_chunk", "_with").alias("_a"), F.greatest("_chunk", "_with").alias("_b"),
-                "_chunk", "_set", "_tokens", "_leaves")
+        .withColumns({"_a": F.least("_chunk", "_with"), "_b": F.greatest("_chunk", "_with")}).drop("_chunks", "_with", "_n")
     )
 
     def blocks(batches):
         rest = None
         for batch in batches:
             batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if not len(batch):
+                continue
             key = batch[["_leaf", "_a", "_b"]].to_numpy()
             starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
-            out = []
-            for s, e in zip(starts[:-1], starts[1:]):
-                if e - s > 1:
-                    out += compare(batch.iloc[s:e], threshold)
-            rest = batch.iloc[starts[-1]:] if len(batch) else None
-            yield pd.DataFrame(out, columns=["_set", "_to", "_links"])
+            out = [x for s, e in zip(starts[:-1], starts[1:]) if e - s > 1 for x in work(batch.iloc[s:e])]
+            rest = batch.iloc[starts[-1]:]
+            yield pd.DataFrame(out, columns=columns)
         if rest is not None and len(rest) > 1:
-            yield pd.DataFrame(compare(rest, threshold), columns=["_set", "_to", "_links"])
+            yield pd.DataFrame(work(rest), columns=columns)
+
+    return rows.repartition("_leaf", "_a", "_b").sortWithinPartitions("_leaf", "_a", "_b").mapInPandas(blocks, ", ".join(f"{c} long" for c in columns))
 
-    return rows.repartition("_leaf", "_a", "_b").sortWithinPartitions("_leaf", "_a", "_b").mapInPandas(blocks, "_set long, _to long, _links long")
+
+def compare_blocks(ends: DataFrame, sets: DataFrame, threshold: float, chunk: int) -> DataFrame:
+    """(_set, _to, _links) from all blocks of all end nodes."""
+    by_set = cut(ends.groupBy("_set").agg(F.collect_list(F.struct("_leaf", "_n")).alias("_ends")))
+    sketched = beside(sets.select("_set", F.col("_sketch").alias("_tokens")), by_set).select("_set", "_tokens", F.inline("_ends"))
+    near = cut(in_blocks(sketched, chunk, screen, ["_leaf", "_set"]).distinct())
+    near = near.join(near.groupBy("_leaf").agg(F.count(F.lit(1)).alias("_n")), "_leaf")
+    by_set = cut(near.groupBy("_set").agg(F.array_sort(F.collect_list("_leaf")).alias("_leaves"), F.collect_list(F.struct("_leaf", "_n")).alias("_ends")))
+    whole = beside(sets.select("_set", "_tokens"), by_set).select("_set", "_tokens", "_leaves", F.inline("_ends"))
+    return in_blocks(whole, chunk, lambda block: compare(block, threshold), ["_set", "_to", "_links"])
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
