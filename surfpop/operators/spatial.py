@@ -160,8 +160,8 @@ def nearest_on_surface(points: DataFrame, tri: DataFrame) -> DataFrame:
     cand = _only(cand, F.col("_gap") <= F.col("_best") * SLACK)
     scored = g.with_closest_point(cand, ["_q", "_best", "face_id"])
     d2 = _sum_squares([F.col(f"p{n}") - F.col(f"q{n}") for n in "xyz"])
-    near = _only(scored.select("_q", "_best", "face_id", *g.vec("p"), d2.alias("d2")), F.col("d2") <= F.col("_best") * SLACK)
-    best = near.groupBy("_q").agg(F.min(F.struct(F.col("d2"), F.col("face_id"), *g.vec("p"))).alias("s"))
+    # No bound here: on a corner the recomputed distance may exceed it by rounding, and the minimum settles it.
+    best = scored.select("_q", "face_id", *g.vec("p"), d2.alias("d2")).groupBy("_q").agg(F.min(F.struct(F.col("d2"), F.col("face_id"), *g.vec("p"))).alias("s"))
     return best.select("_q.mesh_id", "_q.query_id", "s.face_id", "s.px", "s.py", "s.pz", "s.d2")
 
 
