@@ -11,10 +11,10 @@ Every byte under a string of ``length`` bytes that also starts anywhere else goe
 4. The suffixes that have one are dealt into buckets and sorted one bucket at a time; the ties that
    are left there agree in ``length`` bytes.
 
-Ranks and sort keys are hashes of the strings (64 bits for samples, 96 for suffixes), since only equality is asked
+Ranks and sort keys are hashes of the strings (64 bits for samples, 80 for suffixes), since only equality is asked
 for; no text and no whole rank array is ever gathered. Texts are processed in chunks of about ``CHUNK_BYTES``;
-a chunk sends each key once, with a mark if it has it several times, and gets back the keys that repeat, so a
-passage found in a third of all texts is one entry per chunk. Buckets hold about ``BUCKET_KEYS`` keys.
+a chunk sends each key once, with a mark if it has it several times, and gets back a bit per key, so a
+passage found in a third of all texts is one entry per chunk. A chunk makes its keys anew to read the bits. Buckets hold about ``BUCKET_KEYS`` keys.
 
 Defined results: a null or empty text has no bytes and no repeats. Rows that share an id are texts of
 their own. What is left may not be valid UTF-8, as bytes are judged and not characters.
@@ -103,71 +103,78 @@ def suspects(base: DataFrame) -> DataFrame:
     return texts.drop("_anchors", "_self").join(linked.unionByName(own).distinct(), ["_k1", "_k2"], "left_semi")
 
 
-def once(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """The distinct keys in ascending order, and which of them occur several times."""
-    order = np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
-    new = np.ones(len(order), bool)
-    new[1:] = keys[0][1:] != keys[0][:-1]
-    for k in keys[1:]:
-        new[1:] |= k[1:] != k[:-1]
-    first = np.flatnonzero(new)
-    return [k[first] for k in keys], np.diff(np.r_[first, len(order)]) > 1
+def order_of(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by (key, check), and which places in it equal the one before."""
+    order = np.argsort(keys)
+    same_key = keys[order[1:]] == keys[order[:-1]]
+    same = same_key & (checks[order[1:]] == checks[order[:-1]])
+    if (same_key & ~same).any():  # equal keys with other checks
+        order = np.lexsort((checks, keys))
+        same = (keys[order[1:]] == keys[order[:-1]]) & (checks[order[1:]] == checks[order[:-1]])
+    return order, same
+
+
+def once(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (key, check) in ascending order, which of them occur several times, and the place of each given one."""
+    order, same = order_of(keys, checks)
+    new = np.r_[np.ones(min(len(order), 1), bool), ~same]
+    first, place = np.flatnonzero(new), np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return keys[order[first]], checks[order[first]], np.diff(np.r_[first, len(order)]) > 1, place
 
 
 KEY_ROWS = "_chunk long, _bucket long, _keys binary, _checks binary, _many binary"
+ANSWERS = "_chunk long, _bucket long, _bits binary"
+
+
+def bucket_runs(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, first, end) of ascending keys."""
+    if not len(keys):
+        return []
+    bucket = (keys >> np.uint64(33)).astype(np.int64) * buckets >> 31
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    return list(zip(bucket[cuts].tolist(), cuts.tolist(), np.r_[cuts[1:], len(keys)].tolist()))
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, all lowest bytes first: the high bytes are zeros, which the shuffle compresses."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def key_rows(chunk: int, keys: np.ndarray, checks: np.ndarray, several: np.ndarray, buckets: int) -> pd.DataFrame:
     """A chunk's distinct keys, one row per bucket."""
-    bucket = (keys >> np.uint64(33)).astype(np.int64) * buckets >> 31
-    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(keys) else np.zeros(0, int)
-    ends = np.r_[cuts[1:], len(keys)] if len(keys) else cuts
-    rows = [(chunk, int(bucket[a]), keys[a:b].tobytes(), checks[a:b].tobytes(), several[a:b].tobytes()) for a, b in zip(cuts, ends)]
+    rows = [(chunk, n, packed(keys[a:b]), checks[a:b].tobytes(), np.packbits(several[a:b]).tobytes()) for n, a, b in bucket_runs(keys, buckets)]
     return pd.DataFrame(rows, columns=["_chunk", "_bucket", "_keys", "_checks", "_many"])
 
 
 def sort_bucket(rows: pd.DataFrame) -> pd.DataFrame:
-    """One bucket sorted: for each chunk its keys that other chunks, or it itself several times, also have."""
-    keys, checks = np.frombuffer(b"".join(rows["_keys"]), np.uint64), np.frombuffer(b"".join(rows["_checks"]), np.uint32)
-    several = np.frombuffer(b"".join(rows["_many"]), bool)
-    owner = np.repeat(np.arange(len(rows)), [len(x) for x in rows["_many"]])
-    order = np.lexsort((checks, keys))
-    k, c = keys[order], checks[order]
-    tie = (k[1:] == k[:-1]) & (c[1:] == c[:-1])
-    repeated = several[order] | np.r_[tie, False] | np.r_[False, tie]
-    back = np.sort(order[repeated])
-    cuts = np.flatnonzero(np.diff(owner[back])) + 1
-    out = [(int(rows["_chunk"].iat[owner[p[0]]]), keys[p].tobytes(), checks[p].tobytes()) for p in np.split(back, cuts) if len(p)]
-    return pd.DataFrame(out, columns=["_chunk", "_keys", "_checks"])
+    """One bucket sorted: for each chunk a bit per key it sent, set if another chunk, or it itself several times, has the key."""
+    parts = [unpacked(x) for x in rows["_keys"]]
+    keys, checks = np.concatenate(parts), np.frombuffer(b"".join(rows["_checks"]), np.uint16)
+    order, same = order_of(keys, checks)
+    repeated = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(rows["_many"], parts)]).astype(bool)
+    repeated[order[1:][same]] = True
+    repeated[order[:-1][same]] = True
+    ends = np.cumsum([len(p) for p in parts])
+    out = [(c, n, np.packbits(repeated[e - len(p):e]).tobytes()) for c, n, p, e in zip(rows["_chunk"], rows["_bucket"], parts, ends) if repeated[e - len(p):e].any()]
+    return pd.DataFrame(out, columns=["_chunk", "_bucket", "_bits"])
 
 
 def repeats(rows: DataFrame) -> DataFrame:
-    return cut(rows.groupBy("_bucket").applyInPandas(sort_bucket, "_chunk long, _keys binary, _checks binary"))
-
+    return cut(rows.groupBy("_bucket").applyInPandas(sort_bucket, ANSWERS))
 
-class Found:
-    """A chunk's repeated keys, sorted once for all its texts."""
 
-    def __init__(self, rows: pd.DataFrame):
-        keys, checks = np.frombuffer(b"".join(rows["_keys"]), np.uint64), np.frombuffer(b"".join(rows["_checks"]), np.uint32)
-        order = np.lexsort((checks, keys))
-        self.keys, self.checks = keys[order], checks[order]
-        self.doubled = bool((self.keys[1:] == self.keys[:-1]).any())  # equal keys with other checks
-        self.pairs = set(zip(self.keys.tolist(), self.checks.tolist())) if self.doubled else None
-
-    def holds(self, keys: np.ndarray, checks_of=None) -> np.ndarray:
-        """Which keys are found; ``checks_of`` gives the checks at the places where the key alone is."""
-        if not len(self.keys) or not len(keys):
-            return np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        here = self.keys[at] == keys
-        if checks_of is not None and here.any():
-            place = np.flatnonzero(here)
-            checks = checks_of(place)
-            here[place] = (
-                [(a, b) in self.pairs for a, b in zip(keys[place].tolist(), checks.tolist())] if self.doubled else self.checks[at[place]] == checks)
-        return here
+def answered(keys: np.ndarray, answers: pd.DataFrame, buckets: int) -> np.ndarray:
+    """Which of a chunk's distinct keys repeat, from the bits its buckets sent back."""
+    bits, out = dict(zip(answers["_bucket"], answers["_bits"])), np.zeros(len(keys), bool)
+    for n, a, b in bucket_runs(keys, buckets):
+        if n in bits:
+            out[a:b] = np.unpackbits(np.frombuffer(bits[n], np.uint8), count=b - a)
+    return out
 
 
 def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, period: int | None = None,
@@ -201,56 +208,61 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         docs.select(doc_id, text).join(chosen, same).select("_k1", "_k2", "_copies", content.alias("_text")).dropDuplicates(["_k1", "_k2"])
         .withColumn("_chunk", F.pmod("_k1", F.lit(chunks))))
 
-    def samples(data: np.ndarray, tool: Prefixes) -> tuple[np.ndarray, np.ndarray]:
-        place = np.arange(max(len(data) - prefix + 1, 0))
-        place = place[np.isin(place % period, cover)]
-        return place, tool.at(tool.sums(data), place, prefix)
+    def sampled(group: pd.DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Per text the places of its cover samples and their keys."""
+        tool, places, codes = Prefixes(BASES[0]), [], []
+        for data in map(bytes_of, group["_text"]):
+            place = np.arange(max(len(data) - prefix + 1, 0))
+            place = place[np.isin(place % period, cover)]
+            places.append(place)
+            codes.append(tool.at(tool.sums(data), place, prefix))
+        return places, codes
+
+    def twice(group: pd.DataFrame, parts: list[np.ndarray]) -> np.ndarray:
+        """All parts in one array, those of texts with copies once more at its end."""
+        return np.concatenate(parts + [p for p, n in zip(parts, group["_copies"]) if n > 1])
 
     def sample_keys(group: pd.DataFrame) -> pd.DataFrame:
-        tool = Prefixes(BASES[0])
-        found = [samples(bytes_of(t), tool)[1] for t in group["_text"]]
-        found += [f for f, n in zip(found, group["_copies"]) if n > 1]
-        (keys,), several = once(np.concatenate(found))
-        return key_rows(group["_chunk"].iat[0], keys, np.zeros(len(keys), np.uint32), several, buckets)
-
-    def suffixes(data: np.ndarray, tools, ranked) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Suffixes with a tied sample at a shift below the period, with their sort keys."""
-        sums = tools[0].sums(data)
-        place = np.arange(max(len(data) - prefix + 1, 0))
-        place = place[np.isin(place % period, cover)]
-        tied = np.zeros(len(data) + 1, np.int32)
-        codes = tools[0].at(sums, place, prefix)
-        tied[place + 1] = ranked.holds(codes)
-        tied = np.cumsum(tied)
-        starts = np.arange(max(len(data) - length + 1, 0))
-        starts = starts[tied[starts + period] > tied[starts]]
-        return starts, tools[0].at(sums, starts, length), (tools[1].at(tools[1].sums(data), starts, length) >> np.uint64(32)).astype(np.uint32)
+        codes = twice(group, sampled(group)[1])
+        keys, checks, several, _ = once(codes, np.zeros(len(codes), np.uint16))
+        return key_rows(group["_chunk"].iat[0], keys, checks, several, buckets)
+
+    def suffixes(group: pd.DataFrame, ranked: pd.DataFrame) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+        """Per text its suffixes with a tied sample at a shift below the period, with their sort keys and checks."""
+        places, codes = sampled(group)
+        flat = np.concatenate(codes)
+        keys, _, _, at = once(flat, np.zeros(len(flat), np.uint16))
+        ties = np.split(answered(keys, ranked, buckets)[at], np.cumsum([len(c) for c in codes])[:-1])
+        tools, out = [Prefixes(b) for b in BASES], ([], [], [])
+        for data, place, tie in zip(map(bytes_of, group["_text"]), places, ties):
+            tied = np.zeros(len(data) + 1, np.int32)
+            tied[place + 1] = tie
+            tied = np.cumsum(tied)
+            starts = np.arange(max(len(data) - length + 1, 0))
+            starts = starts[tied[starts + period] > tied[starts]]
+            out[0].append(starts)
+            for tool, into in zip(tools, out[1:]):
+                into.append(tool.at(tool.sums(data), starts, length) if len(starts) else np.zeros(0, np.uint64))
+        return out[0], out[1], [(c >> np.uint64(48)).astype(np.uint16) for c in out[2]]
 
     def suffix_keys(group: pd.DataFrame, ranked: pd.DataFrame) -> pd.DataFrame:
-        tools, ties = [Prefixes(b) for b in BASES], Found(ranked)
-        found = [suffixes(bytes_of(t), tools, ties)[1:] for t in group["_text"]]
-        found += [f for f, n in zip(found, group["_copies"]) if n > 1]
-        if not found:
-            return pd.DataFrame(columns=["_chunk", "_bucket", "_keys", "_checks", "_many"])
-        (keys, checks), several = once(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]))
+        _, codes, checks = suffixes(group, ranked)
+        keys, checks, several, _ = once(twice(group, codes), twice(group, checks))
         return key_rows(group["_chunk"].iat[0], keys, checks, several, buckets)
 
-    def remove(group: pd.DataFrame, ranked: pd.DataFrame) -> pd.DataFrame:
-        tools, ties = [Prefixes(b) for b in BASES], Found(ranked)
+    def remove(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        of_suffix = answers["_suffix"].to_numpy(bool)
+        starts, codes, checks = suffixes(group, answers[~of_suffix])
+        keys, _, _, at = once(np.concatenate(codes), np.concatenate(checks))
+        hits = np.split(answered(keys, answers[of_suffix], buckets)[at], np.cumsum([len(c) for c in codes])[:-1])
         out = []
-        for k1, k2, content_of in zip(group["_k1"], group["_k2"], group["_text"]):
-            data = bytes_of(content_of)
-            starts = np.arange(max(len(data) - length + 1, 0))
-            codes = tools[0].at(tools[0].sums(data), starts, length)
-            if not ties.holds(codes).any():
-                continue
-            more = tools[1].sums(data)
-            starts = starts[ties.holds(codes, lambda at: (tools[1].at(more, at, length) >> np.uint64(32)).astype(np.uint32))]
-            if not len(starts):
+        for k1, k2, content_of, start, hit in zip(group["_k1"], group["_k2"], group["_text"], starts, hits):
+            if not hit.any():
                 continue
+            data, start = bytes_of(content_of), start[hit]
             edge = np.zeros(len(data) + 1, np.int64)
-            np.add.at(edge, starts, 1)
-            np.add.at(edge, starts + length, -1)
+            edge[start] += 1
+            edge[start + length] -= 1
             gone = np.cumsum(edge[:-1]) > 0
             turns = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
             out.append((k1, k2, int(gone.sum()), len(turns) // 2, hashlib.sha256(data[~gone].tobytes()).hexdigest(), turns))
@@ -258,7 +270,8 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     ranked = repeats(texts.groupBy("_chunk").applyInPandas(sample_keys, KEY_ROWS))
     sorted_keys = repeats(texts.groupBy("_chunk").cogroup(ranked.groupBy("_chunk")).applyInPandas(suffix_keys, KEY_ROWS))
-    done = texts.groupBy("_chunk").cogroup(sorted_keys.groupBy("_chunk")).applyInPandas(
+    answers = ranked.withColumn("_suffix", F.lit(False)).unionByName(sorted_keys.withColumn("_suffix", F.lit(True)))
+    done = texts.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInPandas(
         remove, "_k1 long, _k2 long, _removed long, _spans long, _kept string, _runs array<long>")
     return rows, done
 
