@@ -34,6 +34,8 @@ from surfpop.session import cut
 
 CHUNK_BYTES = 8 << 20
 BUCKET_KEYS = 2 << 20
+#: So many suspect texts (four longs each) are sent to the texts; more meet them in a shuffle.
+BROADCAST_ROWS = 1_000_000
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -96,11 +98,12 @@ def suspects(base: DataFrame) -> DataFrame:
     """(_k1, _k2, _doc, _copies) of texts that share an anchor with another text or with themselves."""
     texts = cut(base.groupBy("_k1", "_k2").agg(
         F.min("_doc").alias("_doc"), F.count(F.lit(1)).alias("_copies"), F.first("_anchors").alias("_anchors"), F.first("_self").alias("_self")))
-    places = texts.select("_k1", "_k2", F.explode("_anchors").alias("_anchor"))
+    # By half of the hash pair: texts that share it can only become suspects together.
+    places = texts.select("_k1", F.explode("_anchors").alias("_anchor"))
     shared = places.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    linked = places.join(shared, "_anchor").select("_k1", "_k2").distinct()
-    own = texts.where("_self").select("_k1", "_k2")
-    return texts.drop("_anchors", "_self").join(linked.unionByName(own).distinct(), ["_k1", "_k2"], "left_semi")
+    linked = places.join(shared, "_anchor").select("_k1").distinct()
+    own = texts.where("_self").select("_k1")
+    return texts.drop("_anchors", "_self").join(linked.unionByName(own).distinct(), "_k1", "left_semi")
 
 
 def order_of(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,8 +207,9 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     total = base.select("_bytes", "_k1", "_k2").join(chosen.select("_k1", "_k2"), ["_k1", "_k2"], "left_semi").agg(F.sum("_bytes")).first()[0] or 0
     chunks, buckets = total // chunk_bytes + 1, total // bucket_keys + 1
     same = (id_of(doc_id) == F.col("_doc")) & (F.xxhash64(content) == F.col("_k1"))
+    few = chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     texts = cut(
-        docs.select(doc_id, text).join(chosen, same).select("_k1", "_k2", "_copies", content.alias("_text")).dropDuplicates(["_k1", "_k2"])
+        docs.select(doc_id, text).join(F.broadcast(chosen) if few else chosen, same).select("_k1", "_k2", "_copies", content.alias("_text")).dropDuplicates(["_k1", "_k2"])
         .withColumn("_chunk", F.pmod("_k1", F.lit(chunks))))
 
     def sampled(group: pd.DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
