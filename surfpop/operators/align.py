@@ -190,7 +190,7 @@ def gpa(landmarks: DataFrame, scale: bool = False, max_iter: int = 100, tol: flo
         if scale:
             size = np.linalg.norm(updated)
             if size <= g.EPS * target:
-                raise ValueError("The mean configuration collapsed during alignment.")
+                raise ValueError("Averaging shrank the landmarks to one point.")
             updated *= target / size
         change = np.linalg.norm(updated - mean) / target
         mean = updated
@@ -430,7 +430,7 @@ def contribute(mesh: m.Mesh, landmarks: DataFrame, result: Gpa, template: m.Mesh
                limit: float | None = None) -> DataFrame:
     """Align members of the reference population and resample all of them in one plan."""
     strangers = landmarks.select("specimen_id").distinct().join(result.transforms, "specimen_id", "left_anti")
-    checks.require_none(strangers, "A contribution must belong to the reference population.")
+    checks.require_none(strangers, "Landmarks hold specimens that the alignment was not made from.")
     fits = cut(procrustes(landmarks, result.mean, scale=_scaled(result)))
     aligned, marks = align_mesh(mesh, landmarks, fits)
     aligned = m.Mesh(cut(aligned.vertices), aligned.faces, aligned.corner_uv)

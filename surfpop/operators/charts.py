@@ -76,19 +76,19 @@ def assign_charts(mesh: m.Mesh, angle: float = 66.0) -> tuple[DataFrame, DataFra
         m.corners(mesh).join(charts, ["mesh_id", "face_id"]), cut(directions), ["mesh_id", "chart_id"], ["face_id"], how="left"
     )
     nx, ny, nz = g.vec("p")
-    flat = nx * nx + ny * ny
-    tilted = flat > 1.1920929e-07
-    ux = F.when(tilted, ny / F.sqrt(flat)).otherwise(F.when(nz < 0.0, F.lit(-1.0)).otherwise(F.lit(1.0)))
-    uy = F.when(tilted, -nx / F.sqrt(flat)).otherwise(F.lit(0.0))
-    based = planar.withColumn("_ux", ux).withColumn("_uy", uy)
-    bx, by = F.col("_ux"), F.col("_uy")
-    vx = F.when(tilted, -nz * by).otherwise(F.lit(0.0))
-    vy = F.when(tilted, nz * bx).otherwise(F.lit(1.0))
-    vz = F.when(tilted, nx * by - ny * bx).otherwise(F.lit(0.0))
+    # In-plane axes: across the world axis that is farthest from the normal, then at right angles to both.
+    steep = [F.abs(n) for n in (nx, ny, nz)]
+    axis = F.when((steep[0] <= steep[1]) & (steep[0] <= steep[2]), 0).when(steep[1] <= steep[2], 1).otherwise(2)
+    ex, ey, ez = (F.when(axis == k, F.lit(1.0)).otherwise(F.lit(0.0)) for k in range(3))
+    across = [ey * nz - ez * ny, ez * nx - ex * nz, ex * ny - ey * nx]
+    size = F.sqrt(sum(c * c for c in across[1:]) + across[0] * across[0])
+    based = planar.withColumns({f"_u{k}": c / size for k, c in zip("xyz", across)})
+    bx, by, bz = F.col("_ux"), F.col("_uy"), F.col("_uz")
+    vx, vy, vz = ny * bz - nz * by, nz * bx - nx * bz, nx * by - ny * bx
     has = nx.isNotNull()
     uv = based.select(
         "mesh_id", "face_id", F.col("corner").cast("bigint").alias("corner"),
-        F.when(has, bx * F.col("x") + by * F.col("y")).otherwise(F.lit(0.0)).alias("u"),
+        F.when(has, bx * F.col("x") + by * F.col("y") + bz * F.col("z")).otherwise(F.lit(0.0)).alias("u"),
         F.when(has, vx * F.col("x") + vy * F.col("y") + vz * F.col("z")).otherwise(F.lit(0.0)).alias("v"),
     )
     return charts.select("mesh_id", "face_id", F.coalesce("chart_id", F.lit(0).cast("bigint")).alias("chart_id")), uv

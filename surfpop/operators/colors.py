@@ -76,8 +76,15 @@ def pooled_moments(moments: DataFrame) -> DataFrame:
                         "mean_c", spread.select("std_c").scalar().alias("std_c"))
 
 
+def require_valid(colors: DataFrame) -> None:
+    """Fail if a specimen has no valid sample: it has no moments and would go missing in joins with them."""
+    per = colors.groupBy("specimen_id").agg(F.count_if(F.col("valid")).alias("n"))
+    checks.require_none(per.filter("n = 0"), "Every specimen needs a valid colour sample.")
+
+
 def normalization_stats(colors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(per specimen, pooled); every specimen needs at least one valid sample."""
+    require_valid(colors)
     moments = cut(color_moments(colors))
     return moments, cut(pooled_moments(moments))
 
@@ -86,6 +93,7 @@ def normalize(colors: DataFrame, moments: DataFrame, pooled: DataFrame, norm_l:
               norm_c: bool = True, check: bool = True) -> DataFrame:
     """Lab colours moved to the pooled moments: (specimen_id, sample_id, valid, L, a, b)."""
     if check:
+        require_valid(colors)
         stale = checks.stale_stats(moments, color_moments(colors))
         checks.require_none(stale, "Colours changed after their statistics, or a specimen has none.")
     target = {k: pooled.select(k).scalar() for k in MOMENTS}
@@ -127,6 +135,8 @@ def process_colors(colors: DataFrame, stats: tuple[DataFrame, DataFrame] | None
 
     if n_clusters is None and initial is not None:
         raise ValueError("initial needs n_clusters.")
+    if stats is None:
+        require_valid(colors)
     lab = raw_lab(colors) if stats is None else normalize(colors, *stats, norm_l, norm_c)
     if n_clusters is None:
         return with_display(lab).withColumn("label", F.lit(None).cast("bigint")), None

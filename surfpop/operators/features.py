@@ -26,7 +26,7 @@ def _kept(processed: DataFrame, missing: str) -> DataFrame:
     if missing == "error":
         checks.require_none(
             processed.select("sample_id").distinct().join(common, "sample_id", "left_anti"),
-            "Missing colour samples; correct the textures or use missing='drop'.",
+            "Some samples lack a colour in a specimen; missing='drop' leaves them out.",
         )
     return processed.join(common, "sample_id", "left_semi")
 

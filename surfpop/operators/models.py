@@ -199,9 +199,9 @@ def _decompose(data: DataFrame, k: int, dense: int):
 
 def _rank_check(rank: int, k: int) -> None:
     if rank == 0:
-        raise ValueError("All specimens have identical features.")
+        raise ValueError("No feature differs between specimens.")
     if k > rank:
-        raise ValueError(f"n_components={k} exceeds the centred feature rank {rank}.")
+        raise ValueError(f"{k} components asked for; the features span only {rank}.")
 
 
 def _fix_signs(right: DataFrame) -> DataFrame:
@@ -223,6 +223,8 @@ def fit_pca(features: DataFrame, k: int = 2, standardize: bool = False, dense: i
     """
     if not 1 <= k <= MAX_COMPONENTS:
         raise ValueError(f"k must be from 1 to {MAX_COMPONENTS}.")
+    if model_checks(features).first()["ragged"]:
+        raise ValueError("Every specimen needs each feature once.")
     prep = cut(_prep(features, standardize))
     data = cut(scaled(features, prep))
     sigma, right, n = _decompose(data, k, dense)
@@ -282,7 +284,7 @@ def fit_ica(features: DataFrame, k: int = 2, max_iter: int = 1000, tol: float =
         if change < tol:
             break
     else:
-        raise RuntimeError("Population model did not converge; reconsider its settings or features.")
+        raise RuntimeError("The independent components did not settle; try fewer of them.")
     # Order by explained variance, i.e. by the length of the mixing columns.
     size = ((w * (sigma / np.sqrt(n))) ** 2).sum(axis=1)
     w = w[np.argsort(-size, kind="stable")]

@@ -38,7 +38,7 @@ def convex_hull(points: np.ndarray) -> np.ndarray:
 def curve_plane(points: np.ndarray):
     """Centre, two in-plane axes, hull corners and margin of a curve."""
     if len(points) < 3 or np.linalg.matrix_rank(points - points.mean(axis=0)) < 2:
-        raise ValueError("Selection needs at least three noncollinear curve points.")
+        raise ValueError("A curve on one line encloses nothing.")
     centre = points.mean(axis=0)
     basis = np.linalg.eigh((points - centre).T @ (points - centre))[1][:, ::-1].T[:2]
     flat = (points - centre) @ basis.T

@@ -46,9 +46,12 @@ class AtlasResult:
 def load_specimens(spark: SparkSession, root: str, axes: str = "LPS"):
     """(mesh, landmarks, pixels, removed faces) of a dataset folder, checked and in RAS."""
     specimens = discovery.discover(spark, root)
+    checks.require_none(specimens.filter(~F.lower("mesh_path").endswith(".obj")), "Only OBJ meshes can be read.")
     raw = obj.read_obj(spark, f"{root}/models")
     mesh, removed = m.prepare(raw, axes)
     mesh, _ = m.renumber_faces(m.Mesh(cut(mesh.vertices), cut(mesh.faces), cut(mesh.corner_uv)))
+    bare = specimens.join(mesh.faces.select(F.col("mesh_id").alias("specimen_id")), "specimen_id", "left_anti")
+    checks.require_none(bare, "A specimen has no faces left.")
     marks = cut(landmarks.read_landmarks(spark, f"{root}/landmarks"))
     mesh = m.Mesh(mesh.vertices, cut(mesh.faces), cut(mesh.corner_uv))
     files = specimens.select(F.col("texture_path").alias("path"))
@@ -118,13 +121,16 @@ def build_atlas(mesh: m.Mesh, marks: DataFrame, pixels: DataFrame | None = None,
             aligned, resampled.withColumnRenamed("specimen_id", "mesh_id"), atlas.faces, atlas.corner_uv,
             pixels, size, size, options.extrusion, options.max_dist, options.margin,
         ))
-        average = average_texels(texels)
+        average = average_texels(texels, resampled.select("specimen_id").distinct().count())
     return AtlasResult(atlas, atlas_marks, chart_ids, aligned, resampled, texels, average)
 
 
-def average_texels(texels: DataFrame) -> DataFrame:
-    """Mean of byte texels over all specimens; a texel a specimen lacks counts as black, uncovered."""
-    n = texels.agg(F.count_distinct("texture_id")).scalar()
+def average_texels(texels: DataFrame, specimens: int) -> DataFrame:
+    """Mean of byte texels over all specimens; a texel a specimen lacks counts as black, uncovered.
+
+    ``specimens`` counts those without any texel too.
+    """
+    n = F.lit(specimens)
     return texels.groupBy("px", "py").agg(
         *[(F.floor(F.sum(c) / n) / 255.0).alias(c) for c in "rgb"], (F.max("alpha") / 255.0).alias("alpha")
     )

@@ -26,7 +26,7 @@ class Analysis:
 class ColorOptions:
     sample_count: int | None = 10000
     smoothing: int = 0
-    normalize: bool = True
+    normalize: bool = False
     clustering: bool = True
     clusters: int = 8
     initial_clusters: int = 24

@@ -14,7 +14,6 @@ MARKUPS = (
 )
 # Fixed value: column order of an FCSV file that does not name its columns.
 FCSV_COLUMNS = "id,x,y,z,ow,ox,oy,oz,vis,sel,lock,label,desc,associatedNodeID"
-WIDTH = 64  # columns of a CSV row that are looked at
 
 
 def specimen_of(path) -> F.Column:
@@ -48,6 +47,13 @@ def _json_points(files: DataFrame) -> DataFrame:
     )
 
 
+def csv_cells(row: F.Column) -> F.Column:
+    """The cells of a CSV row, however many; quotes around a cell go, doubled ones inside it become one."""
+    quoted = lambda c: F.trim(c).rlike('^".*"$')
+    inner = lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), '^"|"$', ""), '""', '"')
+    return F.transform(F.split(row, ',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda c: F.when(quoted(c), inner(c)).otherwise(c))
+
+
 def _table_points(files: DataFrame) -> DataFrame:
     text = files.filter("kind <> 'json'").select(
         "specimen_id", "kind", F.filter(F.split("text", "\r\n|\r|\n"), lambda s: F.trim(s) != "").alias("rows")
@@ -60,11 +66,9 @@ def _table_points(files: DataFrame) -> DataFrame:
         F.when(fcsv, F.coalesce(tagged("# CoordinateSystem"), F.lit("RAS"))).otherwise("RAS").alias("system"),
         F.when(fcsv, F.coalesce(tagged("# columns"), F.lit(FCSV_COLUMNS))).otherwise(F.get("rows", F.lit(0))).alias("columns"),
         F.when(fcsv, F.filter("rows", lambda s: ~s.startswith("#"))).otherwise(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0)))).alias("rows"),
-    ).withColumn("columns", F.transform(F.split("columns", ","), lambda c: F.trim(c)))
-    schema = ", ".join(f"c{i} string" for i in range(WIDTH))
+    ).withColumn("columns", F.transform(csv_cells(F.col("columns")), lambda c: F.trim(c)))
     cells = head.select("specimen_id", "system", "columns", F.posexplode("rows").alias("ord", "row")).withColumn(
-        "c", F.from_csv("row", F.lit(schema))
-    ).withColumn("c", F.array(*[F.col(f"c.c{i}") for i in range(WIDTH)]))
+        "c", csv_cells(F.col("row")))
 
     def field(name):
         at = F.array_position("columns", name)

@@ -143,3 +143,15 @@ def test_gpa_recovers_one_shape(spark):
     sizes = [r["size"] for r in align.centroid_size(lm).collect()]
     mean = np.array([[r["x"], r["y"], r["z"]] for r in fit.mean.collect()])
     assert np.isclose(np.linalg.norm(mean), np.mean(sizes))
+
+
+def test_incomplete_inputs_are_refused(spark):
+    ragged = spark.createDataFrame([(1, 1, 0.0), (1, 2, 1.0), (2, 1, 3.0), (3, 1, 1.0), (3, 2, 5.0)], "specimen_id int, feature_id int, value double")
+    with pytest.raises(ValueError):
+        models.fit_pca(ragged, 1)
+    colours = spark.createDataFrame(
+        [(s, i, 0.2, 0.4, 0.6, s == 1) for s in (1, 2) for i in range(3)], "specimen_id int, sample_id int, r double, g double, b double, valid boolean")
+    with pytest.raises(ValueError):
+        colors.normalization_stats(colours)
+    with pytest.raises(ValueError):
+        colors.process_colors(colours)

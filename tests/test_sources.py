@@ -147,3 +147,13 @@ def test_whole_flow(spark, dataset):
     assert out.palette.count() == 3 and out.processed.filter("valid AND label NOT IN (0, 1, 2)").count() == 0
     scores = population.run_population(out, "pca", 2).scores
     assert scores.count() == 8
+
+
+def test_landmark_table_is_wide_and_quoted(spark):
+    from surfpop.sources import landmarks
+
+    extra = ",".join(f"e{i}" for i in range(70))
+    text = f'{extra},"label","x",y,z\n' + ",".join(["0"] * 70) + ',"nose, ""tip""",1,2.5,-3\n'
+    got, problems = landmarks.parse_landmarks(spark.createDataFrame([("s", "csv", text)], "specimen_id string, kind string, text string"))
+    assert problems.isEmpty()
+    assert [tuple(r) for r in got.collect()] == [("s", 'nose, "tip"', 0, 1.0, 2.5, -3.0)]
