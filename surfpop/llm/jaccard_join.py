@@ -9,10 +9,11 @@ together (sets that are all alike) or ``levels`` is reached. Runs are repeated u
 meets with probability ``recall``; pairs above it meet more often.
 
 In an end node, sets are first held against each other by their ``SKETCH`` smallest shingle hashes: two sets at 0.8 share
-at least half of the smaller sketch but for a chance below one in a million. Only sets with such a partner
-are sent on whole. They are compared by brute force in blocks of chunk pairs, so a node that holds a third of all sets is
-many tasks. A block does not emit its pairs: it gives each set's number of links and enough edges to keep
-its linked sets connected. A pair that meets in several end nodes is counted in the smallest of them.
+at least half of the smaller sketch but for a chance below one in a million. A pair usually meets in several end
+nodes; each row knows the smaller end nodes of its set, so a pair is taken up in the smallest common one alone. Only
+sets with such a partner are sent on whole, to those nodes. They are compared by brute force in blocks of chunk pairs,
+so a node that holds a third of all sets is many tasks. A block does not emit its pairs: it gives each set's number of
+links and enough edges to keep its linked sets connected. A pair that meets in several end nodes is counted in the smallest of them.
 Connected sets are one class. Work in a group of copies grows with the square of its different sets, the
 rows that move with sets times chunks. Shingles are compared as 32-bit hashes.
 
@@ -154,6 +155,12 @@ def common_counts(tokens: list[np.ndarray]) -> np.ndarray:
     return total
 
 
+def met_earlier(block: pd.DataFrame) -> np.ndarray:
+    """Which pairs of the block are together in an end node smaller than this one."""
+    earlier = [np.asarray(x, np.int64) for x in block["_earlier"]]
+    return common_counts(earlier) > 0 if sum(map(len, earlier)) else np.zeros((len(block), len(block)), bool)
+
+
 def compare(block: pd.DataFrame, threshold: float) -> list[tuple[int, int, int]]:
     """(set, set it is connected to, links counted here) for the sets of a block that have a link."""
     tokens = [np.frombuffer(x, np.int32) for x in block["_tokens"]]
@@ -166,10 +173,7 @@ def compare(block: pd.DataFrame, threshold: float) -> list[tuple[int, int, int]]
         linked &= chunk[:, None] != chunk[None, :]
     if not linked.any():
         return []
-    leaf = block["_leaf"].iat[0]
-    earlier = [np.asarray(x)[np.asarray(x) < leaf] for x in block["_leaves"]]
-    elsewhere = common_counts(earlier) > 0 if sum(map(len, earlier)) else np.zeros_like(linked)
-    counts = (linked & ~elsewhere).sum(1)
+    counts = (linked & ~met_earlier(block)).sum(1)
     ids, root = block["_set"].to_numpy(), np.full(len(block), -1)
     for i in np.flatnonzero(linked.any(1)):
         if root[i] < 0:
@@ -182,12 +186,17 @@ def compare(block: pd.DataFrame, threshold: float) -> list[tuple[int, int, int]]
 
 
 def screen(block: pd.DataFrame, share: float = 0.5) -> list[tuple[int, int]]:
-    """(node, set) for the sets of a block whose sketch shares enough with another's."""
+    """(node, set) for the sets of a block whose sketch shares enough with that of a set not met in a smaller node."""
     tokens = [np.frombuffer(x, np.int32) for x in block["_tokens"]]
     size = np.array(list(map(len, tokens)), np.float64)
     close = common_counts(tokens) >= share * np.minimum(size[:, None], size[None, :])
     np.fill_diagonal(close, False)
-    return list(zip(block["_leaf"][close.any(1)].tolist(), block["_set"][close.any(1)].tolist()))
+    near = np.flatnonzero(close.any(1))
+    if not len(near):
+        return []
+    block = block.iloc[near]
+    fresh = (close[np.ix_(near, near)] & ~met_earlier(block)).any(1)
+    return list(zip(block["_leaf"][fresh].tolist(), block["_set"][fresh].tolist()))
 
 
 def in_blocks(rows: DataFrame, chunk: int, work, columns: list[str]) -> DataFrame:
@@ -215,14 +224,21 @@ def in_blocks(rows: DataFrame, chunk: int, work, columns: list[str]) -> DataFram
     return rows.repartition("_leaf", "_a", "_b").sortWithinPartitions("_leaf", "_a", "_b").mapInPandas(blocks, ", ".join(f"{c} long" for c in columns))
 
 
+def by_node(rows: DataFrame) -> DataFrame:
+    """A row per end node of (_set, _tokens, _ends), with the smaller end nodes of its set."""
+    return rows.select("_set", "_tokens", F.col("_ends._leaf").alias("_leaves"), F.inline("_ends")).withColumn(
+        "_earlier", F.filter("_leaves", lambda x: x < F.col("_leaf"))).drop("_leaves")
+
+
 def compare_blocks(ends: DataFrame, sets: DataFrame, threshold: float, chunk: int) -> DataFrame:
     """(_set, _to, _links) from all blocks of all end nodes."""
-    by_set = cut(ends.groupBy("_set").agg(F.collect_list(F.struct("_leaf", "_n")).alias("_ends")))
-    sketched = beside(sets.select("_set", F.col("_sketch").alias("_tokens")), by_set).select("_set", "_tokens", F.inline("_ends"))
+    def per_set(nodes):
+        return cut(nodes.groupBy("_set").agg(F.collect_list(F.struct("_leaf", "_n")).alias("_ends")))
+
+    sketched = by_node(beside(sets.select("_set", F.col("_sketch").alias("_tokens")), per_set(ends)))
     near = cut(in_blocks(sketched, chunk, screen, ["_leaf", "_set"]).distinct())
     near = near.join(near.groupBy("_leaf").agg(F.count(F.lit(1)).alias("_n")), "_leaf")
-    by_set = cut(near.groupBy("_set").agg(F.array_sort(F.collect_list("_leaf")).alias("_leaves"), F.collect_list(F.struct("_leaf", "_n")).alias("_ends")))
-    whole = beside(sets.select("_set", "_tokens"), by_set).select("_set", "_tokens", "_leaves", F.inline("_ends"))
+    whole = by_node(beside(sets.select("_set", "_tokens"), per_set(near)))
     return in_blocks(whole, chunk, lambda block: compare(block, threshold), ["_set", "_to", "_links"])
 
 
