@@ -3,8 +3,10 @@
 Markup is stripped into lines, one per block element, in page order. Lines that belong to menus,
 headers, footers, sidebars, notices, adverts, forms or comments, and lines made of links, have no weight.
 The weights are summed over sliding windows of lines; a sum that rises over the threshold is a surge, a
-fall to zero is a dive, and the lines between a surge and its dive are text. Where the page marks its
-article, only lines inside it have weight and unweighted lines inside it do not count as a fall.
+fall to zero is a dive, and the lines between a surge and its dive are text. Windows run over the lines
+of one rank (in an article, a main, a named element, none), so a part of another rank cuts no text in two.
+The rank goes into the weights: a line of the highest rank weighs a surge more than its length, and a line
+outside article and main weighs less the more of the page's text is of higher rank.
 
 Each page is read alone, in Arrow batches, in the tasks that scan it: no shuffle. The scan of a page is
 linear in its length.
@@ -173,19 +175,26 @@ def main_text(page: str | None, window: int = 3, surge_share: float = 0.2) -> st
     if not page:
         return ""
     lines = lines_of(page)
-    weighed = [not aside and links <= 0.6 * len(text) for text, links, aside, _ in lines]
-    top = max((rank for (_, _, _, rank), ok in zip(lines, weighed) if ok), default=0)
-    if top:
-        chosen = [text for (text, _, aside, rank), ok in zip(lines, weighed) if not aside and rank >= top]
-        return "\n\n".join(chosen)
-    weights: list[int] = []
-    place: list[int] = []
-    for i, ((text, *_), ok) in enumerate(zip(lines, weighed)):
-        weights += [len(text)] if ok else [0] * window  # a stripped part is a gap the windows can fall into
+    weighed = [not aside and (rank == 3 or links <= 0.6 * len(text)) for text, links, aside, rank in lines]
+    chars = [0, 0, 0, 0]
+    for (text, _, _, rank), ok in zip(lines, weighed):
+        chars[rank] += len(text) if ok else 0
+    if not any(chars):
+        return ""
+    top = max(rank for rank in range(4) if chars[rank])
+    share = [1.0 if rank > 1 else 1 - sum(chars[rank + 1:]) / sum(chars) for rank in range(4)]
+    ranks: dict[int, tuple[list[float], list[int]]] = {}
+    for i, ((text, _, aside, rank), ok) in enumerate(zip(lines, weighed)):
+        weights, place = ranks.setdefault(rank, ([], []))
+        weights += [len(text) * share[rank]] if ok else [0] * window  # a stripped part is a gap the windows can fall into
         place += [i] if ok else [-1] * window
-    most = max((sum(weights[i:i + window]) for i in range(len(weights))), default=0)
-    keep = between(weights, window, surge_share * most)
-    return "\n\n".join(lines[i][0] for i, ok in zip(place, keep) if ok)
+    surge = surge_share * max(sum(weights[i:i + window]) for weights, _ in ranks.values() for i in range(len(weights)))
+    chosen: list[int] = []
+    for rank, (weights, place) in ranks.items():
+        if rank and rank == top:
+            weights = [w + surge if w else 0 for w in weights]
+        chosen += [i for i, ok in zip(place, between(weights, window, surge)) if ok]
+    return "\n\n".join(lines[i][0] for i in sorted(chosen))
 
 
 def extract(pages: DataFrame, html: str = "html", window: int = 3, surge_share: float = 0.2) -> DataFrame:

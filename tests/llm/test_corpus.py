@@ -205,6 +205,19 @@ def test_html():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p></p>") == ""
 
 
+def test_html_teaser_article_beside_the_body():
+    body = [f"Paragraph {i} of the body. " + "It goes on and on. " * 12 for i in range(6)]
+    want = "\n\n".join(x.strip() for x in body)
+    text = "".join(f"<p>{x}</p>" for x in body)
+    teaser = '<article class="card"><p>Another story in short.</p></article>'
+    for page in (f"<main>{text}{teaser}</main>", f"<div>{text}</div>{teaser}", f"{teaser}<div>{text}</div>", f'<div>{text}</div><section class="content"><p>Short.</p></section>'):
+        assert want in html_text.main_text(page)
+    split = f"<main>{text}{teaser}<p>End.</p></main>"
+    assert want in html_text.main_text(split) and html_text.main_text(split).endswith("End.")
+    whole = f"<div>Loose words.</div><article>{text}<p>Short.</p></article><div>More loose words.</div>"
+    assert html_text.main_text(whole) == want + "\n\nShort."
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a b/", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (None, "u", "WARC/1.1\r\n\r\n\r\nWARC-Type: response"), (5, "u", "é" * 100_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
