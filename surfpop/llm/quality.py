@@ -5,6 +5,8 @@ A line fails
   ``min_line_words`` words without an end mark;
 - navigation: at least ``min_bars`` separators with at most ``max_bar_words`` words between two of them;
 - boilerplate: at most ``max_notice_words`` words that hold one of the fixed phrases.
+A letter is one of any script, with case or without. Scripts that set no space between words count two
+letters as a word of the line; the document's own words stay those between white space.
 Blank lines neither fail nor count. A document is rejected if the base rules fail, or if the words left
 are fewer than ``min_words``, or if more than ``max_lost`` of its word characters went with failing lines.
 
@@ -34,7 +36,15 @@ NOTICES = (
     "javascript is disabled", "log in to", "lorem ipsum", "privacy policy", "share this", "sign up for",
     "skip to content", "subscribe to", "terms of service", "terms of use", "this site uses cookies",
 )
-END_MARKS = ".!?:;…。！？\"'”’»)]"
+END_MARKS = (
+    ".!?:;…\"'”’»›)]"
+    "。！？：；｡．」』）】》〉"  # Chinese, Japanese
+    "؟؛۔"  # Arabic, Urdu
+    "।॥"  # danda
+    "׃։՞՜።፧፨။៕។།༎๚๛\u037e"  # Hebrew, Armenian, Ethiopic, Burmese, Khmer, Tibetan, Thai, Greek
+)
+UNSPACED = re.compile(  # Thai, Lao, Tibetan, Burmese, Khmer, kana, ideographs
+    "[\u0e01-\u0e2e\u0e81-\u0eae\u0f40-\u0f6c\u1000-\u102a\u1780-\u17b3\u3041-\u3096\u30a1-\u30fa\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 BARS = re.compile(r"[|•·»›]|\s[>/]\s")
 NOTICE = re.compile("|".join(map(re.escape, NOTICES)), re.IGNORECASE)
 
@@ -84,9 +94,11 @@ def repeated_words(words: list[bytes], window: int) -> int:
 def line_fails(line: str, rules: Rules) -> str | None:
     """The rule that a line with words fails."""
     n, bars = len(line.encode("utf-8", "surrogatepass").split()), len(BARS.findall(line))
+    if not line.isascii():
+        n += len(UNSPACED.findall(line)) // 2
     if bars >= rules.min_bars and n - bars <= rules.max_bar_words * (bars + 1):
         return "navigation"
-    if line.lower() == line.upper() or (n < rules.min_line_words and line.strip(BLANK)[-1] not in END_MARKS):
+    if not any(map(str.isalpha, line)) or (n < rules.min_line_words and line.strip(BLANK)[-1] not in END_MARKS):
         return "punctuation"
     if sum(map(line.count, SYMBOLS)) > rules.max_symbol_ratio * n:
         return "punctuation"

@@ -92,6 +92,23 @@ def test_quality_rules(spark, docs):
     assert quality.quality(empty(spark)).count() == 0
 
 
+def test_quality_of_scripts_without_case(spark):
+    clean = {
+        1: ["ذهب الولد إلى المدرسة في الصباح الباكر مع أخيه الصغير.", "هل عاد إلى البيت قبل غروب الشمس مع أصدقائه؟", "نعم عاد؟", "ثم جلس يقرأ كتابا جديدا عن تاريخ البلاد القديمة."],
+        2: ["राम सुबह जल्दी उठकर अपने खेत की ओर चला गया।", "वहाँ उसने देखा कि सारी फसल अच्छी तरह पक गई है।", "वह खुश।", "शाम को वह अपने घर लौटा और सबको यह बात बताई।"],
+        3: ["아침 일찍 그는 작은 가방을 들고 학교로 걸어갔다.", "길에서 오래된 친구를 만나 함께 이야기를 나누었다.", "저녁에는 가족과 함께 밥을 먹고 책을 읽었다.", "그리고 일찍 잠자리에 들어 좋은 꿈을 꾸었다."],
+    }
+    found = spark.createDataFrame([(k, "\n".join(v)) for k, v in clean.items()] + [(4, "12 34 56 78 — 9.\n" * 9)], SCHEMA)
+    rows = {r["doc_id"]: r["_quality"] for r in quality.quality(found).collect()}
+    assert [(rows[k]["kept"], rows[k]["n_failed_lines"]) for k in (1, 2, 3)] == [(True, 0)] * 3
+    assert not rows[4]["kept"] and rows[4]["n_failed_lines"] == 9
+    rules = quality.Rules()
+    for line in ("他每天早上都去公园散步，然后回家吃早饭#", "彼は毎朝早く起きて公園まで散歩します", "เขาเดินไปโรงเรียนทุกเช้ากับน้องชาย", "הילד הלך לבית הספר בבוקר"):
+        assert quality.line_fails(line, rules) is None
+    assert quality.line_fails("首页 | 新闻 | 体育 | 联系", rules) == "navigation"
+    assert quality.line_fails("١٢٣ ٤٥٦ ٧٨٩.", rules) == "punctuation"
+
+
 def test_packing(spark, docs, real):
     from tokenizers import Tokenizer
     import public_tokenizers
