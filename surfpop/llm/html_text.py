@@ -1,7 +1,8 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one per block element, in page order. Lines that belong to menus,
-headers, footers, sidebars, notices, adverts, forms or comments, and lines made of links, have no weight.
+headers, footers, sidebars, notices, adverts, forms or comments have no weight, nor outside the article have
+lines made of links where a whole window of lines is.
 The weights are summed over sliding windows of lines; a sum that rises over the threshold is a surge, a
 fall to zero is a dive, and the lines between a surge and its dive are text. Windows run over the lines
 of one rank (in an article, a main, a named element, none), so a part of another rank cuts no text in two.
@@ -12,7 +13,8 @@ Each page is read alone, in Arrow batches, in the tasks that scan it: no shuffle
 linear in its length.
 
 Defined results: null or empty html gives an empty text. Unclosed elements end with their parent; an
-article, a main or a heading of level 1 ends an unclosed menu, header or notice. ``br`` is white space.
+article, a main or a heading of level 1 ends an unclosed menu, header or notice. A link is an ``a`` with an
+``href``; it ends with the block around it, and one without an end tag at the next block. ``br`` is white space.
 """
 
 from __future__ import annotations
@@ -47,19 +49,27 @@ ATTRIBUTE = re.compile(r"([^\s=\"'/>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|
 WORD = re.compile(r"[A-Za-z]+")
 SPACE = re.compile(r"\s+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+LINK = re.compile(r"<(/?)a(?=[\s/>])", re.IGNORECASE)
+HREF = re.compile(r"(?:^|[\s\"'/])href\s*+=", re.IGNORECASE)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Inside an article only these are aside by a word of their id; others have slugs of their titles there.
+BOXES = frozenset("div ul ol table".split())
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def part_of(tag: str, attributes: str) -> str:
-    """What an element opens: "aside", "text" or nothing."""
+def part_of(tag: str, attributes: str, article: bool = False) -> str:
+    """What an element opens, here inside an ``article``: "aside", "text" or nothing."""
     if tag in ASIDE:
         return "aside"
     if attributes:
         named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
         if "hidden" in named or named.get("aria-hidden") == "true" or HIDDEN.search(named.get("style", "")):
             return "aside"
-        words = {w.lower() for w in WORD.findall(CAMEL.sub(" ", f"{named.get('class', '')} {named.get('id', '')}"))}
-        if tag not in ("body", "html", "main", "article") and (words & ASIDE_WORDS or named.get("role", "").lower() in ASIDE_ROLES):
+        words, marks = ({w.lower() for w in WORD.findall(CAMEL.sub(" ", named.get(x, "")))} for x in ("class", "id"))
+        slug = tag in HEADINGS or article and (tag not in BOXES or "section" in words)
+        aside = words if slug else words | marks
+        words = words | marks
+        if tag not in ("body", "html", "main", "article") and (aside & ASIDE_WORDS or named.get("role", "").lower() in ASIDE_ROLES):
             return "aside"
         if tag == "article" and words & {"comment", "comments", "reply", "ad", "advert", "promo", "sponsored", "related"}:
             return "aside"
@@ -74,7 +84,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
     """(text, characters in links, aside, rank of the text element around: 3 article, 2 main, 1 named, 0 none)."""
     lines, buffer = [], []
     stack: list[tuple[str, bool, int, bool]] = []  # tag, aside, rank, opened the aside
-    aside, rank, links, in_link, at = False, 0, 0, 0, 0
+    aside, rank, links, at = False, 0, 0, 0
+    in_link, closed, depth = False, False, 0  # in a link, it has an end tag, elements around it
 
     def flush():
         nonlocal links
@@ -94,8 +105,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
                 links += len(piece.strip())
 
     def restore():
-        nonlocal aside, rank
+        nonlocal aside, rank, in_link
         aside, rank = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+        in_link = in_link and len(stack) >= depth
 
     while True:
         m = TOKEN.search(page, at)
@@ -107,7 +119,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
             continue
         if m[1]:
             if tag == "a":
-                in_link = 0
+                in_link = False
+            if tag in BLOCKS:
+                in_link = in_link and closed
             if tag in BLOCKS or any(x[0] == tag for x in stack):
                 if tag in BLOCKS or aside:
                     flush()
@@ -127,9 +141,16 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
             buffer.append(" ")
             continue
         if tag == "a":
-            in_link = 1
+            in_link = HREF.search(m[3]) is not None
+            if in_link:
+                following = LINK.search(page, at)
+                closed, depth = following is not None and bool(following[1]), len(stack)
         if tag in BLOCKS:
             flush()
+            in_link = in_link and closed
+            if stack and stack[-1][0] == "p":  # a block ends the paragraph before it
+                stack.pop()
+                restore()
         if tag in ("article", "main", "h1", "body") and aside:
             for k, x in enumerate(stack):  # an unclosed menu or header ends here
                 if x[3] and (x[0] in ("nav", "header", "menu", "form", "head") and tag != "h1" or x[0] in ("nav", "head")):
@@ -142,7 +163,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
                 restore()
         if tag in VOID:
             continue
-        kind = part_of(tag, m[3])
+        kind = part_of(tag, m[3], rank == 3)
         heading = tag in ("h1", "h2") and aside and any(x[0] == "article" for x in stack) and next(x[0] for x in stack if x[3]) == "header"
         here = 3 if tag == "article" else 2 if tag == "main" else 1 if kind == "text" else 0
         if tag in BLOCKS or kind or tag in ASIDE:
@@ -171,11 +192,27 @@ def between(weights: list[int], window: int, surge: float, dive: int = 0) -> lis
     return keep
 
 
+def made_of_links(lines: list[tuple[str, int]], window: int, share: float = 0.6) -> list[bool]:
+    """The lines made of links in a window of lines that is, so a link between paragraphs is none."""
+    n, made = len(lines), [False] * len(lines)
+    width = max(1, min(window, n))
+    for i in range(n - width + 1):
+        part = lines[i:i + width]
+        if sum(x[1] for x in part) > share * sum(len(x[0]) for x in part):
+            for k in range(i, i + width):
+                made[k] = made[k] or lines[k][1] > share * len(lines[k][0])
+    return made
+
+
 def main_text(page: str | None, window: int = 3, surge_share: float = 0.2) -> str:
     if not page:
         return ""
     lines = lines_of(page)
-    weighed = [not aside and (rank == 3 or links <= 0.6 * len(text)) for text, links, aside, rank in lines]
+    weighed = [not aside for _, _, aside, _ in lines]
+    for level in range(3):
+        own = [i for i, (_, _, aside, rank) in enumerate(lines) if rank == level and not aside]
+        for i, made in zip(own, made_of_links([lines[i][:2] for i in own], window)):
+            weighed[i] = not made
     chars = [0, 0, 0, 0]
     for (text, _, _, rank), ok in zip(lines, weighed):
         chars[rank] += len(text) if ok else 0

@@ -235,6 +235,20 @@ def test_html_teaser_article_beside_the_body():
     assert html_text.main_text(whole) == want + "\n\nShort."
 
 
+def test_html_links_and_ids():
+    tail = "<p>" + "Words that follow. " * 9 + "</p>"
+    end = ("Words that follow. " * 9).strip()
+    for start in ('<p><a name="top">Top', '<p><a name="top">Top</p>', '<p><a href="/x">Top</p>', '<p><a href="/x">Top', '<a href="/x">Top', '<div><a href="/x">Top</div>'):
+        for page in (f"<article>{start}{tail * 3}</article>", f"<body>{start}{tail * 3}</body>", f"<main>{start}{tail}<h2>Head</h2>{tail}<p>See <a href=y>y</a>.</p>{tail}"):
+            assert html_text.main_text(page).count(end) == 3
+    listed = "<ul><li><a href=/1>One</a></li><li><a href=/2>Two</a></li><li><a href=/3>Three</a></li></ul>"
+    assert html_text.main_text(f"<article>{tail}<p><a href=/r>The whole report</a></p>{listed}</article>").endswith("The whole report\n\nOne\n\nTwo\n\nThree")
+    assert html_text.main_text(f"<div>{listed}{tail}<p><a href=/r>The whole report</a></p>{tail}</div>") == f"{end}\n\nThe whole report\n\n{end}"
+    ids = f'<article>{tail}<section id="search-methods"><h2 id="related-work">Work</h2><p id="share-3">Kept.</p></section><div id="comments">Gone.</div></article>'
+    assert html_text.main_text(ids) == f"{end}\n\nWork\n\nKept."
+    assert html_text.main_text(f'<div>{tail}<h2 id="notice-of-change">Head</h2>{tail}</div><div id="sidebar">Gone.</div>') == f"{end}\n\nHead\n\n{end}"
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a b/", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (None, "u", "WARC/1.1\r\n\r\n\r\nWARC-Type: response"), (5, "u", "é" * 100_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
