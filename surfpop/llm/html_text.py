@@ -4,7 +4,8 @@ Markup is stripped into lines, one per block element, in page order. Lines that
 headers, footers, sidebars, notices, adverts, forms or comments have no weight, nor outside the article have
 lines made of links where a whole window of lines is.
 The weights are summed over sliding windows of lines; a sum that rises over the threshold is a surge, a
-fall to zero is a dive, and the lines between a surge and its dive are text. Windows run over the lines
+fall to zero is a dive, and the lines between a surge and its dive are text. The threshold is a share of the
+median weight of a line, so one long paragraph does not raise it. Stripped parts are no lines and end no run. Windows run over the lines
 of one rank (in an article, a main, a named element, none), so a part of another rank cuts no text in two.
 The rank goes into the weights: a line of the highest rank weighs a surge more than its length, and a line
 outside article and main weighs less the more of the page's text is of higher rank.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import re
 from html import unescape
+from statistics import median
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -222,10 +224,11 @@ def main_text(page: str | None, window: int = 3, surge_share: float = 0.2) -> st
     share = [1.0 if rank > 1 else 1 - sum(chars[rank + 1:]) / sum(chars) for rank in range(4)]
     ranks: dict[int, tuple[list[float], list[int]]] = {}
     for i, ((text, _, aside, rank), ok) in enumerate(zip(lines, weighed)):
-        weights, place = ranks.setdefault(rank, ([], []))
-        weights += [len(text) * share[rank]] if ok else [0] * window  # a stripped part is a gap the windows can fall into
-        place += [i] if ok else [-1] * window
-    surge = surge_share * max(sum(weights[i:i + window]) for weights, _ in ranks.values() for i in range(len(weights)))
+        if not aside:
+            weights, place = ranks.setdefault(rank, ([], []))
+            weights.append(len(text) * share[rank] if ok else 0)
+            place.append(i)
+    surge = surge_share * median(w for weights, _ in ranks.values() for w in weights if w)
     chosen: list[int] = []
     for rank, (weights, place) in ranks.items():
         if rank and rank == top:

@@ -249,6 +249,15 @@ def test_html_links_and_ids():
     assert html_text.main_text(f'<div>{tail}<h2 id="notice-of-change">Head</h2>{tail}</div><div id="sidebar">Gone.</div>') == f"{end}\n\nHead\n\n{end}"
 
 
+def test_html_short_paragraphs_after_a_gap():
+    long, short, advert = "Long text here. " * 187, "Short text here. " * 9, '<div class="ad">Buy this.</div>'
+    page = f"<div><h2>Head</h2>{advert}<p>{long}</p>{advert}<p>{short}</p><p>{short}</p>{advert}<p>End.</p></div>"
+    assert html_text.main_text(page) == "\n\n".join(["Head", long.strip(), short.strip(), short.strip(), "End."])
+    links = "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(6))
+    page = f"<div><p>{long}</p><ul>{links}</ul><p>{short}</p><p>{short}</p></div>"
+    assert html_text.main_text(page) == "\n\n".join([long.strip(), short.strip(), short.strip()])
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a b/", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (None, "u", "WARC/1.1\r\n\r\n\r\nWARC-Type: response"), (5, "u", "é" * 100_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
