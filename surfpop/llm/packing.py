@@ -7,7 +7,8 @@ capacity and not on the corpus. Then pieces are numbered within their length and
 of that number. The numbering works in blocks, so a length that a third of all pieces has is many tasks.
 
 Defined results: a null or empty text is the end mark alone. Rows that share an id are packed each on
-its own. Token marks inside a text are ordinary text.
+its own. ``<|endoftext|>`` inside a text is one token, as the vocabulary's own file has it, and parts the text
+around it.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from surfpop.llm.common import NO_ID, id_of, query, table
 from surfpop.session import cut, number_rows
 
 BLOCK_ROWS = 200_000
+#: The one added token of byte_bpe_50k.
+MARK, MARK_ID = "<|endoftext|>", 50256
 
 
 @lru_cache(maxsize=2)
@@ -37,7 +40,11 @@ def encoder(ranks: str | None):
     path = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     with open(path, "rb") as lines:
         table_of = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table_of, special_tokens={})
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table_of, special_tokens={MARK: MARK_ID})
+
+
+def token_ids(tool, content: str) -> list[int]:
+    return tool.encode(content, allowed_special={MARK}, disallowed_special=()) if MARK in content else tool.encode_ordinary(content)
 
 
 def pieces_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 1024, end_id: int = 2,
@@ -51,7 +58,7 @@ def pieces_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capac
         for batch in batches:
             rows = []
             for doc, content in zip(batch["_doc"], batch["_text"]):
-                ids = np.array([*tool.encode_ordinary(content or ""), end_id], "<u4")
+                ids = np.array([*token_ids(tool, content or ""), end_id], "<u4")
                 first = len(ids) % capacity
                 starts = range(first - capacity if first else 0, len(ids), capacity)
                 for piece, at in enumerate(starts):

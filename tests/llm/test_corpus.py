@@ -132,6 +132,19 @@ def test_packing(spark, docs, real):
     assert all(len(r["ids"]) <= 64 for r in whole) and sum(len(r["pieces"]) for r in whole) == packing.pieces_of(docs, capacity=64).count()
 
 
+def test_packing_of_the_added_token(spark):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    tool = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x  <|endoftext|>\n\n<|endoftext|", "no mark <|ENDOFTEXT|> <|im_end|>", "é<|endoftext|>" * 900]
+    pieces = packing.pieces_of(spark.createDataFrame(list(enumerate(texts)), SCHEMA), with_ids=True).collect()
+    for i, text in enumerate(texts):
+        own = sorted((r for r in pieces if r["_doc"] == i), key=lambda r: r["piece"])
+        assert [x for r in own for x in r["ids"]] == tool.encode(text, add_special_tokens=False).ids + [2]
+    assert [x for r in pieces if r["_doc"] == 0 for x in r["ids"]] == [64, 220, 50256, 275, 2]
+
+
 def test_best_fit_is_best_fit():
     rng = np.random.default_rng(3)
     lengths = rng.integers(1, 101, 3000)
