@@ -314,3 +314,85 @@ def test_pipeline_stages(spark):
         seen = now
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert set(r["doc_id"] for r in packed.select("doc_id").collect()) == seen and len(seen) > 100
+
+
+def plain_quality(docs):
+    """The rules once more, without the module's own functions."""
+    def fails(line):
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", line))
+        bars = len(re.findall(r"[|•·»›]|\s[>/]\s", line))
+        if bars >= 3 and n - bars <= 4 * (bars + 1) or not any(c.isalpha() for c in line):
+            return True
+        if n < 3 and line.strip(" \t\n\x0b\x0c\r")[-1] not in quality.END_MARKS or sum(c in "#*$%&|<>" for c in line) > 0.3 * n:
+            return True
+        return n <= 30 and any(x in line.lower() for x in quality.NOTICES)
+
+    kept = {}
+    for doc, text in docs.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        grams = [tuple(words[i:i + 8]) for i in range(len(words) - 7)]
+        times = collections.Counter(grams)
+        hit = {k for i, g in enumerate(grams) if times[g] > 1 for k in range(i, i + 8)}
+        left = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r") and not fails(x)]
+        left_words = [w for x in left for w in re.findall(r"[^\x20\x09-\x0D]+", x)]
+        if len(words) >= 20 and 100 * len(hit) <= 30 * len(words) and len(left_words) >= 20 and 2 * sum(map(len, left_words)) >= sum(map(len, words)):
+            kept[doc] = text
+    return kept
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
+def plain_line_dedup(docs):
+    key = lambda line: lower(line.strip(" \t\n\x0b\x0c\r"))
+    holders = collections.defaultdict(set)
+    for doc, text in docs.items():
+        for line in text.split("\n"):
+            holders[key(line)].add(doc)
+    return {doc: "\n".join(x for x in text.split("\n") if len(key(x)) < 10 or doc == min(holders[key(x)])) for doc, text in docs.items()}
+
+
+def plain_words(text):
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", lower(text))
+
+
+def plain_near_duplicates(docs):
+    sets = {}
+    for doc, text in docs.items():
+        w = plain_words(text)
+        sets[doc] = {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    of = {doc: doc for doc in docs}  # smallest document of the class
+    for a in docs:
+        for b in docs:
+            if a < b and sets[a] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) and of[a] != of[b]:
+                one, two = sorted((of[a], of[b]))
+                of = {d: one if c == two else c for d, c in of.items()}
+    return {doc: text for doc, text in docs.items() if of[doc] == doc}
+
+
+def plain_decontamination(docs, items):
+    windows = set()
+    for text in items:
+        w = plain_words(text)
+        windows |= {tuple(w[i:i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
+    sizes = {len(x) for x in windows}
+    clean = {}
+    for doc, text in docs.items():
+        w = plain_words(text)
+        if not any(tuple(w[i:i + n]) in windows for n in sizes for i in range(len(w) - n + 1)):
+            clean[doc] = text
+    return clean
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    plain = {r["doc_id"]: r["text"] for r in docs.collect()}
+    steps = [plain_quality, plain_line_dedup, plain_near_duplicates, lambda d: plain_decontamination(d, items)]
+    for (name, stage), step in zip(corpus_pipeline.STAGES, steps):
+        docs, plain = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema), step(plain)
+        rows = docs.collect()
+        assert len(rows) == len(plain) and {r["doc_id"]: r["text"] for r in rows} == plain, name
