@@ -12,7 +12,7 @@ Every byte under a string of ``length`` bytes that also starts anywhere else goe
    are left there agree in ``length`` bytes.
 
 Ranks and sort keys are hashes of the strings (64 bits for samples, 80 for suffixes), since only equality is asked
-for; no text and no whole rank array is ever gathered. Texts are processed in chunks of about ``CHUNK_BYTES``;
+for: the samples preselect suffixes and settle no tie between them; no text and no whole rank array is ever gathered. Texts are processed in chunks of about ``CHUNK_BYTES``;
 a chunk sends each key once, with a mark if it has it several times, and gets back a bit per key, so a
 passage found in a third of all texts is one entry per chunk. A chunk makes its keys anew to read the bits. Buckets hold about ``BUCKET_KEYS`` keys.
 
