@@ -138,18 +138,19 @@ def shortcuts(edges: DataFrame, doublings: int = 2, max_degree: int = 16) -> Dat
     """Edges plus the shortest ways over up to 2**doublings edges.
 
     Distances stay exact and relaxing needs that many times fewer rounds. A face has
-    three sides, so this stays small; where faces crowd on one side it is left out.
+    three sides, so this stays small; a mesh whose faces crowd on one side keeps its
+    plain edges, whatever meshes stand beside it.
     """
-    crowd = edges.groupBy("mesh_id", "face_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    if crowd is None or crowd > max_degree:
-        return edges
-    out = edges.select("mesh_id", "face_id", "nbr_id", "w")
+    crowded = cut(edges.groupBy("mesh_id", "face_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_degree).select("mesh_id").distinct())
+    edges = edges.select("mesh_id", "face_id", "nbr_id", "w")
+    plain = edges.join(crowded, ["mesh_id"], "left_semi")
+    out = edges.join(crowded, ["mesh_id"], "left_anti")
     for _ in range(doublings):
         far = out.select("mesh_id", F.col("nbr_id").alias("_mid"), "face_id", "w").join(
             out.select("mesh_id", F.col("face_id").alias("_mid"), "nbr_id", F.col("w").alias("w2")), ["mesh_id", "_mid"]
         ).filter(F.col("face_id") != F.col("nbr_id")).select("mesh_id", "face_id", "nbr_id", (F.col("w") + F.col("w2")).alias("w"))
         out = cut(out.unionByName(far).groupBy("mesh_id", "face_id", "nbr_id").agg(F.min("w").alias("w")))
-    return out
+    return out.unionByName(plain)
 
 
 def nearest_sample(edges: DataFrame, seeds: DataFrame) -> DataFrame:

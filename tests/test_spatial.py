@@ -172,6 +172,16 @@ def test_adjacency_keeps_all_pairs_on_a_crowded_edge(spark):
     assert graph.adjacency(f).count() == 6
 
 
+def test_shortcuts_of_a_mesh_do_not_depend_on_others(spark):
+    pairs = [(1, i, i + 1) for i in range(6)] + [(2, 0, i) for i in range(1, 21)]
+    rows = [(k, *e, 1.0) for k, a, b in pairs for e in ((a, b), (b, a))]
+    edges = spark.createDataFrame(rows, "mesh_id long, face_id long, nbr_id long, w double")
+    alone = sorted(map(tuple, graph.shortcuts(edges.filter("mesh_id = 1")).collect()))
+    beside = sorted(map(tuple, graph.shortcuts(edges).collect()))
+    assert len(alone) > 12 and [r for r in beside if r[0] == 1] == alone
+    assert [r for r in beside if r[0] == 2] == sorted(r for r in rows if r[0] == 2)
+
+
 def test_knn_is_exact_with_a_crowded_cell(spark):
     rng = np.random.default_rng(1)
     x = np.vstack([rng.normal(size=(60, 5)), 20 + 0.01 * rng.normal(size=(40, 5))])
