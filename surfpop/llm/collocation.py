@@ -25,6 +25,7 @@ from collections import defaultdict
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,43 +35,66 @@ from surfpop.session import cut
 #: Marks between pieces; fixed values of the result contract.
 MARKS = ".,;:!?\n\x0b\x0c\r"
 DEPTH = 4
-CHUNK_BYTES = 12 << 20
-RANGE_BYTES = 16 << 20
+CHUNK_BYTES = 10 << 20
+RANGE_BYTES = 12 << 20
 #: Composed at once with one range's transducer.
 BLOCK_PARTS = 1_000_000
 FOLD = bytes.maketrans((UPPER + MARKS + "\t").encode(), (LOWER + "\n" * len(MARKS) + " ").encode())
 TOKEN = re.compile(rb"[^ \n]+|\n")
 
 
-def folded(text: str | None) -> bytes:
+def folded(text: bytes | None) -> bytes:
     """The text in lower case, words between blanks and pieces between line ends."""
-    return (text or "").encode().translate(FOLD)
+    return (text or b"").translate(FOLD)
 
 
-def coded(tokens: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-    """Ids of the tokens in the order of their bytes, 0 for line ends, and the words by id."""
-    codes, found = pd.factorize(np.array(tokens, object))
-    order = sorted(range(len(found)), key=lambda i: b"" if found[i] == b"\n" else found[i])
-    words = [found[i] for i in order]
-    if not words or words[0] != b"\n":
-        words, order = [b"\n", *words], [-1, *order]
-    place = np.empty(len(words), np.int64)
-    place[order] = np.arange(len(words))
-    return place[codes], words
+def strings(offsets: np.ndarray, data) -> pa.BinaryArray:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
 
 
-def windows(ids: np.ndarray) -> np.ndarray:
+def ordered(found: pa.BinaryArray) -> tuple[np.ndarray, pa.BinaryArray]:
+    """Per string its id in the order of the bytes, from 1, and the distinct strings in that order."""
+    found = found.dictionary_encode()
+    order = pc.sort_indices(found.dictionary)
+    place = np.empty(len(order), np.int32)
+    place[order.to_numpy()] = np.arange(1, len(order) + 1)
+    return place[found.indices.to_numpy()], found.dictionary.take(order)
+
+
+def coded(data: bytes) -> tuple[np.ndarray, np.ndarray, pa.BinaryArray]:
+    """Per word its id in the order of the words' bytes, from 1, and its piece; then the words."""
+    chars = np.frombuffer(data, np.uint8)
+    letter = (chars != 32) & (chars != 10)
+    begin = np.flatnonzero(letter & np.r_[True, ~letter[:-1]])
+    pieces = np.cumsum(chars == 10, dtype=np.int32)[begin]
+    ends = np.cumsum(letter, dtype=np.int32)  # letters so far: where words end once blanks are left out
+    ids, words = ordered(strings(np.r_[ends[begin] - 1, ends[-1:]], chars[letter]))
+    return ids, pieces, words
+
+
+def windows(ids: np.ndarray, pieces: np.ndarray) -> np.ndarray:
     """A row of ``DEPTH`` ids per word, 0 from the end of its piece on."""
-    padded = np.r_[ids, np.zeros(DEPTH, np.int64)]
-    out = np.stack([padded[k:k + len(ids)] for k in range(DEPTH)], 1)
-    for k in range(1, DEPTH):
-        out[out[:, k - 1] == 0, k] = 0
-    return out[ids > 0]
+    out = np.zeros((len(ids), DEPTH), np.int32)
+    for k in range(min(DEPTH, len(ids))):
+        rest = len(ids) - k
+        out[:rest, k] = np.where(pieces[k:] == pieces[:rest], ids[k:], 0)
+    return out
 
 
 def summed(grams: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows in ascending order with the sums of their weights."""
-    order = np.lexsort(((grams[:, 2] << 32) | grams[:, 3], (grams[:, 0] << 32) | grams[:, 1]))
+    wide = int(grams.max(initial=0)).bit_length()
+    pair = lambda k: (grams[:, k].astype(np.int64) << wide) | grams[:, k + 1]
+    first, second = pair(0), pair(2)
+    if 4 * wide > 63:  # the first pair by its rank, so that all four fit one number
+        order = np.argsort(first)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.cumsum(np.diff(first[order], prepend=first[order[:1]]) != 0)
+        first = rank
+    if int(first.max(initial=0)).bit_length() + 2 * wide <= 63:
+        order = np.argsort(first << (2 * wide) | second)
+    else:
+        order = np.lexsort((second, first))
     grams = grams[order]
     first = np.flatnonzero(np.r_[True, (grams[1:] != grams[:-1]).any(1)])
     return grams[first], np.add.reduceat(weights[order], first)
@@ -134,37 +158,32 @@ def compose(levels, grams: np.ndarray) -> np.ndarray:
     return states
 
 
-def packed(grams: np.ndarray, weights: np.ndarray, words: list[bytes]) -> bytes:
+def packed(grams: np.ndarray, weights: np.ndarray, words: pa.BinaryArray) -> bytes:
     """The automaton of the rows with the words it uses, compressed."""
-    used = np.unique(grams[grams > 0])
-    own = np.searchsorted(used, grams) + 1
-    own[grams == 0] = 0
+    mine = np.zeros(len(words) + 1, np.int32)
+    mine[grams] = 1
+    mine[0] = 0
+    used, own = np.flatnonzero(mine) - 1, np.where(mine, np.cumsum(mine, dtype=np.int32), 0)[grams]
     small = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
     levels = [(small(np.diff(first)), small(label), small(target)) for first, label, target in automaton(own, weights)]
-    data = pickle.dumps((b" ".join(words[i] for i in used), levels))
+    names = words.take(pa.array(used))
+    data = pickle.dumps((small(pc.binary_length(names).to_numpy()), b"".join(names.to_pylist()), levels))
     return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
 
 
-def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    words, levels = pickle.loads(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True))
-    wide = [(np.r_[0, np.cumsum(size.astype(np.int64))], label.astype(np.int64), target.astype(np.int64)) for size, label, target in levels]
-    return *paths(wide), [b"\n", *words.split(b" ")]
-
-
-def joined_words(lists: list[list[bytes]]) -> tuple[list[bytes], list[np.ndarray]]:
-    """All words of the lists in order, and for each list the ids of its words; the first word of each list is the line end."""
-    words = [b"\n", *sorted(set().union(*(x[1:] for x in lists)))]
-    ids = {w: i for i, w in enumerate(words)}
-    return words, [np.array([ids[w] for w in x], np.int64) for x in lists]
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, pa.BinaryArray]:
+    sizes, names, levels = pickle.loads(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True))
+    wide = [(np.r_[0, np.cumsum(size.astype(np.int64))], label.astype(np.int32), target.astype(np.int64)) for size, label, target in levels]
+    return *paths(wide), strings(np.r_[0, np.cumsum(sizes.astype(np.int64))], names)
 
 
 def place_of(bound: tuple[bytes, ...], grams: np.ndarray, words: list[bytes]) -> int:
-    """Number of sorted rows below the bound."""
+    """Number of sorted rows below the bound; ``words`` by id, from 1."""
     low, high = 0, len(grams)
     for depth, word in enumerate(bound):
-        code = bisect_right(words, word, 1) - 1
+        code = bisect_right(words, word)
         column = grams[low:high, depth]
-        if words[code] != word or code == 0:
+        if not code or words[code - 1] != word:
             return low + int(np.searchsorted(column, code, "right"))
         low, high = low + int(np.searchsorted(column, code)), low + int(np.searchsorted(column, code, "right"))
     return low
@@ -211,12 +230,13 @@ def shard_automata(docs: DataFrame, bounds: dict, chunk_bytes: int) -> DataFrame
     """(_lang, _range, _data): each task's automata."""
 
     def cut_up(lang: str, data: list[bytes]):
-        ids, words = coded(TOKEN.findall(b"\n".join(data)))
-        grams = windows(ids)
-        if not len(grams):
+        *ids, words = coded(b"\n".join(data))
+        if not len(words):
             return
+        grams = windows(*ids)
         grams, weights = summed(grams, np.ones(len(grams), np.int64))
-        ends = [0, *(place_of(b, grams, words) for b in bounds.get(lang, [])), len(grams)]
+        names = words.to_pylist()
+        ends = [0, *(place_of(b, grams, names) for b in bounds.get(lang, [])), len(grams)]
         for n, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
             if b > a:
                 yield lang, n, packed(grams[a:b], weights[a:b], words)
@@ -243,8 +263,11 @@ def range_counts(min_count: int):
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         grams, weights, lists = zip(*map(unpacked, rows["_data"]))
-        words, ids = joined_words(list(lists))
-        grams, weights = summed(np.concatenate([i[g] for i, g in zip(ids, grams)]), np.concatenate(weights))
+        ids, words = ordered(pa.concat_arrays(lists))
+        starts = np.cumsum([0, *map(len, lists)])
+        grams = np.concatenate([np.r_[np.int32(0), ids[a:b]][g] for a, b, g in zip(starts[:-1], starts[1:], grams)])
+        grams, weights = summed(grams, np.concatenate(weights))
+        words = [b"", *words.to_pylist()]
         out = [(None, int(weights.sum()))]
         for depth in range(1, DEPTH + 1):
             first = np.flatnonzero(np.r_[True, (grams[1:, :depth] != grams[:-1, :depth]).any(1)])
@@ -279,7 +302,7 @@ def with_counts(counts: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
 
 def phrase_counts(docs: DataFrame, lang: str, text: str, min_count: int, chunk_bytes: int, range_bytes: int) -> tuple[DataFrame, dict]:
     """(_lang, _phrase, _f) of all n-grams with ``min_count``, and of null, the number of words; with the bounds of the prefix ranges."""
-    texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("_lang"), F.col(text).alias("_text"))
+    texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("_lang"), F.col(text).cast("binary").alias("_text"))
     bounds = prefix_ranges(texts, range_bytes)
     merged = shard_automata(texts, bounds, chunk_bytes).groupBy("_lang", "_range").applyInPandas(range_counts(min_count), "_lang string, _phrase string, _f long")
     return cut(merged.groupBy("_lang", "_phrase").agg(F.sum("_f").alias("_f")).where((F.col("_f") >= min_count) | F.col("_phrase").isNull())), bounds

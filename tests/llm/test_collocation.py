@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from surfpop.llm import collocation as c
@@ -63,9 +64,10 @@ def test_automata_keep_rows_and_share_states():
     asked = np.array([(a, b, x, y) for a in range(7) for b in range(4) for x in range(4) for y in range(4)], np.int64)
     held = dict(zip(rows, weights.tolist()))
     assert c.compose(levels, asked).tolist() == [held.get(tuple(r), 0) for r in asked.tolist()]
-    words = [b"\n", *(f"word{i}".encode() for i in range(12))]
+    words = pa.array([f"word{i:02}".encode() for i in range(12)], pa.binary())
     again, w, names = c.unpacked(c.packed(grams, weights, words))
-    assert [[names[i] for i in r] for r in again.tolist()] == [[words[i] for i in r] for r in rows] and (w == weights).all()
+    named = lambda rows, words: [[words[i - 1].as_py() if i else None for i in r] for r in rows]
+    assert named(again.tolist(), names) == named(rows, words) and (w == weights).all()
 
 
 def test_states_with_equal_codes_stay_apart(monkeypatch):
