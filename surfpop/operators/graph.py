@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surfpop.operators import mesh as m
+from surfpop.operators import sampling
 from surfpop.session import cut, spread_join
 
 
@@ -160,13 +161,12 @@ def nearest_sample(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def sample_faces(measures: DataFrame, edges: DataFrame, comp: DataFrame, count: int,
-                 per_round: int = 1) -> tuple[DataFrame, DataFrame]:
+                 patch: int = sampling.PATCH) -> tuple[DataFrame, DataFrame]:
     """Farthest-point samples of every mesh: samples(mesh_id, sample_id, face_id) and owners.
 
-    Every component gets its largest face first. ``per_round=1`` then adds the one
-    farthest face per mesh and round, which is the exact greedy order. A larger value
-    adds that many farthest faces at once, each from a different owner's region:
-    an approximation with fewer rounds.
+    Every component gets its largest face first, then the farthest face follows again and
+    again: the exact greedy order, found many samples at a time (see ``sampling``).
+    Owners are (mesh_id, face_id, dist, sample_id), the earlier sample keeping ties.
     """
     seeds = component_seeds(measures, comp)
     first = Window.partitionBy("mesh_id").orderBy("component")
@@ -176,32 +176,9 @@ def sample_faces(measures: DataFrame, edges: DataFrame, comp: DataFrame, count:
     crowded = chosen.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > count)
     if not crowded.isEmpty():
         raise ValueError("Fewer samples than disconnected components.")
-    edges = shortcuts(edges)
-    start = chosen.select("mesh_id", "face_id", F.lit(0.0).alias("dist"), "sample_id")
-    owners = relax(start, start, edges)
-    while True:
-        have = chosen.groupBy("mesh_id").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-        open_meshes = have.filter(F.col("n") < count)
-        if open_meshes.isEmpty():
-            break
-        # Farthest face per owner region by a partial aggregate, then the best regions of each mesh.
-        far = owners.filter("dist > 0").groupBy("mesh_id", "sample_id").agg(
-            F.max(F.struct(F.col("dist"), (-F.col("face_id")).alias("neg"))).alias("s")
-        )
-        order = Window.partitionBy("mesh_id").orderBy(F.col("s.dist").desc(), F.col("s.neg").desc())
-        pick = (
-            far.join(open_meshes, "mesh_id").withColumn("k", F.row_number().over(order))
-            .filter((F.col("k") <= per_round) & (F.col("k") + F.col("n") <= count))
-            .select("mesh_id", (-F.col("s.neg")).alias("face_id"), (F.col("n") + F.col("k") - 1).cast("bigint").alias("sample_id"))
-        )
-        fresh = cut(pick)
-        if fresh.isEmpty():
-            break
-        chosen = cut(chosen.unionByName(fresh))
-        start = fresh.withColumn("dist", F.lit(0.0))
-        known = owners.join(fresh, ["mesh_id", "face_id"], "left_anti").unionByName(start)
-        owners = relax(known, start, edges)
-    return chosen, owners
+    state = sampling.patches(measures, edges, patch)
+    samples = cut(sampling.farthest_faces(state, chosen, count))
+    return samples, cut(sampling.owners_of(sampling.nearest(state, samples)))
 
 
 def smooth(colors: DataFrame, measures: DataFrame, adj: DataFrame, steps: int,

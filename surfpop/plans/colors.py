@@ -49,7 +49,7 @@ def sample_areas(nearest: DataFrame, measures: DataFrame) -> DataFrame:
     ).agg(F.sum("area").alias("area"))
 
 
-def prepare_analysis(mesh: m.Mesh, sample_count: int | None = None, per_round: int = 1) -> Analysis:
+def prepare_analysis(mesh: m.Mesh, sample_count: int | None = None) -> Analysis:
     """Areas, centres, adjacency and samples of the atlas; every face is a sample by default."""
     checks.require_none(checks.degenerate_faces(mesh), "Degenerate faces.")
     checks.require_none(checks.uv_violations(mesh), "UVs must lie within one tile on every face.")
@@ -61,7 +61,7 @@ def prepare_analysis(mesh: m.Mesh, sample_count: int | None = None, per_round: i
         return Analysis(measures, adj, samples, samples.select("mesh_id", "face_id", "sample_id"), True)
     comp = graph.components(mesh.faces, graph.edge_links(mesh.faces))
     edges = cut(graph.weighted_adjacency(adj, measures, mesh.vertices))
-    chosen, owners = graph.sample_faces(measures, edges, comp, sample_count, per_round)
+    chosen, owners = graph.sample_faces(measures, edges, comp, sample_count)
     nearest = owners.select("mesh_id", "face_id", "sample_id")
     samples = cut(chosen.join(sample_areas(nearest, measures), ["mesh_id", "sample_id"]))
     return Analysis(measures, adj, samples, nearest, False)

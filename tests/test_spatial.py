@@ -192,3 +192,85 @@ def test_knn_is_exact_with_a_crowded_cell(spark):
     np.fill_diagonal(d, np.inf)
     for i in range(len(x)):
         assert [got[(i, k)] for k in range(1, 5)] == list(np.argsort(d[i], kind="stable")[:4])
+
+
+def _greedy(faces, area, links, component, count):
+    """Samples in plain greedy order: one shortest-path search per sample."""
+    low, own, chosen = {f: np.inf for f in faces}, {}, []
+    seeds = [max((f for f in faces if component[f] == c), key=lambda f: (area[f], -f)) for c in sorted(set(component.values()))]
+    for s in range(count):
+        face = seeds[s] if s < len(seeds) else max(faces, key=lambda f: (low[f], -f))
+        chosen.append(face)
+        heap, near = [(0.0, face)], {}
+        while heap:
+            d, f = heapq.heappop(heap)
+            if f in near:
+                continue
+            near[f] = d
+            for g, w in links.get(f, []):
+                if g not in near:
+                    heapq.heappush(heap, (d + w, g))
+        for f, d in near.items():
+            if d < low[f]:
+                low[f], own[f] = d, s
+    return chosen, own, low
+
+
+@pytest.fixture(scope="module")
+def bumpy(spark):
+    """A bumpy sheet, an evenly spaced sheet full of ties, and a lone triangle, as one mesh; the bumpy sheet again as another."""
+    rng = np.random.default_rng(8)
+    v, f = [], []
+
+    def sheet(mesh_id, n, k, rough, at):
+        base, first = sum(r[0] == mesh_id for r in v), sum(r[0] == mesh_id for r in f)
+        for i in range(n * k):
+            v.append((mesh_id, base + i, float(i // k) + at + rough * float(rng.random()), float(i % k), rough * float(rng.random())))
+        for q in range((n - 1) * (k - 1)):
+            a = base + (q // (k - 1)) * k + q % (k - 1)
+            f.append((mesh_id, first + 2 * q, a, a + k, a + k + 1))
+            f.append((mesh_id, first + 2 * q + 1, a, a + k + 1, a + 1))
+
+    sheet(0, 14, 17, 0.7, 0.0)
+    sheet(0, 9, 9, 0.0, 100.0)
+    sheet(1, 12, 12, 0.7, 0.0)
+    base, first = sum(r[0] == 0 for r in v), sum(r[0] == 0 for r in f)
+    v += [(0, base, 50.0, 0.0, 0.0), (0, base + 1, 51.0, 0.0, 0.0), (0, base + 2, 50.0, 1.0, 0.0)]
+    f.append((0, first, base, base + 1, base + 2))
+    vertices = spark.createDataFrame(v, ["mesh_id", "vertex_id", "x", "y", "z"])
+    faces = spark.createDataFrame(f, ["mesh_id", "face_id", "a", "b", "c"])
+    mesh = m.Mesh(vertices, faces)
+    measures = spark.createDataFrame(m.face_measures(mesh).collect())
+    edges = graph.weighted_adjacency(graph.adjacency(faces), measures, vertices)
+    edges = spark.createDataFrame(edges.collect())
+    comp = spark.createDataFrame(graph.components(faces, graph.edge_links(faces)).collect())
+    return measures, edges, comp
+
+
+@pytest.mark.parametrize("patch,count", [(100000, 200), (150, 30)])
+def test_many_samples_are_in_greedy_order(bumpy, patch, count):
+    measures, edges, comp = bumpy
+    chosen, owners = graph.sample_faces(measures, edges, comp, count, patch)
+    for mesh_id in (0, 1):
+        area = {r["face_id"]: r["area"] for r in measures.collect() if r["mesh_id"] == mesh_id}
+        component = {r["face_id"]: r["component"] for r in comp.collect() if r["mesh_id"] == mesh_id}
+        links = {}
+        for r in edges.collect():
+            if r["mesh_id"] == mesh_id:
+                links.setdefault(r["face_id"], []).append((r["nbr_id"], r["w"]))
+        want, own, low = _greedy(sorted(area), area, links, component, count)
+        assert [r["face_id"] for r in chosen.filter(F.col("mesh_id") == mesh_id).orderBy("sample_id").collect()] == want
+        got = {r["face_id"]: (r["sample_id"], r["dist"]) for r in owners.filter(F.col("mesh_id") == mesh_id).collect()}
+        assert got == {f: (own[f], low[f]) for f in area}
+
+
+def test_samples_of_all_faces_and_too_few(bumpy):
+    measures, edges, comp = bumpy
+    few = measures.filter("mesh_id = 1 and face_id < 40")
+    links = edges.filter("mesh_id = 1 and face_id < 40 and nbr_id < 40")
+    one = few.selectExpr("mesh_id", "face_id", "0 as component")
+    for patch in (25, 1000):
+        chosen, _ = graph.sample_faces(few, links, one, 40, patch)
+        assert sorted(r["face_id"] for r in chosen.collect()) == list(range(40))
+    with pytest.raises(ValueError):
+        graph.sample_faces(measures, edges, comp, 2)
