@@ -35,8 +35,8 @@ from surfpop.session import cut
 #: Marks between pieces; fixed values of the result contract.
 MARKS = ".,;:!?\n\x0b\x0c\r"
 DEPTH = 4
-CHUNK_BYTES = 10 << 20
-RANGE_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
+RANGE_BYTES = 6 << 20
 #: Composed at once with one range's transducer.
 BLOCK_PARTS = 1_000_000
 FOLD = bytes.maketrans((UPPER + MARKS + "\t").encode(), (LOWER + "\n" * len(MARKS) + " ").encode())
