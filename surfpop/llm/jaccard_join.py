@@ -29,7 +29,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surfpop.llm.common import NO_ID, id_of, query, table
@@ -39,7 +39,7 @@ from surfpop.session import cut
 CHUNK = 512
 COLUMNS = 4096
 SKETCH = 48
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -91,46 +91,66 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str, n: int, share: float,
     return hashed.mapInPandas(build, "_doc long, _row long, _text long, _key string, _tokens binary, _sketch binary, _paths array<long>")
 
 
-def beside(sets: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The chosen sets with their shingles: at most ``BROADCAST_ROWS`` rows go to the shingles, more meet them in a shuffle."""
-    few = chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def beside(sets: DataFrame, chosen: DataFrame, width: Column) -> DataFrame:
+    """The chosen sets with their shingles: rows of at most ``BROADCAST_BYTES`` go to the shingles, more meet them in a shuffle."""
+    few = (chosen.agg(F.sum(width + 32)).first()[0] or 0) <= BROADCAST_BYTES
     return sets.join(F.broadcast(chosen) if few else chosen, "_set")
 
 
+def children(batch: pd.DataFrame, share: float, rate: float):
+    """(parent, its child paths, set) of every node that a set of the batch is in."""
+    for chosen, paths, tokens in zip(batch["_set"], batch["_paths"], batch["_tokens"]):
+        tokens = np.frombuffer(tokens, np.int32)
+        for path in paths:
+            yield int(path), branches(int(path), tokens, rate / (share * max(len(tokens), 1))), chosen
+
+
+def with_paths(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(_set, _tokens, _paths) of the sets of (_path, _set) rows."""
+    by_set = cut(nodes.groupBy("_set").agg(F.collect_list("_path").alias("_paths")))
+    return beside(sets.select("_set", "_tokens"), by_set, F.size("_paths") * 8)
+
+
+def child_sizes(nodes: DataFrame, sets: DataFrame, share: float, rate: float) -> DataFrame:
+    """(_parent, _path, _n) of the children that several sets enter. A task adds up its sets, so copies of a text are one row a child."""
+
+    def count(batches):
+        for batch in batches:
+            found = [np.stack([np.full(len(c), p, np.int64), c], 1) for p, c, _ in children(batch, share, rate) if len(c)]
+            rows, n = np.unique(np.concatenate(found), axis=0, return_counts=True) if found else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+            yield pd.DataFrame({"_parent": rows[:, 0], "_path": rows[:, 1], "_n": n})
+
+    counted = with_paths(nodes, sets).mapInPandas(count, "_parent long, _path long, _n long")
+    return counted.groupBy("_parent", "_path").agg(F.sum("_n").alias("_n")).where("_n > 1")
+
+
 def split_nodes(nodes: DataFrame, sets: DataFrame, share: float, rate: float) -> DataFrame:
-    """(_parent, _path, _set) of the children of (_path, _set) rows."""
+    """(_path, _set) of the children of (_path, _set) rows."""
 
     def split(batches):
         for batch in batches:
-            out = []
-            for chosen, paths, tokens in zip(batch["_set"], batch["_paths"], batch["_tokens"]):
-                tokens = np.frombuffer(tokens, np.int32)
-                for path in paths:
-                    out += [(path, child, chosen) for child in branches(int(path), tokens, rate / (share * max(len(tokens), 1)))]
-            yield pd.DataFrame(out, columns=["_parent", "_path", "_set"])
+            yield pd.DataFrame([(child, chosen) for _, found, chosen in children(batch, share, rate) for child in found], columns=["_path", "_set"])
 
-    by_set = cut(nodes.groupBy("_set").agg(F.collect_list("_path").alias("_paths")))
-    return beside(sets.select("_set", "_tokens"), by_set).mapInPandas(split, "_parent long, _path long, _set long")
+    return with_paths(nodes, sets).mapInPandas(split, "_path long, _set long")
 
 
 def end_nodes(start: DataFrame, sets: DataFrame, share: float, rate: float, bucket: int, levels: int) -> DataFrame:
     """(_leaf, _set, _n): end nodes with their sets and number of sets."""
-
-    def sized(rows):
-        return rows.join(rows.groupBy("_path").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "_path")
-
-    nodes, ends = cut(sized(start)), []
+    of_path = start.groupBy("_path").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    nodes, ends = cut(start.join(of_path, "_path")), []
     for level in range(1, levels + 1):
         ends.append(nodes.where(F.col("_n") <= bucket).select(F.col("_path").alias("_leaf"), "_set", "_n"))
         big = nodes.where(F.col("_n") > bucket).select("_path", "_set", "_n")
         if level == levels or big.isEmpty():
             ends.append(big.select(F.col("_path").alias("_leaf"), "_set", "_n"))
             break
-        children = cut(sized(cut(split_nodes(big, sets, share, rate))))
-        largest = children.groupBy(F.col("_parent").alias("_path")).agg(F.max("_n").alias("_most"))
+        # Children are counted before any set is sent to them: a node of sets that are all alike ends here.
+        sizes = cut(child_sizes(big, sets, share, rate))
+        largest = sizes.groupBy(F.col("_parent").alias("_path")).agg(F.max("_n").alias("_most"))
         alike = cut(big.select("_path", "_n").distinct().join(largest, "_path").where("_most > 0.5 * _n").select("_path"))
         ends.append(big.join(alike, "_path", "left_semi").select(F.col("_path").alias("_leaf"), "_set", "_n"))
-        nodes = children.join(alike.withColumnRenamed("_path", "_parent"), "_parent", "left_anti").select("_path", "_set", "_n")
+        parted = big.join(alike, "_path", "left_anti")
+        nodes = cut(split_nodes(parted, sets, share, rate).join(sizes.select("_path", "_n"), "_path"))
     out = ends[0]
     for more in ends[1:]:
         out = out.unionByName(more)
@@ -235,10 +255,10 @@ def compare_blocks(ends: DataFrame, sets: DataFrame, threshold: float, chunk: in
     def per_set(nodes):
         return cut(nodes.groupBy("_set").agg(F.collect_list(F.struct("_leaf", "_n")).alias("_ends")))
 
-    sketched = by_node(beside(sets.select("_set", F.col("_sketch").alias("_tokens")), per_set(ends)))
+    sketched = by_node(beside(sets.select("_set", F.col("_sketch").alias("_tokens")), per_set(ends), F.size("_ends") * 24))
     near = cut(in_blocks(sketched, chunk, screen, ["_leaf", "_set"]).distinct())
     near = near.join(near.groupBy("_leaf").agg(F.count(F.lit(1)).alias("_n")), "_leaf")
-    whole = by_node(beside(sets.select("_set", "_tokens"), per_set(near)))
+    whole = by_node(beside(sets.select("_set", "_tokens"), per_set(near), F.size("_ends") * 24))
     return in_blocks(whole, chunk, lambda block: compare(block, threshold), ["_set", "_to", "_links"])
 
 
