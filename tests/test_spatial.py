@@ -113,6 +113,56 @@ def test_weld_matches_greedy_order(spark):
     assert got == want
 
 
+def _weld(points, r):
+    """Representatives by the plain greedy rule; ``points`` by id."""
+    free, want = dict(enumerate(points)), {}
+    for i in range(len(points)):
+        if i not in free:
+            continue
+        members = [j for j in free if ((points[j] - points[i]) ** 2).sum() <= r * r]
+        centre = (points[members].sum(axis=0) + points[i]) / (len(members) + 1)
+        rep = min(members, key=lambda j: (((points[j] - centre) ** 2).sum(), j))
+        for j in members:
+            want[j] = rep
+            del free[j]
+    return want
+
+
+def _cloud(spark, points):
+    return spark.createDataFrame([(0, i, *map(float, p)) for i, p in enumerate(points)], ["mesh_id", "vertex_id", "x", "y", "z"])
+
+
+@pytest.mark.parametrize("step,most", [(65536, 15), (300, 25)])
+def test_weld_settles_a_line_in_few_rounds(spark, monkeypatch, step, most):
+    """2000 vertices, each reached by the one before: a dependency through all of them."""
+    monkeypatch.setattr(weld, "STEP_POINTS", step)
+    rounds = []
+    plain = weld.cut
+    monkeypatch.setattr(weld, "cut", lambda df: rounds.append(df) or plain(df))
+    line = np.array([(np.float32(i * 0.6), 0.0, 0.0) for i in range(2000)], dtype=np.float64)
+    got = {r["vertex_id"]: r["rep_id"] for r in weld.weld_representatives(_cloud(spark, line), 1.0).collect()}
+    assert got == _weld(line, 1.0)
+    assert len(rounds) < most
+
+
+def test_weld_of_crowded_points_and_of_scattered_ids(spark, monkeypatch):
+    monkeypatch.setattr(weld, "CROWD", 4)
+    monkeypatch.setattr(weld, "SIDES", (3,))
+    rng = np.random.default_rng(4)
+    crowd = np.r_[rng.random((150, 3)) * 0.2, rng.random((150, 3)) * 0.9, rng.random((200, 3)) * 3].astype(np.float32).astype(np.float64)
+    crowd = crowd[rng.permutation(len(crowd))]
+    df = _cloud(spark, crowd)
+    for r in (0.3, 1.0):
+        got = {row["vertex_id"]: row["rep_id"] for row in weld.weld_representatives(df, r).collect()}
+        assert got == _weld(crowd, r)
+
+
+def test_weld_plan_makes_no_pairs_of_points(spark):
+    points = weld._positions(_cloud(spark, np.zeros((3, 3))))
+    plan = weld._claims(points, points, 1.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1 and "Cartesian" not in plan
+
+
 def test_weld_zero_is_identity(spark):
     v = spark.createDataFrame([(0, i, float(i), 0.0, 0.0) for i in range(4)], ["mesh_id", "vertex_id", "x", "y", "z"])
     assert all(r["vertex_id"] == r["rep_id"] for r in weld.weld_representatives(v, 0.0).collect())
