@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
@@ -362,6 +363,22 @@ def c4(spark, sf):
     return cluster.kmeans_by(lab, 8)
 
 
+@query("c4_kmeans_separate_groups", k.with_(fx.SAMPLES_SQL) + """
+, placed as (select specimen_id, sample_id, cast(floor(sqrt(sample_id % 121)) as bigint) as grp from fx_samples),
+used as (select specimen_id from placed group by 1 having count(distinct grp) = 11)
+select specimen_id, sample_id, min(sample_id) over (partition by specimen_id, grp) as first_sample from placed join used using (specimen_id)""")
+def c4b(spark, sf):
+    """Eleven tight groups of unequal size in every specimen that has them all; clusters are named by their first sample."""
+    at = fx.samples(spark, sf).select("specimen_id", "sample_id", F.floor(F.sqrt(F.col("sample_id") % 121)).alias("grp"))
+    used = at.groupBy("specimen_id").agg(F.count_distinct("grp").alias("n")).filter("n = 11")
+    wobble = (F.col("sample_id") % 7).cast("double") / 1000.0
+    lab = cut(at.join(used, "specimen_id", "left_semi").select(
+        "specimen_id", "sample_id", (F.col("grp") % 3 * 40.0 + 5.0 + wobble).alias("L"), (F.floor(F.col("grp") / 3) * 30.0 - wobble).alias("a"), (wobble * 2.0).alias("b")))
+    named = lab.join(cluster.kmeans_by(lab, 11), ["specimen_id", "L", "a", "b"])
+    first = Window.partitionBy("specimen_id", "label")
+    return named.select("specimen_id", "sample_id", F.min("sample_id").over(first).alias("first_sample"))
+
+
 @query("c5_consolidated_clusters")
 def c5(spark, sf):
     lab = colors.raw_lab(fx.samples(spark, sf))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,27 +30,67 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _sums(x: np.ndarray, w: np.ndarray, centres: np.ndarray):
-    """Weighted counts, colour sums and inertia per cluster."""
+    """Weighted counts, colour sums and inertia per cluster; each colour's squared distance."""
     label, d = _nearest(x, centres)
     k = len(centres)
     total = np.stack([np.bincount(label, w * x[:, c], k) for c in range(3)], axis=1)
-    return np.bincount(label, w, k), total, np.bincount(label, w * d, k)
+    return np.bincount(label, w, k), total, np.bincount(label, w * d, k), d
 
 
-def _move(centres: np.ndarray, count: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """New centres; an empty cluster stays where it is."""
-    return np.where(count[:, None] > 0, total / np.maximum(count, 1e-300)[:, None], centres)
+def _farthest(x: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+    """Places of the ``n`` colours farthest from their centres, farthest first."""
+    return np.lexsort((x[:, 2], x[:, 1], x[:, 0], -d))[:n]
+
+
+def _move(centres: np.ndarray, count: np.ndarray, total: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """New centres; an emptied cluster takes its seat at one of the ``spare`` colours."""
+    new = total / np.maximum(count, 1e-300)[:, None]
+    empty = np.flatnonzero(count == 0)
+    new[empty] = spare[:len(empty)]
+    return new
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _draw(x: np.ndarray, weight: np.ndarray, salt: int) -> tuple[float, int]:
+    """A race that each colour wins with a chance in proportion to its weight: (time, place) of the winner.
+
+    A colour's time is exponential with its weight as rate, from a hash of the colour and the salt, so
+    the winner is the same however the colours are dealt over tasks.
+    """
+    h = np.full(len(x), salt & 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for c in range(3):
+        h = _mix(h + np.uint64(0x9E3779B97F4A7C15) + np.ascontiguousarray(x[:, c] + 0.0).view(np.uint64))
+    u = ((h >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+    with np.errstate(divide="ignore"):
+        times = np.where(weight > 0, -np.log(u) / weight, np.inf)
+    place = int(times.argmin())
+    return float(times[place]), place
+
+
+def _salt(specimen, seed: int, run: int, step: int) -> int:
+    return (zlib.crc32(repr(specimen).encode()) << 32) ^ (seed << 24) ^ (run << 12) ^ step
+
+
+def _apart(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distance to the nearest centre; 1 where there is none yet."""
+    return _nearest(x, centres)[1] if len(centres) else np.ones(len(x))
 
 
 def kmeans_by(lab: DataFrame, k: int, n_init: int = 10, seed: int = 0, block: int = BLOCK,
               max_iter: int = MAX_ITER, tol: float = TOL) -> DataFrame:
     """K-means of every specimen's colours in one job: (specimen_id, L, a, b, label).
 
-    Equal colours are folded to one weighted row first. Starts are the colours with the
-    smallest hash per specimen and run; the run with the least inertia wins. A specimen
+    Equal colours are folded to one weighted row first. Starts are drawn one after another, a colour's chance in
+    proportion to its weight and its squared distance to the starts before it; the run with the least inertia wins. A
+    cluster that loses all its colours takes its seat at the colour farthest from its centre. A specimen
     whose distinct colours fit one block runs its rounds inside one task step; a larger
     one is spread over blocks and each round is one Spark aggregate. Both ways take the
-    same steps.
+    same steps. A run ends at centres that every cluster has colours at.
     """
     if not 1 <= k <= MAX_CLUSTERS:
         raise ValueError(f"k must be from 1 to {MAX_CLUSTERS}.")
@@ -63,16 +104,6 @@ def kmeans_by(lab: DataFrame, k: int, n_init: int = 10, seed: int = 0, block: in
     size = cut(size)
     checks.require_none(size.filter(F.col("n") < k), "Fewer distinct colours than clusters.")
 
-    # Row-number limits are applied before the shuffle, so a hot specimen sends k rows per partition.
-    runs = folded.select("specimen_id", "L", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(n_init - 1))).alias("run"))
-    order = Window.partitionBy("specimen_id", "run").orderBy(
-        F.xxhash64("specimen_id", "L", "a", "b", "run", F.lit(seed)), "L", "a", "b"
-    )
-    first = (
-        runs.withColumn("label", F.row_number().over(order)).filter(F.col("label") <= k)
-        .groupBy("specimen_id").agg(F.array_sort(F.collect_list(F.struct("run", "label", "L", "a", "b"))).alias("s"))
-        .select("specimen_id", F.flatten(F.transform("s", lambda s: F.array(s["L"], s["a"], s["b"]))).alias("c"))
-    )
     pieces = F.ceil(F.col("n") / float(block)).cast("int")
     placed = spread_join(folded, size.select("specimen_id", pieces.alias("pieces")), ["specimen_id"], ["L", "a", "b"])
     blocks = cut(
@@ -82,30 +113,35 @@ def kmeans_by(lab: DataFrame, k: int, n_init: int = 10, seed: int = 0, block: in
         .select("specimen_id", "pieces", "piece",
                 F.flatten(F.transform("s", lambda s: F.array(s["L"], s["a"], s["b"], s["w"]))).alias("x"))
     )
-    start = cut(first.join(size.select("specimen_id", F.col("var") * tol), "specimen_id").toDF("specimen_id", "c", "limit"))
+    limits = cut(size.select("specimen_id", (F.col("var") * tol).alias("limit")))
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for sid, flat, c0, limit in zip(b["specimen_id"], b["x"], b["c"], b["limit"]):
+            for sid, flat, limit in zip(b["specimen_id"], b["x"], b["limit"]):
                 rows = np.asarray(flat).reshape(-1, 4)
-                x, w = rows[:, :3], rows[:, 3]
-                for run, centres in enumerate(np.asarray(c0).reshape(n_init, k, 3)):
+                x, w = np.ascontiguousarray(rows[:, :3]), rows[:, 3]
+                for run in range(n_init):
+                    centres, d = np.zeros((0, 3)), np.ones(len(x))
+                    for step in range(k):
+                        place = _draw(x, w * d, _salt(sid, seed, run, step))[1]
+                        centres = np.vstack([centres, x[place]])
+                        near = ((x - x[place]) ** 2).sum(axis=1)
+                        d = np.minimum(d, near) if step else near
                     for _ in range(max_iter):
-                        count, total, _inertia = _sums(x, w, centres)
-                        new = _move(centres, count, total)
-                        shift = ((new - centres) ** 2).sum()
-                        centres = new
-                        if shift <= limit:
+                        count, total, _inertia, d = _sums(x, w, centres)
+                        new = _move(centres, count, total, x[_farthest(x, d, int((count == 0).sum()))])
+                        if (count > 0).all() and ((new - centres) ** 2).sum() <= limit:
                             break
+                        centres = new
                     out.append((sid, run, centres.ravel().tolist(), float(_sums(x, w, centres)[2].sum())))
             yield pd.DataFrame(out, columns=["specimen_id", "run", "c", "inertia"])
 
     run_schema = f"specimen_id {kind}, run int, c array<double>, inertia double"
-    whole = blocks.filter("pieces = 1").join(start, "specimen_id").mapInPandas(settle, run_schema)
+    whole = blocks.filter("pieces = 1").join(limits, "specimen_id").mapInPandas(settle, run_schema)
     split = blocks.filter("pieces > 1")
     if not split.isEmpty():
-        whole = whole.unionByName(_settle_split(split, start, k, n_init, max_iter, kind, run_schema))
+        whole = whole.unionByName(_settle_split(split, limits, k, n_init, max_iter, seed, kind))
     # Hundredths of rounding must not decide between runs that found the same clusters.
     best = cut(
         cut(whole).groupBy("specimen_id").agg(F.min_by("c", F.struct(F.round("inertia", 6), F.col("run"))).alias("c"))
@@ -123,60 +159,89 @@ def kmeans_by(lab: DataFrame, k: int, n_init: int = 10, seed: int = 0, block: in
     )
 
 
-def _settle_split(blocks, start, k, n_init, max_iter, kind, run_schema) -> DataFrame:
-    """Lloyd rounds for specimens spread over several blocks; one aggregate per round."""
+def _settle_split(blocks, limits, k, n_init, max_iter, seed, kind) -> DataFrame:
+    """Starts and Lloyd rounds for specimens spread over several blocks; one aggregate per start and per round."""
     state = cut(
-        start.join(blocks.select("specimen_id").distinct(), "specimen_id")
+        limits.join(blocks.select("specimen_id").distinct(), "specimen_id")
+        .withColumn("c", F.array_repeat(F.array().cast("array<double>"), n_init))
         .withColumn("done", F.array_repeat(F.lit(False), n_init))
     )
 
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for sid, flat, c in zip(b["specimen_id"], b["x"], b["c"]):
+                rows = np.asarray(flat).reshape(-1, 4)
+                x = np.ascontiguousarray(rows[:, :3])
+                for run in range(n_init):
+                    centres = np.asarray(c[run], np.float64).reshape(-1, 3)
+                    time, place = _draw(x, rows[:, 3] * _apart(x, centres), _salt(sid, seed, run, len(centres)))
+                    out.append((sid, run, time, *x[place].tolist()))
+            yield pd.DataFrame(out, columns=["specimen_id", "run", "time", "L", "a", "b"])
+
+    for _ in range(k):
+        won = (
+            blocks.join(state.select("specimen_id", "c"), "specimen_id")
+            .mapInPandas(draw, f"specimen_id {kind}, run int, time double, L double, a double, b double")
+            .groupBy("specimen_id", "run").agg(F.min(F.struct("time", "L", "a", "b")).alias("s"))
+            .groupBy("specimen_id").agg(F.array_sort(F.collect_list(F.struct("run", "s"))).alias("won"))
+        )
+        state = cut(state.join(won, "specimen_id").select("specimen_id", "limit", F.zip_with(
+            "c", "won", lambda c, s: F.concat(c, F.array(s["s"]["L"], s["s"]["a"], s["s"]["b"]))).alias("c"), "done"))
+
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["run", "label", "far", "n", "sl", "sa", "sb", "e"]
         for b in batches:
             for sid, flat, c, done in zip(b["specimen_id"], b["x"], b["c"], b["done"]):
                 rows = np.asarray(flat).reshape(-1, 4)
                 parts = []
-                for run, centres in enumerate(np.asarray(c).reshape(n_init, k, 3)):
+                for run in range(n_init):
                     if not done[run]:
-                        count, total, inertia = _sums(rows[:, :3], rows[:, 3], centres)
-                        parts.append(pd.DataFrame({"run": run, "label": np.arange(k), "n": count, "sl": total[:, 0],
+                        count, total, inertia, d = _sums(rows[:, :3], rows[:, 3], np.asarray(c[run]).reshape(k, 3))
+                        parts.append(pd.DataFrame({"run": run, "label": np.arange(k), "far": 0.0, "n": count, "sl": total[:, 0],
                                                    "sa": total[:, 1], "sb": total[:, 2], "e": inertia}))
+                        # A cluster that is empty everywhere is empty here, so these are seats enough.
+                        spare = _farthest(rows[:, :3], d, int((count == 0).sum()))
+                        parts.append(pd.DataFrame({"run": run, "label": -1 - np.arange(len(spare)), "far": d[spare], "n": 0.0, "sl": rows[spare, 0],
+                                                   "sa": rows[spare, 1], "sb": rows[spare, 2], "e": 0.0}))
                 if parts:
-                    yield pd.concat(parts).assign(specimen_id=sid)[["specimen_id", "run", "label", "n", "sl", "sa", "sb", "e"]]
+                    yield pd.concat(parts).assign(specimen_id=sid)[["specimen_id", *names]]
 
     def update(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for sid, c, limit, done, rows in zip(b["specimen_id"], b["c"], b["limit"], b["done"], b["s"]):
-                centres, flags = np.array(c).reshape(n_init, k, 3), list(done)
+            for sid, c, limit, done, rows, far in zip(b["specimen_id"], b["c"], b["limit"], b["done"], b["s"], b["far"]):
+                centres, flags = [np.array(x).reshape(k, 3) for x in c], list(done)
                 table = np.array([[r["run"], r["label"], r["n"], r["sl"], r["sa"], r["sb"]] for r in rows])
+                seats = np.array([[r["run"], r["far"], r["sl"], r["sa"], r["sb"]] for r in ([] if far is None else far)]).reshape(-1, 5)
                 for run in range(n_init):
                     if not flags[run]:
                         mine = table[table[:, 0] == run]
                         mine = mine[np.argsort(mine[:, 1])]
-                        new = _move(centres[run], mine[:, 2], mine[:, 3:])
-                        flags[run] = bool(((new - centres[run]) ** 2).sum() <= limit)
-                        centres[run] = new
-                out.append((sid, centres.ravel().tolist(), limit, flags))
+                        spare = seats[seats[:, 0] == run]
+                        new = _move(centres[run], mine[:, 2], mine[:, 3:], spare[_farthest(spare[:, 2:], spare[:, 1], k), 2:])
+                        flags[run] = bool((mine[:, 2] > 0).all() and ((new - centres[run]) ** 2).sum() <= limit)
+                        centres[run] = centres[run] if flags[run] else new
+                out.append((sid, [x.ravel().tolist() for x in centres], limit, flags))
             yield pd.DataFrame(out, columns=["specimen_id", "c", "limit", "done"])
 
-    sum_schema = f"specimen_id {kind}, run int, label int, n double, sl double, sa double, sb double, e double"
+    sum_schema = f"specimen_id {kind}, run int, label int, far double, n double, sl double, sa double, sb double, e double"
     measures = [F.sum(c).alias(c) for c in ("n", "sl", "sa", "sb")]
     for _ in range(max_iter):
+        told = cut(blocks.join(state, "specimen_id").mapInPandas(sums, sum_schema))
         table = (
-            blocks.join(state, "specimen_id").mapInPandas(sums, sum_schema)
-            .groupBy("specimen_id", "run", "label").agg(*measures)
+            told.filter("label >= 0").groupBy("specimen_id", "run", "label").agg(*measures)
             .groupBy("specimen_id").agg(F.collect_list(F.struct("run", "label", "n", "sl", "sa", "sb")).alias("s"))
         )
-        state = cut(state.join(table, "specimen_id").mapInPandas(
-            update, f"specimen_id {kind}, c array<double>, limit double, done array<boolean>"
+        far = told.filter("label < 0").groupBy("specimen_id").agg(F.collect_list(F.struct("run", "far", "sl", "sa", "sb")).alias("far"))
+        state = cut(state.join(table, "specimen_id").join(far, "specimen_id", "left").mapInPandas(
+            update, f"specimen_id {kind}, c array<array<double>>, limit double, done array<boolean>"
         ).unionByName(state.filter(~F.exists("done", lambda d: ~d))))
         if state.filter(F.exists("done", lambda d: ~d)).isEmpty():
             break
     last = state.withColumn("done", F.array_repeat(F.lit(False), n_init))
     inertia = blocks.join(last, "specimen_id").mapInPandas(sums, sum_schema).groupBy("specimen_id", "run").agg(F.sum("e").alias("inertia"))
-    return inertia.join(state, "specimen_id").select(
-        "specimen_id", "run", F.slice("c", F.col("run") * (3 * k) + 1, F.lit(3 * k)).alias("c"), "inertia"
-    )
+    return inertia.join(state, "specimen_id").select("specimen_id", "run", F.get("c", F.col("run")).alias("c"), "inertia")
 
 
 def consolidate(centres: DataFrame, k: int) -> DataFrame:

@@ -38,6 +38,39 @@ def test_kmeans_over_blocks_equals_one_block(lab):
     assert both.count() == 600 and both.filter("label <> other").count() == 0
 
 
+@pytest.mark.parametrize("block", [16384, 40])
+def test_kmeans_finds_24_tight_groups_of_unequal_size(spark, block):
+    rng = np.random.default_rng(2)
+    rows = []
+    for g in range(24):
+        for _ in range(4 + 12 * (g % 4 == 0) + 40 * (g == 5)):
+            rows.append(("s", g, *map(float, np.array([g % 4 * 25, g // 4 % 3 * 30, g // 12 * 50]) + rng.normal(size=3) * 0.01)))
+    lab = spark.createDataFrame(rows, ["specimen_id", "grp", "L", "a", "b"])
+    found = lab.join(cluster.kmeans_by(lab, 24, n_init=3, block=block), ["specimen_id", "L", "a", "b"]).collect()
+    assert len(found) == len(rows) and len({(r["grp"], r["label"]) for r in found}) == 24
+
+
+@pytest.mark.parametrize("block", [16384, 4])
+def test_kmeans_fills_every_cluster(spark, block):
+    """As many clusters as colours, most of them nearly alike: none may stay empty."""
+    rows = [("s", float(v), 0.0, 0.0) for v in (0, 1e-9, 2e-9, 3e-9, 50, 50 + 1e-9, 100, 100 + 1e-9, 1e-5)]
+    lab = spark.createDataFrame(rows * 2, ["specimen_id", "L", "a", "b"])
+    assert len({r["label"] for r in cluster.kmeans_by(lab, 9, n_init=2, block=block).collect()}) == 9
+
+
+def test_emptied_clusters_take_the_farthest_colours():
+    x = np.array([[0.0, 0, 0], [1, 0, 0], [9, 0, 0], [5, 0, 0]])
+    count, total, _, d = cluster._sums(x, np.ones(4), np.array([[0.0, 0, 0], [-50, 0, 0], [-60, 0, 0]]))
+    new = cluster._move(np.zeros((3, 3)), count, total, x[cluster._farthest(x, d, 2)])
+    assert count.tolist() == [4, 0, 0] and new[1:, 0].tolist() == [9, 5]
+
+
+def test_draws_follow_the_weights():
+    x = np.arange(12.0).reshape(4, 3)
+    wins = np.bincount([cluster._draw(x, np.array([0.0, 1, 2, 7]), cluster._salt("s", 0, run, 0))[1] for run in range(2000)], minlength=4) / 2000
+    assert wins[0] == 0 and np.allclose(wins[1:], [0.1, 0.2, 0.7], atol=0.04)
+
+
 def test_consolidation_to_fewer_clusters(lab):
     _, centres = cluster.cluster_colors(lab, 3, 9)
     assert sorted(r["n"] for r in centres.collect()) == [100] * 6
