@@ -40,6 +40,14 @@ def id_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("bigint"), F.lit(NO_ID))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores after it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 

@@ -10,6 +10,12 @@ of one rank (in an article, a main, a named element, none), so a part of another
 The rank goes into the weights: a line of the highest rank weighs a surge more than its length, and a line
 outside article and main weighs less the more of the page's text is of higher rank.
 
+Where a page has an article, a main or a named text element, that rank's lines pass by their weight and the window sums decide about the other lines.
+
+An element that a word of its class or id calls aside, and a form, may be the wrapper of the page: it is not aside if it holds the page's main, its
+largest article or a heading of level 1 and a fifth of the text, nor, on a page with none of these, if it holds half of the text.
+Foreign elements (svg and the like) without an end tag end at the next block.
+
 Each page is read alone, in Arrow batches, in the tasks that scan it: no shuffle. The scan of a page is
 linear in its length.
 
@@ -21,6 +27,7 @@ article, a main or a heading of level 1 ends an unclosed menu, header or notice.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 from statistics import median
 
@@ -28,15 +35,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surfpop.llm.common import query, table
+from surfpop.llm.common import free_name, query, table
 
 #: Element names and class words by their part in a page; fixed values.
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot "
     "th thead title tr ul".split())
-RAW = frozenset("script style template textarea iframe noembed noframes noscript svg math canvas object audio video select title xmp".split())
+RAW = frozenset("script style template textarea iframe noembed noframes noscript svg canvas object audio video select title xmp".split())
 ASIDE = frozenset("nav header footer aside form button dialog menu head input label fieldset".split())
+#: Without an end tag these hide the rest of the page, the other raw elements what comes before the next block.
+ENDLESS = frozenset("script style textarea title xmp".split())
+#: Aside by their tag, but like elements named so they may be the wrapper of a page.
+WRAPPERS = frozenset(["form"])
+#: In an article these are not aside by a word of their class.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ASIDE_WORDS = frozenset(
     "ad ads adv advert advertisement adverts advertising alert announcement banner breadcrumb breadcrumbs captcha comment comments consent "
@@ -56,11 +69,14 @@ HREF = re.compile(r"(?:^|[\s\"'/])href\s*+=", re.IGNORECASE)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Inside an article only these are aside by a word of their id; others have slugs of their titles there.
 BOXES = frozenset("div ul ol table".split())
+BLOCK_TAG = re.compile(r"</?(?:" + "|".join(sorted(BLOCKS - {"title"})) + r")(?=[\s/>])", re.IGNORECASE)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 def part_of(tag: str, attributes: str, article: bool = False) -> str:
-    """What an element opens, here inside an ``article``: "aside", "text" or nothing."""
+    """What an element opens, here inside an ``article``: "aside", "named" (aside by a word), "text" or nothing."""
+    if tag in WRAPPERS:
+        return "named"
     if tag in ASIDE:
         return "aside"
     if attributes:
@@ -71,8 +87,11 @@ def part_of(tag: str, attributes: str, article: bool = False) -> str:
         slug = tag in HEADINGS or article and (tag not in BOXES or "section" in words)
         aside = words if slug else words | marks
         words = words | marks
-        if tag not in ("body", "html", "main", "article") and (aside & ASIDE_WORDS or named.get("role", "").lower() in ASIDE_ROLES):
-            return "aside"
+        if tag not in ("body", "html", "main", "article"):
+            if named.get("role", "").lower() in ASIDE_ROLES:
+                return "aside"
+            if aside & ASIDE_WORDS and not (article and tag in TEXTUAL):
+                return "named"
         if tag == "article" and words & {"comment", "comments", "reply", "ad", "advert", "promo", "sponsored", "related"}:
             return "aside"
         if named.get("role", "").lower() in ("main", "article") or named.get("itemprop", "") == "articleBody":
@@ -82,19 +101,45 @@ def part_of(tag: str, attributes: str, article: bool = False) -> str:
     return ""
 
 
+class Named:
+    """An element that may be aside or a wrapper of the page, or an article: what is in it. Outer ones are made before inner ones."""
+
+    def __init__(self, outer):
+        self.outer, self.chars, self.core, self.aside = outer, 0, False, False
+
+
+def raw_end(page: str, tag: str, attributes: str, at: int) -> int:
+    """Where the text goes on behind a raw element that opens before ``at``."""
+    if attributes.rstrip().endswith("/") and tag not in ("script", "style", "title"):
+        return at
+    end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
+    if tag == "svg" and end and not re.compile("<foreignobject", re.IGNORECASE).search(page, at, end.start()):
+        end = None if BLOCK_TAG.search(page, at, end.start()) else end
+    if end or tag in ENDLESS:
+        return end.end() if end else len(page)
+    block = BLOCK_TAG.search(page, at)
+    return block.start() if block else len(page)
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
     """(text, characters in links, aside, rank of the text element around: 3 article, 2 main, 1 named, 0 none)."""
     lines, buffer = [], []
-    stack: list[tuple[str, bool, int, bool]] = []  # tag, aside, rank, opened the aside
+    stack: list[tuple] = []  # tag, aside, rank, opened the aside, innermost named element, innermost article
+    opened: Counter[str] = Counter()
     aside, rank, links, at = False, 0, 0, 0
+    named, article, boxes, articles = None, None, [], []
     in_link, closed, depth = False, False, 0  # in a link, it has an end tag, elements around it
+    last = page.rfind(">") + 1  # no tag ends behind
 
     def flush():
         nonlocal links
         if buffer:
             text = SPACE.sub(" ", "".join(buffer)).strip()
             if text:
-                lines.append((text, links, aside, rank))
+                lines.append((text, links, aside, rank, named))
+                for x in (named, article):
+                    if x and not aside:
+                        x.chars += len(text)
             buffer.clear()
         links = 0
 
@@ -107,37 +152,40 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
                 links += len(piece.strip())
 
     def restore():
-        nonlocal aside, rank, in_link
-        aside, rank = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+        nonlocal aside, rank, named, article, in_link
+        aside, rank, named, article = (stack[-1][1], stack[-1][2], *stack[-1][4:]) if stack else (False, 0, None, None)
         in_link = in_link and len(stack) >= depth
 
+    def shut(k: int):
+        for x in stack[k:]:
+            opened[x[0]] -= 1
+        del stack[k:]
+        restore()
+
     while True:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at, last) if at < last else None
         say(page[at:m.start()] if m else page[at:])
         if not m:
             break
         at, tag = m.end(), (m[2] or "").lower()
         if not tag:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                at = len(page)
             continue
         if m[1]:
             if tag == "a":
                 in_link = False
             if tag in BLOCKS:
                 in_link = in_link and closed
-            if tag in BLOCKS or any(x[0] == tag for x in stack):
-                if tag in BLOCKS or aside:
+            if tag in BLOCKS or opened[tag]:
+                if tag in BLOCKS or aside or named:
                     flush()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        flush()
-                        del stack[k:]
-                        restore()
-                        break
+                if opened[tag]:
+                    flush()
+                    shut(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
-            if not m[3].rstrip().endswith("/") or tag in ("script", "style", "title"):
-                at = end.end() if end else len(page)
+            at = raw_end(page, tag, m[3], at)
             continue
         if tag == "br":
             buffer.append(" ")
@@ -151,30 +199,55 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
             flush()
             in_link = in_link and closed
             if stack and stack[-1][0] == "p":  # a block ends the paragraph before it
-                stack.pop()
-                restore()
-        if tag in ("article", "main", "h1", "body") and aside:
+                shut(len(stack) - 1)
+        if tag in ("article", "main", "h1", "body") and aside and any(opened[x] for x in ("nav", "header", "menu", "head")):
             for k, x in enumerate(stack):  # an unclosed menu or header ends here
-                if x[3] and (x[0] in ("nav", "header", "menu", "form", "head") and tag != "h1" or x[0] in ("nav", "head")):
-                    del stack[k:]
-                    restore()
+                if x[3] and (x[0] in ("nav", "header", "menu", "head") and tag != "h1" or x[0] in ("nav", "head")):
+                    shut(k)
                     break
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
             if stack and stack[-1][0] == tag:
-                stack.pop()
-                restore()
+                shut(len(stack) - 1)
         if tag in VOID:
             continue
         kind = part_of(tag, m[3], rank == 3)
-        heading = tag in ("h1", "h2") and aside and any(x[0] == "article" for x in stack) and next(x[0] for x in stack if x[3]) == "header"
+        heading = tag in ("h1", "h2") and aside and opened["article"] and next(x[0] for x in stack if x[3]) == "header"
         here = 3 if tag == "article" else 2 if tag == "main" else 1 if kind == "text" else 0
+        if tag in ("main", "h1") and (heading or not aside) and kind != "aside" and named:
+            named.core = True
         if tag in BLOCKS or kind or tag in ASIDE:
-            if kind == "aside":
+            if kind in ("aside", "named"):
                 flush()
-            stack.append((tag, (aside or kind == "aside") and not heading, max(rank, here), kind == "aside" and not aside))
+            inner, body = named, article
+            if kind == "named":
+                inner = Named(named)
+                boxes.append(inner)
+            if tag == "article" and not aside and kind != "aside":
+                body = Named(inner)
+                articles.append(body)
+            stack.append((tag, (aside or kind == "aside") and not heading, max(rank, here), kind == "aside" and not aside, inner, body))
+            opened[tag] += 1
             restore()
     flush()
-    return lines
+    tell_wrappers(boxes, articles, sum(len(x[0]) for x in lines if not x[2]), CORE.search(page) is not None)
+    return [(text, links, aside or named is not None and named.aside, rank) for text, links, aside, rank, named in lines]
+
+
+CORE = re.compile(r"<(?:main|h1|article)(?=[\s/>])", re.IGNORECASE)
+
+
+def tell_wrappers(boxes: list[Named], articles: list[Named], total: int, core: bool) -> None:
+    """Settles which of the named elements are aside: those that wrap no page, and all within them."""
+    largest = max(articles, key=lambda x: x.chars, default=None)
+    if largest and largest.outer:
+        largest.outer.core = True
+    for x in reversed(boxes):
+        if x.outer:
+            x.outer.chars += x.chars
+            x.outer.core |= x.core
+    for x in boxes:
+        wraps = x.core and 5 * x.chars >= total or not core and 2 * x.chars > total
+        x.aside = not wraps or x.outer is not None and x.outer.aside
 
 
 def between(weights: list[int], window: int, surge: float, dive: int = 0) -> list[bool]:
@@ -238,13 +311,13 @@ def main_text(page: str | None, window: int = 3, surge_share: float = 0.2) -> st
 
 
 def extract(pages: DataFrame, html: str = "html", window: int = 3, surge_share: float = 0.2) -> DataFrame:
-    """The columns of ``pages``, then ``_text``."""
+    """The columns of ``pages``, then ``_text`` (under a free name where the pages have such a column)."""
 
     @F.pandas_udf("string")
     def texts(column: pd.Series) -> pd.Series:
         return pd.Series([main_text(x, window, surge_share) for x in column], dtype=object)
 
-    return pages.withColumn("_text", texts(F.col(html)))
+    return pages.withColumn(free_name(pages, "_text"), texts(F.col(html)))
 
 
 @query("op2_html_line_blocks")

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -271,6 +272,64 @@ def test_html_short_paragraphs_after_a_gap():
     assert html_text.main_text(page) == "\n\n".join([long.strip(), short.strip(), short.strip()])
 
 
+def test_html_wrappers_with_aside_words():
+    text = "".join(f"<p>Paragraph {i} of the text. {'It goes on. ' * 9}</p>" for i in range(5))
+    want = "\n\n".join(f"Paragraph {i} of the text. {'It goes on. ' * 9}".strip() for i in range(5))
+    side, notes = '<div class="sidebar"><p>Sidebar words.</p></div>', '<div id="comments">' + "<p>A reader says so. And so on.</p>" * 60 + "</div>"
+    for page in (
+        f'<div class="wrapper has-sidebar"><article>{text}</article>{side}</div>', f'<div id="page" class="site header-fixed"><main>{text}</main>{side}</div>',
+        f'<div class="content-sidebar-wrap"><div>{text}</div></div>{side}', f'<form id="aspnetForm"><div>{text}</div>{side}</form>',
+        f'<form id="f"><nav>Menu words</nav><article>{text}</article></form>{side}', f'<div class="menu-open"><h1>Head</h1>{text}</div>{side}',
+        f'<article>{text}</article>{notes}', f'<div class="widget-area"><div class="page-share"><article>{text}</article></div></div>{notes}',
+        f'<div class="sidebar"><article class="card"><p>Teaser words.</p></article></div><article>{text}</article>',
+    ):
+        got = html_text.main_text(page)
+        assert got.removeprefix("Head\n\n") == want
+    assert html_text.main_text(f'<article>{text}<p class="lead share-price">The price.</p><div class="share">Share me</div><form><p>Mail</p></form></article>') == want + "\n\nThe price."
+
+
+def test_html_foreign_elements():
+    end = "<p>" + "Words that follow. " * 9 + "</p>"
+    assert html_text.main_text(f"<article><p>Let <math><mi>x</mi>=<mn>1</mn></math> be so. {'More of it. ' * 9}</p></article>").startswith("Let x=1 be so.")
+    for page in (f"<article>{end}<p>Icon <svg><path d=1>here</p>{end}</article>", f"<article>{end}<p>Icon <canvas>x</p>{end}</article>",
+                 f"<article>{end}<p>Icon <svg><path d=1></p>{end}<svg><title>T</title></svg></article>"):
+        assert html_text.main_text(page).count("Words that follow. Words") == 2 * 4 or html_text.main_text(page).count(("Words that follow. " * 9).strip()) == 2
+    assert "seen" not in html_text.main_text(f"<article>{end}<svg><title>not seen</title><text>nor seen</text></svg>{end}</article>")
+
+
+def test_html_stray_tags_in_linear_time():
+    for page in ("<div>" * 8000 + "</b>" * 8000, "<div><b>" * 8000 + "</q>" * 8000, '<a "' * 16000, "</div>" * 16000, "<p>x" * 16000 + "</li>" * 16000, '<div class="ad">' * 900 + "<p>x</p>" * 3000):
+        start = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - start < 1.5
+
+
+def test_html_by_hand():
+    """Pages without articles, their text told by hand."""
+    for page, want in HAND:
+        assert html_text.main_text(page) == "\n\n".join(want)
+
+
+P = [f"Sentence {i} of a paragraph that is as long as paragraphs are, with a clause and another one after it." for i in range(8)]
+ITEMS = "".join(f"<li><a href=/{i}>Item {i}</a></li>" for i in range(7))
+HAND = [
+    (f"<body><ul>{ITEMS}</ul><div><h2>Head</h2><p>{P[0]}</p><p>{P[1]}</p></div><div id=footer>foot</div></body>", ["Head", P[0], P[1]]),
+    (f"<table><tr><td><ul>{ITEMS}</ul><td><p>{P[0]}<p>{P[1]}<ul><li>{P[2]}<li>{P[3]}</ul></table>", P[:4]),
+    (f"<div class=page><div role=navigation>Go</div><blockquote>{P[0]}</blockquote><pre>{P[1]}\n  {P[2]}</pre><div class='comment-list'><p>{P[3]}</p></div></div>", [P[0], f"{P[1]} {P[2]}"]),
+    (f"<p>{P[0]}&nbsp;&lt;b&gt; &eacute;&#233;&#xE9;</p><noscript><p>{P[1]}</p></noscript><p hidden>{P[2]}</p><p style='display:none'>{P[3]}</p><p>{P[4]}</p>", [P[0] + " <b> ééé", P[4]]),
+    (f"<!-- <p>{P[0]}</p> --><p>{P[1]}</p><p>{P[2]} <!-- no end <p>{P[3]}</p>", [P[1], P[2]]),
+]
+
+
+def test_html_through_spark(spark):
+    rows = [(1, "u", "<p>" + P[0], "kept", 7), (2, None, None, None, None), (None, "u", "", "x", 1), (3, "u", "<p>" + "Long words. " * 400_000, None, 2), (3, "u", "<p>" + P[0], "kept", 7)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, _text string, n_chars int")
+    done = html_text.extract(pages)
+    assert done.columns == [*pages.columns, "_text_"]
+    assert sorted((r["_text"] or "", len(r["_text_"])) for r in done.collect()) == sorted([("kept", len(P[0])), ("", 0), ("x", 0), ("", 12 * 400_000 - 1), ("kept", len(P[0]))])
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a b/", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (None, "u", "WARC/1.1\r\n\r\n\r\nWARC-Type: response"), (5, "u", "é" * 100_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
