@@ -15,6 +15,9 @@ BLANK = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+#: Tables of at most so many bytes are sent to the rows they are joined with.
+BROADCAST_BYTES = 64 << 20
+
 #: Stands for a missing id inside joins and comparisons: it sorts before all others.
 NO_ID = -(2**63)
 
@@ -48,6 +51,22 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def name_of(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def stowed(docs: DataFrame, text: str, doc_id: str | None = None) -> DataFrame:
+    """(_row, _text[, _id]): the text, and the other columns in a struct, where their names meet no others."""
+    rest = [name_of(c) for c in docs.columns if c != text]
+    out = [F.struct(*rest or [F.lit(0)]).alias("_row"), name_of(text).alias("_text")]
+    return docs.select(*out, *([] if doc_id is None else [name_of(doc_id).alias("_id")]))
+
+
+def unstowed(docs: DataFrame, text: str, new: str = "_text") -> list[Column]:
+    """The columns of ``docs`` in their order, from a stowed table whose text is now in ``new``."""
+    return [F.col(new).alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns]
+
+
 def ascii_lower(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 

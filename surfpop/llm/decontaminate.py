@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surfpop.llm.common import NO_ID, ascii_lower, id_of, query, replace_text, table
+from surfpop.llm.common import NO_ID, ascii_lower, id_of, name_of, query, replace_text, stowed, table, unstowed
 from surfpop.session import cut
 
 #: What parts words after lower-casing, and words before it, by the contract's pattern; fixed values.
@@ -138,12 +138,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "documents",
         .select(F.col("_doc").alias("_bad_doc"), F.col("_row").alias("_bad_row"), F.col("_hit").alias("_bad_hit"))
         .dropDuplicates(["_bad_doc", "_bad_row"])
     )
-    same = (id_of(doc_id) == F.col("_bad_doc")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_bad_row"))
+    own = stowed(docs, text, doc_id)
+    same = (id_of("_id") == F.col("_bad_doc")) & (F.xxhash64(F.coalesce(F.col("_text"), F.lit(""))) == F.col("_bad_row"))
     if remove == "documents":
-        return docs.join(bad, same, "left_anti")
-    joined = docs.join(bad, same, "left")
-    return replace_text(joined, text, F.when(F.col("_bad_hit").isNull(), F.col(text)).otherwise(
-        remove_hits(F.col(text), F.col("_bad_hit")))).drop("_bad_doc", "_bad_row", "_bad_hit")
+        return own.join(bad, same, "left_anti").select(*unstowed(docs, text))
+    left = F.when(F.col("_bad_hit").isNull(), F.col("_text")).otherwise(remove_hits(F.col("_text"), F.col("_bad_hit")))
+    joined = own.join(bad, same, "left").withColumn("_left", left).select(*unstowed(docs, text, "_left"))
+    return replace_text(joined, text, name_of(text))
 
 
 @query("op5_benchmark_decontamination", r"""

@@ -32,14 +32,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surfpop.llm.common import NO_ID, id_of, query, table
+from surfpop.llm.common import BROADCAST_BYTES, NO_ID, id_of, query, stowed, table, unstowed
 from surfpop.llm.decontaminate import words
 from surfpop.session import cut
 
 CHUNK = 512
 COLUMNS = 4096
 SKETCH = 48
-BROADCAST_BYTES = 64 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -316,10 +315,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def near_duplicate_stage(docs: DataFrame) -> DataFrame:
     """One document of each class stays: the one with the smallest id. Of rows with one id and one text, one stays."""
     rows = cut(near_duplicates(docs.select("doc_id", "text")).groupBy("_doc", "_text").agg(F.first("_first").alias("_first"), F.count(F.lit(1)).alias("_n")))
-    same = (id_of("doc_id") == F.col("_doc")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_text"))
-    single = docs.join(rows.where("not _first or _n > 1").select("_doc", "_text"), same, "left_anti")
-    repeated = docs.join(rows.where("_first and _n > 1").select("_doc", "_text"), same, "left_semi")
-    return single.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+    rows = rows.withColumnRenamed("_text", "_of_text")
+    own = stowed(docs, "text", "doc_id")
+    same = (id_of("_id") == F.col("_doc")) & (F.xxhash64(F.coalesce(F.col("_text"), F.lit(""))) == F.col("_of_text"))
+    single = own.join(rows.where("not _first or _n > 1").select("_doc", "_of_text"), same, "left_anti")
+    repeated = own.join(rows.where("_first and _n > 1").select("_doc", "_of_text"), same, "left_semi")
+    return single.unionByName(repeated.dropDuplicates(["_id", "_text"])).select(*unstowed(docs, "text"))
 
 
 @query("op7_ngram_jaccard_join")

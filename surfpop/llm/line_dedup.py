@@ -3,8 +3,8 @@
 Lines are exploded and normalised, their hashes are grouped with the smallest and the largest document
 that holds each, and the lines of shared keys go everywhere but in the smallest document. The rest is
 put together again by position. Grouping keeps two ids per key, so a line found in a third of all
-documents is combined before it is shuffled; the join that finds its places can be split by adaptive
-execution, and nothing gathers the places of one key.
+documents is combined before it is shuffled. The keys of shared lines go to the places where their size allows it; else the
+join that finds the places can be split by adaptive execution. Nothing gathers the places of one key.
 
 Defined results: a null or empty text is one empty line. A null id counts as the smallest id. Rows that
 share an id count as one document for the "found in two documents" test and all keep their lines where
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surfpop.llm.common import BLANK, ascii_lower, hash_pair, id_of, query, replace_text, table
+from surfpop.llm.common import BLANK, BROADCAST_BYTES, ascii_lower, free_name, hash_pair, id_of, query, replace_text, stowed, table, unstowed
 from surfpop.session import cut
 
 
@@ -39,8 +39,11 @@ def dropped_positions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         shared = held.agg(F.min("_doc").alias("_keep"), F.max("_doc").alias("_last")).where("_keep < _last")
     else:
         shared = held.agg(F.min("_doc").alias("_keep"), F.count_distinct("_doc").alias("_n")).where(F.col("_n") >= min_docs)
+    # 64 bytes for three longs and what a hash table adds. Beyond that adaptive execution splits the lines that very many documents share.
+    shared = cut(shared.select("_h1", "_h2", "_keep"))
+    few = shared.count() * 64 <= BROADCAST_BYTES
     return (
-        places.join(shared.select("_h1", "_h2", "_keep"), ["_h1", "_h2"])
+        places.join(F.broadcast(shared) if few else shared, ["_h1", "_h2"])
         .where("_doc <> _keep")
         .groupBy("_doc").agg(F.array_sort(F.collect_set("_at")).alias("_drop"))
     )
@@ -55,20 +58,22 @@ def without(lines: Column, drop: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 10,
                 min_docs: int = 2) -> DataFrame:
-    """The columns of ``docs``, then struct ``_lines``: text (what is kept), n_lines and n_dropped."""
+    """The columns of ``docs``, then struct ``_lines`` (under a free name where they have one): text (what is kept), n_lines and n_dropped."""
     drops = dropped_positions(docs, doc_id, text, min_chars, min_docs).withColumnRenamed("_doc", "_doc_of_drop")
-    joined = docs.withColumn("_split", split_lines(text)).join(drops, id_of(doc_id) == F.col("_doc_of_drop"), "left")
-    kept = F.when(F.col("_drop").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(
+    joined = stowed(docs, text, doc_id).withColumn("_split", split_lines("_text")).join(drops, id_of("_id") == F.col("_doc_of_drop"), "left")
+    kept = F.when(F.col("_drop").isNull(), F.coalesce(F.col("_text"), F.lit(""))).otherwise(
         F.array_join(without(F.col("_split"), F.col("_drop")), "\n"))
-    return joined.withColumn("_lines", F.struct(
+    result = free_name(docs, "_lines")
+    return joined.withColumn(result, F.struct(
         kept.alias("text"), F.size("_split").cast("bigint").alias("n_lines"),
         F.coalesce(F.size("_drop"), F.lit(0)).cast("bigint").alias("n_dropped"),
-    )).drop("_split", "_drop", "_doc_of_drop")
+    )).select(*unstowed(docs, text), result)
 
 
 def line_dedup_stage(docs: DataFrame) -> DataFrame:
     """Documents with the shared lines taken out of all but their first holder."""
-    return replace_text(dedup_lines(docs), "text", F.col("_lines.text")).drop("_lines")
+    lines = free_name(docs, "_lines")
+    return replace_text(dedup_lines(docs), "text", F.col(lines)["text"]).drop(lines)
 
 
 @query("op4_line_dedup", r"""

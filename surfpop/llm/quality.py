@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surfpop.llm.common import BLANK, query, table
+from surfpop.llm.common import BLANK, free_name, query, table
 
 #: Symbols of the contract and the phrases that mark a notice; fixed values.
 SYMBOLS = "#*$%&|<>"
@@ -130,7 +130,7 @@ FIELDS = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 
 
 def quality(docs: DataFrame, text: str = "text", rules: Rules | None = None, with_text: bool = True) -> DataFrame:
-    """The columns of ``docs``, then struct ``_quality``: the figures, the verdict and the text of the lines that pass."""
+    """The columns of ``docs``, then struct ``_quality`` (under a free name where they have one): the figures, the verdict and the text of the lines that pass."""
     rules = rules or Rules()
     fields = FIELDS + (", clean string" if with_text else "")
     names = [x.split()[0] for x in fields.split(", ")]
@@ -139,12 +139,13 @@ def quality(docs: DataFrame, text: str = "text", rules: Rules | None = None, wit
     def figures(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([judge(t, rules)[:len(names)] for t in texts], columns=names)
 
-    return docs.withColumn("_quality", figures(F.col(text)))
+    return docs.withColumn(free_name(docs, "_quality"), figures(F.col(text)))
 
 
 def quality_stage(docs: DataFrame) -> DataFrame:
     """The documents that pass, unchanged."""
-    return quality(docs, with_text=False).where("_quality.kept").drop("_quality")
+    judged = free_name(docs, "_quality")
+    return quality(docs, with_text=False).where(F.col(judged)["kept"]).drop(judged)
 
 
 @query("op8_quality_rules")

@@ -25,7 +25,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surfpop.llm.common import query, table
+from surfpop.llm.common import free_name, query, stowed, table, unstowed
 from surfpop.session import cut
 
 #: Insults, second-person words and sign-for-letter writing; fixed values.
@@ -111,7 +111,7 @@ def learn_lexicon(rows: DataFrame, max_terms: int, min_rows: int, min_odds: floa
 
 def score(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 100_000,
           max_terms: int = 4000, min_rows: int = 4, min_odds: float = 4.0, strong: float = math.log(30), trees: int = 20, depth: int = 4) -> DataFrame:
-    """The columns of ``docs``, then ``_score``. ``labelled``: ids and labels of the rows to learn from."""
+    """The columns of ``docs``, then ``_score`` (under a free name where they have one). ``labelled``: ids and labels of the rows to learn from."""
     ids = labelled.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_doc")).agg(F.max(label).cast("double").alias("_y"))
     n = ids.count()
     buckets = 1_000_000
@@ -123,7 +123,7 @@ def score(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: st
     by = {(r["_part"], r["_y"]): r["n"] for r in rows.groupBy(F.when(F.col("_fold") < 8, "learn").otherwise("fit").alias("_part"), "_y").agg(F.count("_y").alias("n")).collect()}
     if any(by.get((part, y), 0) == 0 for part in ("learn", "fit") for y in (0.0, 1.0)):
         mean = sum(y * c for (_, y), c in by.items()) / max(sum(by.values()), 1)
-        return docs.withColumn("_score", F.lit(float(mean)))
+        return docs.withColumn(free_name(docs, "_score"), F.lit(float(mean)))
     lexicon = learn_lexicon(rows.where("_fold < 4"), max_terms, min_rows, min_odds)
     dense = cut(with_features(rows, "_text", lexicon, strong).select("_y", "_fold", "_features"))
     grow = dense.where("_fold >= 4 and _fold < 8")
@@ -134,10 +134,10 @@ def score(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: st
     margin = vector_to_array("_p")[1].alias("_margin")
     curve = IsotonicRegression(featuresCol="_margin", labelCol="_y", predictionCol="_level").fit(
         model.transform(dense.where("_fold >= 8")).select(margin, "_y"))
-    scored = model.transform(with_features(docs, text, lexicon, strong)).withColumn("_margin", margin)
+    scored = model.transform(with_features(stowed(docs, text), "_text", lexicon, strong)).withColumn("_margin", margin)
     # The curve is flat in places; a small share of the trees' own probability keeps the order there.
-    return curve.transform(scored).withColumn("_score", 0.99 * F.col("_level") + 0.01 * F.col("_margin")).drop(
-        "_features", "_class", "_p", "_raw", "_margin", "_level")
+    result = free_name(docs, "_score")
+    return curve.transform(scored).withColumn(result, 0.99 * F.col("_level") + 0.01 * F.col("_margin")).select(*unstowed(docs, text), result)
 
 
 def third(doc_id: str):

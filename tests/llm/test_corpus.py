@@ -20,7 +20,9 @@ DOCS = [
     (9, " ".join(f"clean{i}" for i in range(60)) + "."),
 ]
 SCHEMA = "doc_id long, text string"
-CLASH = "doc_id long, text string, _line string, _hash long, n_words int, prediction double, _doc string, length int"
+NAMES = (
+    "_a _at _bad_doc _bad_hit _bad_row _class _code _doc _doc_of_drop _drop _features _first _fold _hash _hit _hs _id _key _left _len _level _lines _margin _n "
+    "_names _of_text _p _paths _quality _raw _row _runs _score _set _split _text _text_ _y kept length n_chars n_words piece prediction").split()
 
 
 @pytest.fixture(scope="module")
@@ -48,6 +50,26 @@ def test_line_dedup_edges(spark, docs):
     assert line_dedup.line_dedup_stage(wide).columns == wide.columns
 
 
+def test_clashing_names_come_back(spark, docs):
+    """Every function on a table with the names that it uses itself: the columns come back as they were."""
+    from pyspark.sql import functions as F
+
+    wide = docs.select("doc_id", "text", *[F.lit(f"own {n}").alias(n) for n in NAMES if n != "n_chars"], F.lit(7).alias("n_chars"), F.lit("dot").alias("a.b"))
+    items = spark.createDataFrame([(2, "shared line")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    same = [c for c in wide.columns if c not in ("doc_id", "text", "n_chars")]
+    for made, more in (
+        (line_dedup.dedup_lines(wide), 1), (line_dedup.line_dedup_stage(wide), 0), (decontaminate.decontaminate(wide, items), 0),
+        (decontaminate.decontaminate(wide, items, remove="spans"), 0), (jaccard_join.near_duplicate_stage(wide), 0), (quality.quality(wide), 1),
+        (quality.quality_stage(wide), 0), (toxicity.score(wide, labels), 1), (html_text.extract(wide, "text"), 1),
+    ):
+        assert made.columns[:len(wide.columns)] == wide.columns and len(made.columns) == len(wide.columns) + more
+        rows = made.collect()
+        assert rows and {tuple(r[c] for c in same) for r in rows} == {tuple("dot" if c == "a.b" else f"own {c}" for c in same)}
+    for made in (decontaminate.contamination(wide, items), packing.pack_documents(wide), suffix_dedup.dedup_report(wide), jaccard_join.near_duplicates(wide)):
+        assert made.count() >= len(DOCS)
+
+
 def test_decontamination_edges(spark, docs):
     items = spark.createDataFrame(
         [(1, " ".join(f"WORD{i}" for i in range(100, 115))), (2, "shared line"), (3, None), (4, ""), (2, "shared line")], "item_id long, text string")
