@@ -398,6 +398,13 @@ def c17(spark, sf):
     return _labs(out.processed)
 
 
+@query("c17_run_colors_sampled")
+def c17c(spark, sf):
+    """A real sample budget: 60 of the atlas's 242 faces."""
+    out = plan.run_colors(fx.atlas(spark, sf), fx.pixels(spark, sf), plan.ColorOptions(sample_count=60, smoothing=1, clusters=6, initial_clusters=12))
+    return _labs(out.processed, "label")
+
+
 @query("c17_run_colors")
 def c17b(spark, sf):
     out = plan.run_colors(fx.atlas(spark, sf), fx.pixels(spark, sf), plan.ColorOptions(sample_count=None, smoothing=1, clusters=6, initial_clusters=12))

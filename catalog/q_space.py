@@ -150,11 +150,41 @@ def g5(spark, sf):
     return out.select("mesh_id", "face_id", r6(F.col("dist")).alias("dist"))
 
 
-@query("g4_sample_faces")
+def _walk(n: int) -> str:
+    """Shortest ways from pick n, the least distance to all picks so far, and the next pick."""
+    least = f"select mesh_id, face_id, dist from sp{n}" if not n else f"select mesh_id, face_id, least(p.dist, q.dist) as dist from low{n - 1} p join sp{n} q using (mesh_id, face_id)"
+    return f"""
+, sp{n}(mesh_id, face_id, dist) using key (mesh_id, face_id) as (
+  select mesh_id, face_id, 0e0 from pick{n}
+  union (select e.mesh_id, e.nbr_id, min(s.dist + e.w) from sp{n} s join ed e on e.mesh_id = s.mesh_id and e.face_id = s.face_id
+    left join recurring.sp{n} r on r.mesh_id = e.mesh_id and r.face_id = e.nbr_id where r.dist is null or s.dist + e.w < r.dist group by 1, 2))
+, low{n} as ({least})
+, pick{n + 1} as (select mesh_id, face_id from low{n} qualify row_number() over (partition by mesh_id order by dist desc, face_id) = 1)"""
+
+
+@query("g4_sample_faces", k.with_(fx.MESH_SQL, k.MEASURES_CTE, k.ADJACENCY_CTE).replace("with ", "with recursive ", 1) + f"""
+, ed as (select mesh_id, a.face_id, a.nbr_id, {R('sqrt(power(p.mx - q.mx, 2) + power(p.my - q.my, 2) + power(p.mz - q.mz, 2))')} as w from fx_adj a join fx_measures p using (mesh_id, face_id) join (select mesh_id, face_id as nbr_id, mx, my, mz from fx_measures) q using (mesh_id, nbr_id))
+, pick0 as (select mesh_id, face_id from fx_faces qualify row_number() over (partition by mesh_id order by (face_id * 97 + mesh_id) % 242 desc) = 1)""" + "".join(map(_walk, range(3))) + """
+select mesh_id, 0::bigint as sample_id, face_id from pick0 union all select mesh_id, 1, face_id from pick1
+union all select mesh_id, 2, face_id from pick2 union all select mesh_id, 3, face_id from pick3""")
 def g4(spark, sf):
+    """Edge lengths of six places and areas that no two faces share, so both sides see the same ties."""
     own, measures, edges = _edges(spark, sf)
     comp = own.faces.select("mesh_id", "face_id", F.lit(0).cast("bigint").alias("component"))
-    return graph.sample_faces(measures, edges, comp, 4)[0]
+    apart = measures.withColumn("area", ((F.col("face_id") * 97 + F.col("mesh_id")) % 242).cast("double"))
+    return graph.sample_faces(apart, cut(edges.withColumn("w", r6(F.col("w")))), comp, 4)[0]
+
+
+PAIR = 0.02  # from a vertex to its twin
+
+
+@query("g6_weld_pairs", k.with_(fx.VERTICES_SQL) + " select mesh_id, vertex_id + 144 * t as vertex_id, vertex_id as new_id from fx_vertices, (select unnest([0, 1]) as t)")
+def g6b(spark, sf):
+    """Every vertex of the grid has a twin near it and no other vertex within the radius: the first of each pair answers."""
+    own = fx.mesh(spark, sf, uv=False)
+    twins = own.vertices.select("mesh_id", (F.col("vertex_id") + 144).alias("vertex_id"), (F.col("x") + PAIR).alias("x"), "y", "z")
+    both = m.Mesh(own.vertices.unionByName(twins), own.faces)
+    return weld.weld(both, 3 * PAIR)[1]
 
 
 @query("g6_weld")
