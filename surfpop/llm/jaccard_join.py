@@ -218,12 +218,32 @@ def screen(block: pd.DataFrame, share: float = 0.5) -> list[tuple[int, int]]:
     return list(zip(block["_leaf"][fresh].tolist(), block["_set"][fresh].tolist()))
 
 
-def in_blocks(rows: DataFrame, chunk: int, work, columns: list[str]) -> DataFrame:
-    """``work`` on every chunk pair of every node, from rows (_leaf, _n, _set, _tokens, ...), ``_n`` being the node's sets."""
+def mates(by_set: DataFrame, chunk: int) -> DataFrame:
+    """(_leaf, _mate, _mates) per node of more than ``chunk`` sets: the node that is the smallest of most of its sets, and of how many.
+
+    These sets have met there, so in this node they need not be held against each other.
+    """
+    rows = by_set.select(F.col("_ends._leaf").alias("_leaves"), F.inline("_ends")).where(F.col("_n") > chunk)
+    least = rows.select("_leaf", F.array_min("_leaves").alias("_mate")).where("_mate < _leaf")
+    most = least.groupBy("_leaf", "_mate").agg(F.count(F.lit(1)).alias("_mates")).groupBy("_leaf").agg(F.max(F.struct("_mates", "_mate")).alias("_m"))
+    return most.select("_leaf", "_m._mate", "_m._mates")
+
+
+def in_blocks(rows: DataFrame, by_set: DataFrame, chunk: int, work, columns: list[str]) -> DataFrame:
+    """``work`` on the chunk pairs of every node, from rows (_leaf, _n, _set, _tokens, _earlier), ``_n`` being the node's sets.
+
+    ``by_set`` has the nodes of each set. A node's mates are in chunks of their own, which meet the other chunks and not each other.
+    """
+    known = cut(mates(by_set, chunk))
+    few = known.count() * 64 <= BROADCAST_BYTES
+    rows = rows.join(F.broadcast(known) if few else known, "_leaf", "left")
+    mate, many = F.coalesce(F.array_min("_earlier") == F.col("_mate"), F.lit(False)), F.coalesce("_mates", F.lit(0))
+    apart, rest = F.ceil(many / chunk), F.ceil((F.col("_n") - many) / chunk)
+    place = F.xxhash64("_set")
     rows = (
-        rows.withColumn("_chunks", F.ceil(F.col("_n") / chunk)).withColumn("_chunk", F.pmod(F.xxhash64("_set"), F.col("_chunks")))
-        .withColumn("_with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_chunks") - 1)))
-        .withColumns({"_a": F.least("_chunk", "_with"), "_b": F.greatest("_chunk", "_with")}).drop("_chunks", "_with", "_n")
+        rows.withColumn("_chunk", F.when(mate, F.pmod(place, F.greatest(apart, F.lit(1)))).otherwise(apart + F.pmod(place, F.greatest(rest, F.lit(1)))))
+        .withColumn("_with", F.explode(F.when(rest > 0, F.sequence(F.when(mate, apart).otherwise(F.lit(0).cast("bigint")), apart + rest - 1))))
+        .withColumns({"_a": F.least("_chunk", "_with"), "_b": F.greatest("_chunk", "_with")}).drop("_with", "_n", "_mate", "_mates")
     )
 
     def blocks(batches):
@@ -254,11 +274,12 @@ def compare_blocks(ends: DataFrame, sets: DataFrame, threshold: float, chunk: in
     def per_set(nodes):
         return cut(nodes.groupBy("_set").agg(F.collect_list(F.struct("_leaf", "_n")).alias("_ends")))
 
-    sketched = by_node(beside(sets.select("_set", F.col("_sketch").alias("_tokens")), per_set(ends), F.size("_ends") * 24))
-    near = cut(in_blocks(sketched, chunk, screen, ["_leaf", "_set"]).distinct())
-    near = near.join(near.groupBy("_leaf").agg(F.count(F.lit(1)).alias("_n")), "_leaf")
-    whole = by_node(beside(sets.select("_set", "_tokens"), per_set(near), F.size("_ends") * 24))
-    return in_blocks(whole, chunk, lambda block: compare(block, threshold), ["_set", "_to", "_links"])
+    of_ends = per_set(ends)
+    sketched = by_node(beside(sets.select("_set", F.col("_sketch").alias("_tokens")), of_ends, F.size("_ends") * 24))
+    near = cut(in_blocks(sketched, of_ends, chunk, screen, ["_leaf", "_set"]).distinct())
+    of_near = per_set(near.join(near.groupBy("_leaf").agg(F.count(F.lit(1)).alias("_n")), "_leaf"))
+    whole = by_node(beside(sets.select("_set", "_tokens"), of_near, F.size("_ends") * 24))
+    return in_blocks(whole, of_near, chunk, lambda block: compare(block, threshold), ["_set", "_to", "_links"])
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
