@@ -2,26 +2,91 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surfpop.session import cut
 
-PIVOTS = 128
-CHUNK = 512
+# Rows whose neighbours one task step holds; every row travels once to each such block that may need it.
+BLOCK_ROWS = 16384
+LEAST_BLOCKS = 8
+# Distances of one step at a time.
+PAIRS = 4_000_000
 
 
-def knn_graph(features: DataFrame, k: int | None = None, pivots: int = PIVOTS, chunk: int = CHUNK) -> DataFrame:
+class Pivots:
+    """About √n rows as cell centres, in two levels: a row goes to its nearest branch and to the nearest centre of that branch."""
+
+    def __init__(self, centres: np.ndarray):
+        self.centres = centres
+        self.tops = centres[: math.ceil(math.sqrt(len(centres)))]
+        self.branch = _squares(centres, self.tops).argmin(axis=1)
+        self.order = np.argsort(self.branch, kind="stable")
+
+    def cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cell of each row and its distance to the cell's centre."""
+        top, cell = _squares(x, self.tops).argmin(axis=1), np.empty(len(x), np.int64)
+        for t in np.unique(top):
+            mine, own = np.flatnonzero(top == t), np.flatnonzero(self.branch == t)
+            cell[mine] = own[_squares(x[mine], self.centres[own]).argmin(axis=1)]
+        return cell, np.linalg.norm(x - self.centres[cell], axis=1)
+
+
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.maximum((x**2).sum(1)[:, None] - 2 * x @ y.T + (y**2).sum(1), 0)
+
+
+class Nearest:
+    """The k nearest rows so far of a block of rows, ties to the smaller id."""
+
+    def __init__(self, k: int):
+        self.k, self.ids, self.rows = k, [], []
+
+    def hold(self, ids: np.ndarray, x: np.ndarray) -> None:
+        self.ids.append(ids)
+        self.rows.append(x)
+
+    def start(self) -> None:
+        self.id, self.x = np.concatenate(self.ids), np.concatenate(self.rows)
+        self.best = pd.DataFrame({"q": np.zeros(0, np.int64), "dist": np.zeros(0), "nbr_id": self.id[:0]})
+        self.kth = np.full(len(self.id), np.inf)
+
+    def meet(self, ids: np.ndarray, x: np.ndarray) -> None:
+        step = max(64, PAIRS // len(self.id))
+        for at in range(0, len(ids), step):
+            self._meet(ids[at:at + step], x[at:at + step])
+
+    def _meet(self, ids: np.ndarray, x: np.ndarray) -> None:
+        d2 = _squares(self.x, x)
+        d2[self.id[:, None] == ids[None]] = np.inf
+        take = min(self.k, len(ids))
+        # Everything that may tie with the k-th stays, and is then measured without cancellation.
+        slack = 1e-12 * ((self.x**2).sum(1) + (x**2).sum(1).max())
+        limit = np.minimum(np.partition(d2, take - 1, axis=1)[:, take - 1] if take == self.k else np.inf, self.kth**2) + slack
+        q, r = np.nonzero((d2 <= limit[:, None]) & np.isfinite(d2))
+        fresh = pd.DataFrame({"q": q, "dist": np.sqrt(((self.x[q] - x[r]) ** 2).sum(axis=1)), "nbr_id": ids[r]})
+        self.best = pd.concat([self.best, fresh]).sort_values(["q", "dist", "nbr_id"], kind="stable").groupby("q").head(self.k) if len(fresh) else self.best
+        nth = self.best.groupby("q").cumcount().to_numpy()
+        full = nth == self.k - 1
+        self.kth[self.best["q"].to_numpy()[full]] = self.best["dist"].to_numpy()[full]
+
+    def result(self) -> pd.DataFrame:
+        return pd.DataFrame({"specimen_id": self.id[self.best["q"]], "rank": self.best.groupby("q").cumcount().to_numpy() + 1,
+                             "nbr_id": self.best["nbr_id"].to_numpy(), "dist": self.best["dist"].to_numpy()})
+
+
+def knn_graph(features: DataFrame, k: int | None = None, pivots: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The k nearest other specimens by Euclidean distance: (specimen_id, rank, nbr_id, dist).
 
-    Default k = min(15, n - 1). Rows go to the nearest of a few pivots; cells are cut into
-    chunks of bounded size, so one crowded cell is many chunks. A chunk meets another only
-    if the triangle inequality leaves room for a neighbour in it, and each meeting returns
-    just k rows per query. Equal distances go to the smaller id.
+    Default k = min(15, n - 1). Rows go to the cells of about √n pivots; cells that lie together make blocks of bounded size, a crowded
+    cell several. A block meets the rows of a cell only if the triangle inequality leaves room for a neighbour in it. They
+    come to it one after another, and the block's k nearest so far are all it keeps, so a row is shuffled
+    once per block that needs it and nothing is ranked afterwards. Equal distances go to the smaller id.
     """
     kind = features.schema["specimen_id"].dataType.simpleString()
     packed = cut(features.groupBy("specimen_id").agg(
@@ -31,64 +96,63 @@ def knn_graph(features: DataFrame, k: int | None = None, pivots: int = PIVOTS, c
     k = min(15, n - 1) if k is None else k
     if not 1 <= k < n:
         raise ValueError("k must be at least 1 and below the number of specimens.")
-    picked = packed.orderBy(F.xxhash64("specimen_id"), "specimen_id").limit(pivots).collect()
-    centres = np.array([r["x"] for r in picked])
+    picked = packed.orderBy(F.xxhash64("specimen_id"), "specimen_id").limit(pivots or math.ceil(math.sqrt(n))).collect()
+    tree = Pivots(np.array([r["x"] for r in picked]))
 
     def to_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                x = np.stack(b["x"].to_numpy())
-                d = np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1), 0))
-                cell = d.argmin(axis=1)
-                yield pd.DataFrame({"specimen_id": b["specimen_id"], "x": b["x"], "cell": cell,
-                                    "far": np.linalg.norm(x - centres[cell], axis=1)})
-
-    celled = cut(packed.mapInPandas(to_cell, f"specimen_id {kind}, x array<double>, cell int, far double"))
-    # Rows of a cell are spread over enough chunks to keep each near the wanted size.
-    sizes = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).select("cell", F.ceil(F.col("n") / float(chunk)).cast("int").alias("parts"))
-    chunks = cut(
-        celled.join(F.broadcast(sizes), "cell")  # at most one row per pivot
-        .withColumn("part", F.pmod(F.xxhash64("specimen_id"), F.col("parts")).cast("int"))
-        .groupBy("cell", "part").agg(
-            F.collect_list(F.struct("specimen_id", "x")).alias("s"), F.max("far").alias("radius"), F.count(F.lit(1)).alias("n")
-        ).withColumn("radius", F.col("radius") * (1 + 1e-9))
-    )
-    shape = chunks.groupBy("cell").agg(F.max("radius").alias("radius"), F.sum("n").alias("n")).collect()
-    cells = sorted(r["cell"] for r in shape)
-    radius = np.array([{r["cell"]: r["radius"] for r in shape}[c] for c in cells])
-    count = np.array([{r["cell"]: r["n"] for r in shape}[c] for c in cells])
-    apart = np.linalg.norm(centres[cells][:, None] - centres[cells][None], axis=2)
-    # For any query of cell i, at least k others lie within reach[i].
-    worst = apart + radius[:, None] + radius[None]
-    reach = np.empty(len(cells))
-    for i in range(len(cells)):
-        order = np.argsort(worst[i], kind="stable")
-        reach[i] = worst[i][order][np.searchsorted(np.cumsum(count[order]), k + 1)]
-    near = apart - radius[:, None] - radius[None] <= reach[:, None] * (1 + 1e-9)
-    visits = packed.sparkSession.createDataFrame(
-        [(int(cells[i]), int(cells[j])) for i, j in zip(*np.nonzero(near))], "cell int, other int"
-    )
-    queries = chunks.select("cell", F.col("s").alias("q"))
-    others = chunks.select(F.col("cell").alias("other"), F.col("s").alias("r"))
-    meetings = queries.join(visits, "cell").join(others, "other").select("q", "r")
-
-    def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                cell, far = tree.cells(np.stack(b["x"].to_numpy()))
+                yield pd.DataFrame({"specimen_id": b["specimen_id"], "x": b["x"], "cell": cell, "far": far})
+
+    celled = cut(packed.mapInPandas(to_cell, f"specimen_id {kind}, x array<double>, cell bigint, far double"))
+    shape = {r["cell"]: (r["n"], r["far"]) for r in celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}
+    cells = np.array([c for c in tree.order if c in shape])  # at most one per pivot, branch by branch
+    count, radius = np.array([shape[c][0] for c in cells]), np.array([shape[c][1] for c in cells]) * (1 + 1e-9)
+    size = min(block_rows, max(1, -(-n // LEAST_BLOCKS)))
+    first = (np.cumsum(count) - count) // size
+    last = (np.cumsum(count) - 1) // size
+    centres = tree.centres[cells]
+
+    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for q, r in zip(b["q"], b["r"]):
-                qi, ri = np.array([s["specimen_id"] for s in q]), np.array([s["specimen_id"] for s in r])
-                qx, rx = np.stack([s["x"] for s in q]), np.stack([s["x"] for s in r])
-                d2 = np.maximum((qx**2).sum(1)[:, None] - 2 * qx @ rx.T + (rx**2).sum(1), 0)
-                d2[qi[:, None] == ri[None]] = np.inf
-                take = min(k, d2.shape[1])
-                # Keep everything that may tie with the k-th, then measure it without cancellation.
-                kth = np.partition(d2, take - 1, axis=1)[:, take - 1]
-                size = (qx**2).sum(1) + (rx**2).sum(1).max()
-                rows, cols = np.nonzero(d2 <= (kth + 1e-12 * size)[:, None])
-                dist = np.sqrt(((qx[rows] - rx[cols]) ** 2).sum(axis=1))
-                yield pd.DataFrame({"specimen_id": qi[rows], "nbr_id": ri[cols], "dist": dist})[qi[rows] != ri[cols]]
-
-    found = meetings.mapInPandas(top, f"specimen_id {kind}, nbr_id {kind}, dist double")
-    order = Window.partitionBy("specimen_id").orderBy("dist", "nbr_id")
-    return found.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k).select(
-        "specimen_id", "rank", "nbr_id", "dist"
-    )
+            out = set()
+            for i in b["i"]:
+                apart = np.sqrt(_squares(centres[i:i + 1], centres)[0])
+                # For any row of the cell, at least k others lie within reach.
+                worst = apart + radius[i] + radius
+                order = np.argsort(worst, kind="stable")
+                reach = worst[order][np.searchsorted(np.cumsum(count[order]), k + 1)]
+                near = cells[apart - radius[i] - radius <= reach * (1 + 1e-9) + 1e-9 * apart.max()]
+                out |= {(block, int(c)) for block in range(first[i], last[i] + 1) for c in near}
+            yield pd.DataFrame(sorted(out), columns=["block", "cell"])
+
+    spark = packed.sparkSession
+    of_cell = spark.createDataFrame([(int(c), int(a), int(z)) for c, a, z in zip(cells, first, last)], "cell bigint, first bigint, last bigint")
+    open_cells = spark.range(len(cells)).withColumnRenamed("id", "i").mapInPandas(visits, "block bigint, cell bigint").distinct()
+    held = celled.join(F.broadcast(of_cell), "cell").select(  # at most one row per pivot
+        (F.col("first") + F.pmod(F.xxhash64("specimen_id"), F.col("last") - F.col("first") + 1)).alias("block"), F.lit(0).alias("turn"), "specimen_id", "x")
+    come = celled.join(open_cells, "cell").select("block", F.lit(1).alias("turn"), "specimen_id", "x")
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, now, started = None, None, False
+        for b in batches:
+            for (own, turn), rows in b.groupby(["block", "turn"], sort=True):
+                if own != block:
+                    if now is not None and started:
+                        yield now.result()
+                    block, now, started = own, Nearest(k), False
+                ids, x = rows["specimen_id"].to_numpy(), np.stack(rows["x"].to_numpy())
+                if turn == 0:
+                    now.hold(ids, x)
+                elif now.ids:
+                    if not started:
+                        now.start()
+                        started = True
+                    now.meet(ids, x)
+        if now is not None and started:
+            yield now.result()
+
+    blocks = int(last.max()) + 1
+    return held.unionByName(come).repartition(4 * blocks, "block").sortWithinPartitions("block", "turn").mapInPandas(
+        stream, f"specimen_id {kind}, rank bigint, nbr_id {kind}, dist double")

@@ -232,16 +232,37 @@ def test_shortcuts_of_a_mesh_do_not_depend_on_others(spark):
     assert [r for r in beside if r[0] == 2] == sorted(r for r in rows if r[0] == 2)
 
 
-def test_knn_is_exact_with_a_crowded_cell(spark):
+@pytest.mark.parametrize("pivots,block", [(6, 16), (None, 16384), (1, 7)])
+def test_knn_is_exact_with_a_crowded_cell(spark, pivots, block):
+    """A crowded cell, equal rows and many equal distances; ids are strings."""
     rng = np.random.default_rng(1)
-    x = np.vstack([rng.normal(size=(60, 5)), 20 + 0.01 * rng.normal(size=(40, 5))])
-    rows = [(i, j, float(x[i, j])) for i in range(len(x)) for j in range(5)]
+    x = np.vstack([rng.normal(size=(60, 5)), 20 + 0.01 * rng.normal(size=(40, 5)), np.ones((7, 5)), rng.integers(0, 2, (30, 5))])
+    rows = [(f"s{i:03}", j, float(x[i, j])) for i in range(len(x)) for j in range(5)]
     df = spark.createDataFrame(rows, ["specimen_id", "feature_id", "value"])
-    got = {(r["specimen_id"], r["rank"]): r["nbr_id"] for r in neighbors.knn_graph(df, 4, pivots=6, chunk=16).collect()}
+    got = {(r["specimen_id"], r["rank"]): (r["nbr_id"], r["dist"]) for r in neighbors.knn_graph(df, 4, pivots=pivots, block_rows=block).collect()}
     d = np.linalg.norm(x[:, None] - x[None], axis=2)
     np.fill_diagonal(d, np.inf)
+    assert len(got) == 4 * len(x)
     for i in range(len(x)):
-        assert [got[(i, k)] for k in range(1, 5)] == list(np.argsort(d[i], kind="stable")[:4])
+        want = np.argsort(d[i], kind="stable")[:4]
+        assert [got[(f"s{i:03}", k)][0] for k in range(1, 5)] == [f"s{j:03}" for j in want]
+        assert np.allclose([got[(f"s{i:03}", k)][1] for k in range(1, 5)], d[i][want])
+
+
+def test_knn_of_two_rows_and_bad_k(spark):
+    df = spark.createDataFrame([(i, 0, float(i)) for i in (3, 5)], ["specimen_id", "feature_id", "value"])
+    assert [tuple(r) for r in neighbors.knn_graph(df).orderBy("specimen_id").collect()] == [(3, 1, 5, 2.0), (5, 1, 3, 2.0)]
+    for k in (0, 2):
+        with pytest.raises(ValueError):
+            neighbors.knn_graph(df, k)
+
+
+def test_pivots_grow_with_the_root_of_the_rows():
+    tree = neighbors.Pivots(np.random.default_rng(0).normal(size=(100, 3)))
+    x = np.random.default_rng(1).normal(size=(500, 3))
+    cell, far = tree.cells(x)
+    assert len(tree.tops) == 10 and np.allclose(far, np.linalg.norm(x - tree.centres[cell], axis=1))
+    assert (tree.branch[cell] == np.argmin(((x[:, None] - tree.tops[None]) ** 2).sum(2), axis=1)).all()
 
 
 def _greedy(faces, area, links, component, count):
