@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
@@ -13,8 +15,8 @@ from surfpop.functions import names
 from surfpop.operators import checks, graph, region
 from surfpop.operators import mesh as m
 from surfpop.plans import colors as plan
-from surfpop.session import cut
-from surfpop.sources import discovery, landmarks, obj
+from surfpop.session import cut, work_root
+from surfpop.sources import discovery, landmarks, obj, tables
 
 NAMED = fx.FILES_SQL + r""",
 fx_named as (select kind, name, regexp_replace(name, '\.(mrk\.json|obj|ply|stl|vtp|fcsv|json|csv|png|jpg|jpeg|tif|tiff|bmp)$', '', 'i') as specimen_id
@@ -462,3 +464,45 @@ def f19(spark, sf):
 @query("f20_stems", k.with_(NAMED) + " select kind, name, specimen_id from fx_named")
 def f20(spark, sf):
     return discovery.identify(fx.files(spark, sf)).select("kind", "name", "specimen_id")
+
+
+# ------------------------------------------------------------------ sinks, read back
+
+
+def _new_folder(spark, name):
+    return f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _written_mesh(spark, sf):
+    path = _new_folder(spark, "obj")
+    obj.write_obj(fx.mesh(spark, sf), path)
+    return obj.read_obj(spark, path)
+
+
+@query("s8_write_obj_vertices", k.with_(fx.VERTICES_SQL) + " select mesh_id, vertex_id, x, y, z from fx_vertices")
+def s8(spark, sf):
+    """Coordinates survive the text to the last bit."""
+    return _written_mesh(spark, sf).vertices.withColumn("mesh_id", F.col("mesh_id").cast("bigint")).select("mesh_id", "vertex_id", "x", "y", "z")
+
+
+@query("s8_write_obj_uv", k.with_(fx.MESH_SQL) + " select mesh_id, face_id, corner, a, b, c, u, v from fx_uv join fx_faces using (mesh_id, face_id)")
+def s8b(spark, sf):
+    back = _written_mesh(spark, sf)
+    both = back.corner_uv.join(back.faces, ["mesh_id", "face_id"])
+    return both.withColumn("mesh_id", F.col("mesh_id").cast("bigint")).select("mesh_id", "face_id", "corner", "a", "b", "c", "u", "v")
+
+
+@query("s9_write_landmarks", k.with_(fx.LANDMARKS_SQL) + " select specimen_id, label, ord, x, y, z from fx_landmarks")
+def s9(spark, sf):
+    path = _new_folder(spark, "marks")
+    landmarks.write_landmarks(fx.landmarks(spark, sf), path)
+    back = landmarks.read_landmarks(spark, path)
+    return back.withColumn("specimen_id", F.col("specimen_id").cast("bigint")).select("specimen_id", "label", "ord", "x", "y", "z")
+
+
+@query("s10_publish", k.with_(fx.SAMPLES_SQL) + " select specimen_id, sample_id, r * 0.5e0 as r, g, b, valid from fx_samples")
+def s10(spark, sf):
+    """A table is published, and then replaced by rows that are read from it."""
+    path = tables.publish(fx.samples(spark, sf).select("specimen_id", "sample_id", "r", "g", "b", "valid"), _new_folder(spark, "samples"))
+    tables.publish(spark.read.parquet(path).withColumn("r", F.col("r") * 0.5), path, overwrite=True)
+    return spark.read.parquet(path)

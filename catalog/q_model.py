@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
@@ -11,7 +13,8 @@ from catalog.registry import query
 from surfpop.operators import models, neighbors
 from surfpop.plans import colors as color_plan
 from surfpop.plans import population
-from surfpop.session import cut
+from surfpop.session import cut, work_root
+from surfpop.sources import tables
 
 FEAT = k.with_(fx.FEATURES_SQL)
 
@@ -95,6 +98,14 @@ def c14(spark, sf):
     return models.transform(f, model).withColumn("value", r6(F.col("value")))
 
 
+@query("c19_saved_model_scores", GIVEN + f" select specimen_id, component::int as component, {R('v')} as value from sc")
+def c19(spark, sf):
+    """A model that is saved, loaded and used gives the scores of the model itself."""
+    f, model = _given(spark, sf)
+    saved = tables.save_model(model, f"{work_root(spark)}/model-{uuid.uuid4().hex}")
+    return models.transform(f, tables.load_model(spark, saved)).withColumn("value", r6(F.col("value")))
+
+
 @query("c15_reconstruct", GIVEN + f" select specimen_id, feature_id, feature_name, {R('value')} as value from rec")
 def c15(spark, sf):
     f, model = _given(spark, sf)

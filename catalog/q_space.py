@@ -342,7 +342,7 @@ def p1(spark, sf):
     turned = lm.select("specimen_id", "label", "ord", ((F.col("x") * 0.6 - F.col("y") * 0.8) * 2 + 1).alias("x"), ((F.col("x") * 0.8 + F.col("y") * 0.6) * 2 - 3).alias("y"), (F.col("z") * 2 + 0.5).alias("z"))
     # Fit every turned specimen to its own original by naming the pair in the label.
     own = lambda df: df.withColumn("label", F.concat(F.col("specimen_id").cast("string"), F.lit("/"), F.col("label")))
-    fits = align.procrustes(own(turned), own(lm), scale=True)
+    fits = align.procrustes(own(turned), own(lm), scale=True, same_labels=False)
     back = align.apply_transform(turned, fits, "ord")
     return back.select("specimen_id", "label", *[r6(F.col(n)).alias(n) for n in "xyz"])
 

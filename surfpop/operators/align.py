@@ -46,8 +46,23 @@ def cross_covariance(landmarks: DataFrame, target: DataFrame) -> DataFrame:
     )
 
 
-def procrustes(landmarks: DataFrame, target: DataFrame, scale: bool = False) -> DataFrame:
-    """transforms(specimen_id, r, t, scale): the covariance is a Spark aggregate, the 3x3 SVD a batch step."""
+def label_gaps(landmarks: DataFrame, target: DataFrame, on: list[str]) -> DataFrame:
+    """(specimen_id, label) that only one of two landmark tables has; with ``on`` the label alone, the target is every specimen's."""
+    if on == ["label"]:
+        labels = target.agg(F.collect_set("label")).scalar()  # at most MAX_LABELS
+        target = landmarks.select("specimen_id").distinct().select("specimen_id", F.explode(labels).alias("label"))
+    both = ["specimen_id", "label"]
+    own, other = landmarks.select(*both), target.select(*both)
+    return own.join(other, both, "left_anti").unionByName(other.join(own, both, "left_anti"))
+
+
+def procrustes(landmarks: DataFrame, target: DataFrame, scale: bool = False, same_labels: bool = True) -> DataFrame:
+    """transforms(specimen_id, r, t, scale): the covariance is a Spark aggregate, the 3x3 SVD a batch step.
+
+    Every specimen needs the target's labels, no more and no fewer; without ``same_labels`` it needs only labels that the target has.
+    """
+    gaps = label_gaps(landmarks, target, ["label"]) if same_labels else landmarks.join(target, "label", "left_anti")
+    checks.require_none(gaps, "Landmark labels differ from the target's.")
     sums = cross_covariance(landmarks, target)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -315,6 +330,7 @@ def apply_spline(points: DataFrame, coef: DataFrame, salt_by: str) -> DataFrame:
 def spline_pairs(source: DataFrame, target: DataFrame, per_specimen: bool = True) -> DataFrame:
     """Pair landmark tables by (specimen_id, label), or by label when the target is shared."""
     on = ["specimen_id", "label"] if per_specimen else ["label"]
+    checks.require_none(label_gaps(source, target, on), "Landmark labels differ from the target's.")
     s = source.select("specimen_id", "label", *[F.col(n).alias(f"s{n}") for n in "xyz"])
     t = target.select(*on, *[F.col(n).alias(f"t{n}") for n in "xyz"])
     return s.join(t, on)

@@ -23,6 +23,8 @@ def _kept(processed: DataFrame, missing: str) -> DataFrame:
     if missing not in ("error", "drop"):
         raise ValueError("missing must be error or drop.")
     common = common_valid(processed)
+    if common.isEmpty():
+        raise ValueError("No sample has a valid colour in every specimen.")
     if missing == "error":
         checks.require_none(
             processed.select("sample_id").distinct().join(common, "sample_id", "left_anti"),

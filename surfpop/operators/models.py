@@ -16,6 +16,7 @@ from surfpop.operators import checks, colors
 from surfpop.session import cut
 
 # Largest side of a dense symmetric problem on the driver; beyond it subspace rounds are used.
+SHARES = 32  # of the samples that a reconstructed row is spread over
 MAX_DENSE = 1024
 MAX_COMPONENTS = 64
 
@@ -352,9 +353,10 @@ def reconstruct_colors(model: Model, coords: DataFrame, samples: DataFrame, near
     )
     rgb = col.lab_to_srgb(col.clip(F.col("L"), 0, 100), F.col("a"), F.col("b"))
     shown = known.select(F.col("row_id").alias("specimen_id"), "sample_id", *[c.alias(n) for c, n in zip(rgb, "rgb")])
-    # Samples without features stay on the surface as uncovered.
-    rows = shown.select("specimen_id").distinct().agg(F.collect_set("specimen_id")).scalar()
-    grid = samples.select("sample_id", F.explode(rows).alias("specimen_id"))
+    # Samples without features stay on the surface as uncovered: every row gets every sample, a share of the samples at a time.
+    share = F.pmod(F.xxhash64("sample_id"), F.lit(SHARES)).cast("int").alias("_share")
+    every = shown.select("specimen_id").distinct().withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    grid = every.join(samples.select("sample_id", share), "_share").drop("_share")
     full = grid.join(shown, ["specimen_id", "sample_id"], "left").select(
         "specimen_id", "sample_id", F.col("r").isNotNull().alias("valid"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in "rgb"]
     )

@@ -139,6 +139,8 @@ def select_region(mesh: m.Mesh, curve: np.ndarray, same_side_only: bool = True,
         ).drop("_was")
     inside = cut(inside)
     faces = complete_faces(mesh.faces, inside).filter("whole").select("mesh_id", "face_id")
+    found = inside.groupBy("mesh_id").agg(F.bool_or("inside").alias("any")).filter(~F.col("any"))
+    checks.require_none(found, "The curve selects nothing on a mesh.")
     return inside.filter("inside").select("mesh_id", "vertex_id"), faces
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from surfpop.functions import names
 from surfpop.operators import checks
+from surfpop.sources import tables
 
 MARKUPS = (
     "markups array<struct<type string, coordinateSystem string, controlPoints array<struct<"
@@ -130,4 +131,4 @@ def markups_text(landmarks: DataFrame) -> DataFrame:
 
 def write_landmarks(landmarks: DataFrame, path: str, overwrite: bool = False) -> None:
     """One Markups document per specimen under path/specimen_id=.../."""
-    markups_text(landmarks).write.mode("overwrite" if overwrite else "errorifexists").partitionBy("specimen_id").text(path)
+    tables.commit(landmarks.sparkSession, path, markups_text(landmarks).write.partitionBy("specimen_id").text, overwrite)

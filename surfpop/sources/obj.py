@@ -9,6 +9,7 @@ from surfpop.functions import names
 from surfpop.operators import checks
 from surfpop.operators.mesh import Mesh
 from surfpop.session import cut
+from surfpop.sources import tables
 
 KINDS = ("v", "vt", "f")
 
@@ -132,7 +133,5 @@ def write_obj(mesh: Mesh, path: str, overwrite: bool = False) -> None:
     """
     keyed = obj_lines(mesh).withColumn("mesh_id", F.coalesce(F.col("mesh_id").cast("string"), F.lit("")))
     order = ["mesh_id", "section", "k"]
-    (
-        keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("mesh_id", "value")
-        .write.mode("overwrite" if overwrite else "errorifexists").partitionBy("mesh_id").text(path)
-    )
+    rows = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("mesh_id", "value")
+    tables.commit(rows.sparkSession, path, rows.write.partitionBy("mesh_id").text, overwrite)

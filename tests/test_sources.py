@@ -125,6 +125,47 @@ def test_publish_refuses_to_replace(spark, tmp_path):
     tables.publish(df, str(tmp_path / "t"), overwrite=True)
 
 
+def test_publish_is_whole_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.publish(spark.range(3), path)
+    tables.publish(spark.read.parquet(path).selectExpr("id + 10 as id"), path, overwrite=True)  # from the table itself
+    with pytest.raises(Exception):
+        tables.publish(spark.range(3).selectExpr("raise_error('no') as id"), path, overwrite=True)
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [10, 11, 12]
+    assert [x.name for x in tmp_path.iterdir()] == ["t"]
+
+
+def test_labels_that_differ_are_an_error(spark):
+    from surfpop.operators import align
+
+    schema = "specimen_id string, label string, ord long, x double, y double, z double"
+    marks = spark.createDataFrame([("s", c, i, float(i), float(i * i), 1.0) for i, c in enumerate("abcd")] + [("t", c, i, float(i), 2.0, 0.0) for i, c in enumerate("abc")], schema)
+    for call in (lambda: align.procrustes(marks, marks.filter("specimen_id = 's'")), lambda: align.spline_pairs(marks, marks.filter("label <> 'a'")),
+                 lambda: align.spline_pairs(marks, marks.filter("specimen_id = 's'"), per_specimen=False)):
+        with pytest.raises(ValueError, match="labels differ"):
+            call()
+
+
+def test_textures_of_other_sizes_are_not_averaged(spark):
+    from surfpop.operators import texture
+
+    pixels = spark.createDataFrame([(t, x, y, 0.5, 0.5, 0.5, 1.0) for t, w in (("p", 2), ("q", 3)) for x in range(w) for y in range(2)],
+                                   "texture_id string, px long, py long, r double, g double, b double, alpha double")
+    with pytest.raises(ValueError, match="differ in size"):
+        texture.average_textures(pixels)
+    with pytest.raises(ValueError, match="differ in size"):
+        texture.average_textures(pixels.filter("texture_id = 'p' and not (px = 1 and py = 1)"))
+    assert texture.average_textures(pixels.filter("texture_id = 'q'")).count() == 6
+
+
+def test_no_common_sample_is_an_error(spark):
+    from surfpop.operators import features
+
+    rows = spark.createDataFrame([("s", 0, True), ("s", 1, False), ("t", 0, False), ("t", 1, True)], "specimen_id string, sample_id long, valid boolean")
+    with pytest.raises(ValueError, match="No sample"):
+        features.color_features(rows, rows, "drop")
+
+
 def test_different_topology_is_reported(spark):
     f = spark.createDataFrame([(0, 0, 0, 1, 2), (1, 0, 0, 2, 1)], ["mesh_id", "face_id", "a", "b", "c"])
     v = spark.createDataFrame([(k, i) for k in (0, 1) for i in range(3)], ["mesh_id", "vertex_id"])
