@@ -13,7 +13,8 @@ from surfpop.operators.mesh import Mesh
 
 SIDE = 12  # vertices along a grid edge
 PIXELS = 32  # texture side
-MARKS = 21  # landmarks: 63 of 64 vector entries are coordinates
+VECTOR = 64
+MARKS = 22  # landmarks of three coordinates; the vector is read cyclically, so all its entries are used
 FEATURES = 66  # 22 faces x L, a, b; the vector is read cyclically
 
 
@@ -115,13 +116,13 @@ def atlas(spark, sf) -> Mesh:
 LANDMARKS_SQL = f"""
 fx_landmarks as (
   select vec_id as specimen_id, 'L' || lpad(k::varchar, 2, '0') as label, k as ord,
-         embedding[k * 3 + 1]::double as x, embedding[k * 3 + 2]::double as y, embedding[k * 3 + 3]::double as z
+         embedding[k * 3 % {VECTOR} + 1]::double as x, embedding[(k * 3 + 1) % {VECTOR} + 1]::double as y, embedding[(k * 3 + 2) % {VECTOR} + 1]::double as z
   from embeddings, unnest(range({MARKS})) t(k))"""
 
 
 def landmarks(spark, sf) -> DataFrame:
     e = read(spark, sf, "embeddings").select(F.col("vec_id").alias("specimen_id"), "embedding", each(MARKS, "ord"))
-    at = lambda i: F.get("embedding", (F.col("ord") * 3 + i).cast("int")).cast("double")
+    at = lambda i: F.get("embedding", ((F.col("ord") * 3 + i) % VECTOR).cast("int")).cast("double")
     return e.select("specimen_id", F.concat(F.lit("L"), F.lpad(F.col("ord").cast("string"), 2, "0")).alias("label"), "ord",
                     at(0).alias("x"), at(1).alias("y"), at(2).alias("z"))
 

@@ -54,7 +54,7 @@ def load_specimens(spark: SparkSession, root: str, axes: str = "LPS"):
     checks.require_none(bare, "A specimen has no faces left.")
     marks = cut(landmarks.read_landmarks(spark, f"{root}/landmarks"))
     mesh = m.Mesh(mesh.vertices, cut(mesh.faces), cut(mesh.corner_uv))
-    files = specimens.select(F.col("texture_path").alias("path"))
+    files = discovery.list_files(spark, f"{root.rstrip('/')}/textures", "texture")
     checks.require_none(checks.texture_violations(specimens, files, mesh.corner_uv), "Texture or UVs missing.")
     return mesh, marks, images.read_pixels(spark, f"{root}/textures"), removed
 
@@ -73,6 +73,22 @@ def validate(mesh: m.Mesh, marks: DataFrame) -> DataFrame:
     return ordered
 
 
+def check_surface(mesh: m.Mesh, when: str) -> None:
+    """A surface to chart and sample: at least one face and none degenerate."""
+    if mesh.faces.isEmpty():
+        raise ValueError(f"No faces left {when}.")
+    checks.require_none(checks.degenerate_faces(mesh), f"Degenerate faces {when}.")
+
+
+def validate_atlas(mesh: m.Mesh, marks: DataFrame, specimens: DataFrame) -> None:
+    """A supplied atlas passes the checks of a specimen and has the specimens' labels."""
+    checks.require_none(checks.finite_violations(mesh.vertices, ["x", "y", "z"]), "Atlas coordinates must be finite.")
+    checks.require_none(checks.bad_face_refs(mesh.faces, mesh.vertices), "Atlas face index out of range.")
+    checks.require_none(checks.collapsed_faces(mesh.faces), "Atlas faces need three distinct corners.")
+    check_surface(mesh, "in the supplied atlas")
+    checks.require_none(align.label_gaps(specimens, marks, ["label"]), "Specimens need the labels of the supplied atlas.")
+
+
 def mean_surface(mesh: m.Mesh, marks: DataFrame, scale: bool = False, limit: float | None = None):
     """(atlas mesh, atlas landmarks, alignment) averaged over all specimens."""
     fit = align.gpa(marks, scale)
@@ -100,8 +116,10 @@ def build_atlas(mesh: m.Mesh, marks: DataFrame, pixels: DataFrame | None = None,
             surface, atlas_marks = m.Mesh(cut(vertices), surface.faces), cut(atlas_marks)
     else:
         surface, atlas_marks = supplied
+        validate_atlas(surface, atlas_marks, marks)
     clean, _, _ = w.weld(surface, options.merge_distance)
     clean = m.Mesh(cut(clean.vertices), cut(clean.faces))
+    check_surface(clean, "after merging vertices; a smaller merge distance keeps more")
     _, flat = charts.assign_charts(clean, options.uv_angle)
     flat = cut(flat)
     islands = cut(charts.uv_islands(flat, clean.faces))

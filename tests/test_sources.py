@@ -190,6 +190,20 @@ def test_whole_flow(spark, dataset):
     assert scores.count() == 8
 
 
+def test_supplied_atlas_and_welded_surface_are_checked(spark):
+    v = spark.createDataFrame([("atlas", i, float(x), float(y), 0.0) for i, (x, y) in enumerate([(0, 0), (1, 0), (0, 1)])], ["mesh_id", "vertex_id", "x", "y", "z"])
+    f = spark.createDataFrame([("atlas", 0, 0, 1, 2)], ["mesh_id", "face_id", "a", "b", "c"])
+    schema = "specimen_id string, label string, ord long, x double, y double, z double"
+    marks = spark.createDataFrame([("s", c, i, float(i), 0.0, 0.0) for i, c in enumerate("abc")], schema)
+    own = marks.drop("specimen_id")
+    atlas.validate_atlas(m.Mesh(v, f), own, marks)
+    bad = [(m.Mesh(v, f.withColumn("c", F.lit(7))), own, "out of range"), (m.Mesh(v, f.withColumn("c", F.lit(1))), own, "three distinct"),
+           (m.Mesh(v, f.limit(0)), own, "No faces"), (m.Mesh(v, f), own.filter("label <> 'c'"), "labels"), (m.Mesh(v.withColumn("y", F.lit(0.0)), f), own, "Degenerate")]
+    for mesh, labels, words in bad:
+        with pytest.raises(ValueError, match=words):
+            atlas.validate_atlas(mesh, labels, marks)
+
+
 def test_landmark_table_is_wide_and_quoted(spark):
     from surfpop.sources import landmarks
 
