@@ -379,6 +379,38 @@ def c4b(spark, sf):
     return named.select("specimen_id", "sample_id", F.min("sample_id").over(first).alias("first_sample"))
 
 
+SUPER_SQL = k.with_(fx.SAMPLES_SQL) + """
+, placed as (select specimen_id, sample_id, cast(floor(sqrt(sample_id % 121)) as bigint) as grp from fx_samples),
+used as (select specimen_id from placed group by 1 having count(distinct grp) = 11)"""
+
+
+def _super_groups(spark, sf):
+    """Eleven tight groups, a unit apart in four families of groups that are twenty apart."""
+    at = fx.samples(spark, sf).select("specimen_id", "sample_id", F.floor(F.sqrt(F.col("sample_id") % 121)).alias("grp"))
+    used = at.groupBy("specimen_id").agg(F.count_distinct("grp").alias("n")).filter("n = 11")
+    wobble = (F.col("sample_id") % 7).cast("double") / 1000.0
+    return cut(at.join(used, "specimen_id", "left_semi").select(
+        "specimen_id", "sample_id", F.lit(True).alias("valid"), (F.col("grp") % 4 * 20.0 + 5.0).alias("L"), (F.floor(F.col("grp") / 4) * 1.0 + wobble).alias("a"), wobble.alias("b")))
+
+
+@query("c5_separate_families", SUPER_SQL + """
+select specimen_id, sample_id, min(sample_id) over (partition by specimen_id, grp % 4) as first_sample from placed join used using (specimen_id)""")
+def c5b(spark, sf):
+    """Eleven clusters merge to the four families; clusters are named by their first sample."""
+    labelled, _ = cluster.cluster_colors(_super_groups(spark, sf), 4, 11)
+    first = Window.partitionBy("specimen_id", "label")
+    return labelled.select("specimen_id", "sample_id", F.min("sample_id").over(first).alias("first_sample"))
+
+
+@query("c7_align_separate_families", SUPER_SQL + """
+select specimen_id, sample_id, grp % 4 * 20e0 + 5e0 as palette_l from placed join used using (specimen_id)""")
+def c7c(spark, sf):
+    """Aligned labels mean the same family in every specimen, so the palette has the families' lightness."""
+    labelled, centres = cluster.cluster_colors(_super_groups(spark, sf), 4, 11)
+    moved, _, shared = cluster.align_clusters(centres, labelled)
+    return moved.join(shared.select("label", r6(F.col("L")).alias("palette_l")), "label").select("specimen_id", "sample_id", "palette_l")
+
+
 @query("c5_consolidated_clusters")
 def c5(spark, sf):
     lab = colors.raw_lab(fx.samples(spark, sf))
