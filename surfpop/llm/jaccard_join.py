@@ -219,13 +219,14 @@ def screen(block: pd.DataFrame, share: float = 0.5) -> list[tuple[int, int]]:
 
 
 def mates(by_set: DataFrame, chunk: int) -> DataFrame:
-    """(_leaf, _mate, _mates) per node of more than ``chunk`` sets: the node that is the smallest of most of its sets, and of how many.
+    """(_leaf, _mate, _mates) per node of more than ``chunk`` sets: the smaller such node that most of its sets are in, and how many.
 
     These sets have met there, so in this node they need not be held against each other.
     """
-    rows = by_set.select(F.col("_ends._leaf").alias("_leaves"), F.inline("_ends")).where(F.col("_n") > chunk)
-    least = rows.select("_leaf", F.array_min("_leaves").alias("_mate")).where("_mate < _leaf")
-    most = least.groupBy("_leaf", "_mate").agg(F.count(F.lit(1)).alias("_mates")).groupBy("_leaf").agg(F.max(F.struct("_mates", "_mate")).alias("_m"))
+    large = by_set.select(F.transform(F.filter("_ends", lambda e: e["_n"] > chunk), lambda e: e["_leaf"]).alias("_large")).where(F.size("_large") > 1)
+    rows = large.select("_large", F.explode("_large").alias("_leaf"))
+    both = rows.select("_leaf", F.explode(F.filter("_large", lambda x: x < F.col("_leaf"))).alias("_mate"))
+    most = both.groupBy("_leaf", "_mate").agg(F.count(F.lit(1)).alias("_mates")).groupBy("_leaf").agg(F.max(F.struct("_mates", "_mate")).alias("_m"))
     return most.select("_leaf", "_m._mate", "_m._mates")
 
 
@@ -237,7 +238,7 @@ def in_blocks(rows: DataFrame, by_set: DataFrame, chunk: int, work, columns: lis
     known = cut(mates(by_set, chunk))
     few = known.count() * 64 <= BROADCAST_BYTES
     rows = rows.join(F.broadcast(known) if few else known, "_leaf", "left")
-    mate, many = F.coalesce(F.array_min("_earlier") == F.col("_mate"), F.lit(False)), F.coalesce("_mates", F.lit(0))
+    mate, many = F.coalesce(F.array_contains("_earlier", F.col("_mate")), F.lit(False)), F.coalesce("_mates", F.lit(0))
     apart, rest = F.ceil(many / chunk), F.ceil((F.col("_n") - many) / chunk)
     place = F.xxhash64("_set")
     rows = (
