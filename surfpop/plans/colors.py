@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from surfpop.functions import names
 from surfpop.operators import checks, cluster, colors, graph
 from surfpop.operators import mesh as m
-from surfpop.session import cut
+from surfpop.session import cut, shuffled
 
 
 @dataclass(frozen=True)
@@ -44,7 +44,7 @@ class ColorResult:
 
 def sample_areas(nearest: DataFrame, measures: DataFrame) -> DataFrame:
     """Area represented by every sample: (mesh_id, sample_id, area)."""
-    return nearest.join(measures.select("mesh_id", "face_id", "area"), ["mesh_id", "face_id"]).groupBy(
+    return nearest.join(shuffled(measures.select("mesh_id", "face_id", "area")), ["mesh_id", "face_id"]).groupBy(
         "mesh_id", "sample_id"
     ).agg(F.sum("area").alias("area"))
 
