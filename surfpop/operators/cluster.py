@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from surfpop.functions import color as col
 from surfpop.operators import checks
-from surfpop.session import cut, spread_join
+from surfpop.session import cut, shuffled, spread_join
 
 MAX_CLUSTERS = 64
 BLOCK = 16384  # distinct colours handled by one task step
@@ -286,7 +286,7 @@ def cluster_colors(lab: DataFrame, n_clusters: int, initial: int | None = None,
     by_color = cut(kmeans_by(lab.filter("valid"), first, seed=seed, block=block))
     if first > n_clusters:
         weights = lab.filter("valid").groupBy("specimen_id", "L", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-        parts = by_color.join(weights, ["specimen_id", "L", "a", "b"])
+        parts = by_color.join(shuffled(weights), ["specimen_id", "L", "a", "b"])
         centres = parts.groupBy("specimen_id", "label").agg(
             *[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in ("L", "a", "b")]
         )
@@ -294,7 +294,7 @@ def cluster_colors(lab: DataFrame, n_clusters: int, initial: int | None = None,
         by_color = spread_join(by_color, merged, ["specimen_id", "label"], ["L", "a", "b"]).select(
             "specimen_id", "L", "a", "b", F.col("merged").alias("label")
         )
-    labelled = lab.join(by_color.withColumn("valid", F.lit(True)), ["specimen_id", "L", "a", "b", "valid"], "left").select(
+    labelled = lab.join(shuffled(by_color.withColumn("valid", F.lit(True))), ["specimen_id", "L", "a", "b", "valid"], "left").select(
         "specimen_id", "sample_id", "valid", "L", "a", "b",
         F.when(F.col("valid"), F.col("label")).otherwise(F.lit(-1).cast("bigint")).alias("label"),
     )
