@@ -12,29 +12,85 @@ from pyspark.sql import functions as F
 
 from surfpop.functions import color as col
 from surfpop.operators import checks
-from surfpop.session import cut, shuffled, spread_join
+from surfpop.session import cut, shuffled, spread_join, wide_parts
 
 MAX_CLUSTERS = 64
 BLOCK = 16384  # distinct colours handled by one task step
 MAX_ITER = 300
 TOL = 1e-4
+STEP = 1 << 16  # distances taken at once
 
 
 # ---------------------------------------------------------------- k-means
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    d = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2)
-    label = d.argmin(axis=1)
-    return label, d[np.arange(len(x)), label]
+    label, d = _nearest_of_runs(x, centres[None])
+    return label[0], d[0]
+
+
+def _nearest_of_runs(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each colour's nearest centre and squared distance to it, for the centres (run, cluster, axis) of every run."""
+    runs, k, _ = centres.shape
+    label, best = np.empty((runs, len(x)), np.int64), np.empty((runs, len(x)))
+    step = max(1, STEP // (runs * k))
+    for at in range(0, len(x), step):
+        part, d = slice(at, at + step), None
+        for c in range(3):
+            gap = x[None, None, part, c] - centres[:, :, c, None]
+            gap *= gap
+            d = gap if d is None else np.add(d, gap, out=d)
+        low, first = best[:, part], label[:, part]
+        low[:], first[:] = d[:, 0], 0
+        for j in range(1, k):  # the first of equally near centres stays
+            first[d[:, j] < low] = j
+            np.minimum(low, d[:, j], out=low)
+    return label, best
+
+
+def _sums_of_runs(x: np.ndarray, w: np.ndarray, centres: np.ndarray):
+    """Weighted counts and colour sums per run and cluster; each run's labels (run * k + cluster) and squared distances."""
+    runs, k, _ = centres.shape
+    label, d = _nearest_of_runs(x, centres)
+    label += (np.arange(runs) * k)[:, None]
+    flat, weights = label.ravel(), [w, *(w * x[:, c] for c in range(3))]
+    count, *total = (np.bincount(flat, np.tile(v, runs), runs * k).reshape(runs, k) for v in weights)
+    return count, np.stack(total, axis=2), flat, d
+
+
+def _inertia(w: np.ndarray, flat: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
+    return np.bincount(flat, (w * d).ravel(), len(d) * k).reshape(len(d), k)
+
+
+def _settle_runs(x: np.ndarray, w: np.ndarray, k: int, salts: list[list[int]], limit: float, max_iter: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and Lloyd rounds of all runs of one specimen side by side: (centres, inertia) per run."""
+    runs = len(salts)
+    centres, d = np.empty((runs, k, 3)), np.ones((runs, len(x)))
+    for step in range(k):
+        place = _draw_of_runs(x, w * d, [s[step] for s in salts])[1]
+        centres[:, step] = x[place]
+        near = _nearest_of_runs(x, centres[:, step:step + 1])[1]
+        d = np.minimum(d, near) if step else near
+    live = np.arange(runs)
+    for _ in range(max_iter):
+        count, total, _, d = _sums_of_runs(x, w, centres[live])
+        new = total / np.maximum(count, 1e-300)[:, :, None]
+        full = (count > 0).all(axis=1)
+        for r in np.flatnonzero(~full):
+            new[r] = _move(centres[live[r]], count[r], total[r], x[_farthest(x, d[r], int((count[r] == 0).sum()))])
+        done = full & (((new - centres[live]) ** 2).reshape(len(live), -1).sum(axis=1) <= limit)
+        centres[live[~done]] = new[~done]
+        live = live[~done]
+        if not len(live):
+            break
+    _, _, flat, d = _sums_of_runs(x, w, centres)
+    return centres, _inertia(w, flat, d, k).sum(axis=1)
 
 
 def _sums(x: np.ndarray, w: np.ndarray, centres: np.ndarray):
     """Weighted counts, colour sums and inertia per cluster; each colour's squared distance."""
-    label, d = _nearest(x, centres)
-    k = len(centres)
-    total = np.stack([np.bincount(label, w * x[:, c], k) for c in range(3)], axis=1)
-    return np.bincount(label, w, k), total, np.bincount(label, w * d, k), d
+    count, total, flat, d = _sums_of_runs(x, w, centres[None])
+    return count[0], total[0], _inertia(w, flat, d, len(centres))[0], d[0]
 
 
 def _farthest(x: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
@@ -62,14 +118,20 @@ def _draw(x: np.ndarray, weight: np.ndarray, salt: int) -> tuple[float, int]:
     A colour's time is exponential with its weight as rate, from a hash of the colour and the salt, so
     the winner is the same however the colours are dealt over tasks.
     """
-    h = np.full(len(x), salt & 0xFFFFFFFFFFFFFFFF, np.uint64)
+    times, places = _draw_of_runs(x, weight[None], [salt])
+    return float(times[0]), int(places[0])
+
+
+def _draw_of_runs(x: np.ndarray, weight: np.ndarray, salts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """``_draw`` for the weights and the salt of every run."""
+    h = np.array([salt & 0xFFFFFFFFFFFFFFFF for salt in salts], np.uint64)[:, None]
     for c in range(3):
         h = _mix(h + np.uint64(0x9E3779B97F4A7C15) + np.ascontiguousarray(x[:, c] + 0.0).view(np.uint64))
     u = ((h >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
     with np.errstate(divide="ignore"):
         times = np.where(weight > 0, -np.log(u) / weight, np.inf)
-    place = int(times.argmin())
-    return float(times[place]), place
+    places = times.argmin(axis=1)
+    return times[np.arange(len(times)), places], places
 
 
 def _salt(specimen, seed: int, run: int, step: int) -> int:
@@ -121,24 +183,15 @@ def kmeans_by(lab: DataFrame, k: int, n_init: int = 10, seed: int = 0, block: in
             for sid, flat, limit in zip(b["specimen_id"], b["x"], b["limit"]):
                 rows = np.asarray(flat).reshape(-1, 4)
                 x, w = np.ascontiguousarray(rows[:, :3]), rows[:, 3]
-                for run in range(n_init):
-                    centres, d = np.zeros((0, 3)), np.ones(len(x))
-                    for step in range(k):
-                        place = _draw(x, w * d, _salt(sid, seed, run, step))[1]
-                        centres = np.vstack([centres, x[place]])
-                        near = ((x - x[place]) ** 2).sum(axis=1)
-                        d = np.minimum(d, near) if step else near
-                    for _ in range(max_iter):
-                        count, total, _inertia, d = _sums(x, w, centres)
-                        new = _move(centres, count, total, x[_farthest(x, d, int((count == 0).sum()))])
-                        if (count > 0).all() and ((new - centres) ** 2).sum() <= limit:
-                            break
-                        centres = new
-                    out.append((sid, run, centres.ravel().tolist(), float(_sums(x, w, centres)[2].sum())))
+                salts = [[_salt(sid, seed, run, step) for step in range(k)] for run in range(n_init)]
+                found = _settle_runs(x, w, k, salts, limit, max_iter)
+                out += [(sid, run, centres.ravel().tolist(), float(inertia)) for run, (centres, inertia) in enumerate(zip(*found))]
             yield pd.DataFrame(out, columns=["specimen_id", "run", "c", "inertia"])
 
     run_schema = f"specimen_id {kind}, run int, c array<double>, inertia double"
-    whole = blocks.filter("pieces = 1").join(limits, "specimen_id").mapInPandas(settle, run_schema)
+    # Thousands of operations a colour: dealt by count, for a scan deals small files by their bytes.
+    single = blocks.filter("pieces = 1").repartition(wide_parts(lab.sparkSession), "specimen_id")
+    whole = single.join(limits, "specimen_id").mapInPandas(settle, run_schema)
     split = blocks.filter("pieces > 1")
     if not split.isEmpty():
         whole = whole.unionByName(_settle_split(split, limits, k, n_init, max_iter, seed, kind))
@@ -201,7 +254,7 @@ def _settle_split(blocks, limits, k, n_init, max_iter, seed, kind) -> DataFrame:
                         parts.append(pd.DataFrame({"run": run, "label": np.arange(k), "far": 0.0, "n": count, "sl": total[:, 0],
                                                    "sa": total[:, 1], "sb": total[:, 2], "e": inertia}))
                         # A cluster that is empty everywhere is empty here, so these are seats enough.
-                        spare = _farthest(rows[:, :3], d, int((count == 0).sum()))
+                        spare = _farthest(rows[:, :3], d, int((count == 0).sum())) if (count == 0).any() else np.zeros(0, int)
                         parts.append(pd.DataFrame({"run": run, "label": -1 - np.arange(len(spare)), "far": d[spare], "n": 0.0, "sl": rows[spare, 0],
                                                    "sa": rows[spare, 1], "sb": rows[spare, 2], "e": 0.0}))
                 if parts:
@@ -257,17 +310,23 @@ def consolidate(centres: DataFrame, k: int) -> DataFrame:
         pdf = pdf.sort_values("label")
         x = pdf[["L", "a", "b"]].to_numpy()
         apart = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
-        groups = [[i] for i in range(len(x))]
+        groups, gaps = [[i] for i in range(len(x))], apart.copy()
+        gaps[np.tril_indices(len(x))] = np.inf
         while len(groups) > k:
-            gaps = [(apart[np.ix_(p, q)].mean(), i, j) for i, p in enumerate(groups) for j, q in enumerate(groups) if i < j]
-            _, i, j = min(gaps)
+            i, j = divmod(int(gaps.argmin()), len(groups))  # the first of equal gaps
             groups[i] += groups.pop(j)
+            gaps = np.delete(np.delete(gaps, j, axis=0), j, axis=1)
+            for o in range(len(groups)):
+                if o != i:
+                    lo, hi = min(i, o), max(i, o)
+                    gaps[lo, hi] = apart[np.ix_(groups[lo], groups[hi])].mean()
         merged = np.empty(len(x), dtype=np.int64)
         for index, members in enumerate(sorted(groups, key=min)):
             merged[members] = index
         return pd.DataFrame({"specimen_id": pdf["specimen_id"].to_numpy(), "label": pdf["label"].to_numpy(), "merged": merged})
 
-    return centres.groupBy("specimen_id").applyInPandas(link, f"specimen_id {kind}, label bigint, merged bigint")
+    dealt = centres.repartition(wide_parts(centres.sparkSession), "specimen_id")
+    return dealt.groupBy("specimen_id").applyInPandas(link, f"specimen_id {kind}, label bigint, merged bigint")
 
 
 def centroids(processed: DataFrame) -> DataFrame:
@@ -369,14 +428,16 @@ def label_map(centres: DataFrame, reference=None) -> DataFrame:
     kind = centres.schema["specimen_id"].dataType.simpleString()
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.pivot(index="ref_label", columns="label", values="cost").sort_index().sort_index(axis=1)
+        pdf = pdf.sort_values(["ref_label", "label"])
+        table = pdf["cost"].to_numpy().reshape(k, k)
         # The reference keeps its own labels even where two of its centroids tie.
         own = pdf["specimen_id"].iloc[0] == reference
-        picked = np.arange(k) if own else best_assignment(table.to_numpy())
+        picked = np.arange(k) if own else best_assignment(table)
         return pd.DataFrame({"specimen_id": [pdf["specimen_id"].iloc[0]] * k,
-                             "label": table.columns.to_numpy()[picked], "new_label": table.index.to_numpy()})
+                             "label": pdf["label"].to_numpy()[:k][picked], "new_label": pdf["ref_label"].to_numpy()[::k]})
 
-    return match_costs(centres, reference).groupBy("specimen_id").applyInPandas(
+    costs = match_costs(centres, reference).repartition(wide_parts(centres.sparkSession), "specimen_id")
+    return costs.groupBy("specimen_id").applyInPandas(
         solve, f"specimen_id {kind}, label bigint, new_label bigint"
     )
 
@@ -386,7 +447,7 @@ def align_clusters(centres: DataFrame, processed: DataFrame, reference=None):
     mapping = cut(label_map(centres, reference))
     moved = spread_join(processed, mapping, ["specimen_id", "label"], ["sample_id"], how="left")
     relabelled = moved.withColumn("label", F.coalesce("new_label", F.lit(-1).cast("bigint"))).drop("new_label")
-    named = centres.join(mapping, ["specimen_id", "label"]).withColumn("label", F.col("new_label")).drop("new_label")
+    named = centres.join(shuffled(mapping), ["specimen_id", "label"]).withColumn("label", F.col("new_label")).drop("new_label")
     return relabelled.select(*processed.columns), named, palette(named)
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from surfpop.operators import align, cluster, colors, models
+from surfpop.session import wide_parts
 from surfpop.sources import tables
 
 
@@ -71,6 +72,25 @@ def test_draws_follow_the_weights():
     assert wins[0] == 0 and np.allclose(wins[1:], [0.1, 0.2, 0.7], atol=0.04)
 
 
+@pytest.mark.parametrize("colours", [40, 500])
+def test_runs_side_by_side_step_as_each_alone(colours):
+    x = np.random.default_rng(5).integers(0, 40, (colours, 3)).astype(float)
+    w, salts = np.arange(1.0, colours + 1), [[cluster._salt("s", 0, run, step) for step in range(6)] for run in range(4)]
+    centres, inertia = cluster._settle_runs(x, w, 6, salts, 0.01, 300)
+    for run, own in enumerate(salts):
+        near = ((x[:, None] - centres[run]) ** 2).sum(axis=2)
+        mean = np.array([np.average(x[near.argmin(axis=1) == j], axis=0, weights=w[near.argmin(axis=1) == j]) for j in range(6)])
+        assert ((mean - centres[run]) ** 2).sum() <= 0.01 and np.isclose(inertia[run], (w * near.min(axis=1)).sum())
+        assert np.array_equal(cluster._settle_runs(x, w, 6, [own], 0.01, 300)[0][0], centres[run])
+
+
+def test_linkage_and_matching_are_dealt_by_count(lab):
+    """Small rows with much work each: not put into one task by their bytes."""
+    centres = cluster.cluster_colors(lab, 3)[1]
+    for work in (cluster.consolidate(centres, 2), cluster.label_map(centres)):
+        assert work.rdd.getNumPartitions() == wide_parts(lab.sparkSession)
+
+
 def test_consolidation_to_fewer_clusters(lab):
     _, centres = cluster.cluster_colors(lab, 3, 9)
     assert sorted(r["n"] for r in centres.collect()) == [100] * 6
