@@ -13,7 +13,7 @@ from surfpop.functions import color as col
 from surfpop.operators import checks, cluster, colors, features, graph, texture
 from surfpop.operators import mesh as m
 from surfpop.plans import colors as plan
-from surfpop.session import cut
+from surfpop.session import cut, shuffled
 
 KEY = ("l_orderkey", "l_linenumber", "l_partkey")
 KEYS = ", ".join(KEY)
@@ -251,7 +251,7 @@ def g1(spark, sf):
     own = plan.prepare_analysis(fx.mesh(spark, sf))
     n = own.adjacency.groupBy("mesh_id", "face_id").agg(F.count(F.lit(1)).alias("neighbours"))
     areas = plan.sample_areas(own.nearest, own.measures).withColumnRenamed("area", "sample_area")
-    return own.measures.join(n, ["mesh_id", "face_id"]).join(own.nearest, ["mesh_id", "face_id"]).join(areas, ["mesh_id", "sample_id"]).select(
+    return own.measures.join(shuffled(n), ["mesh_id", "face_id"]).join(shuffled(own.nearest), ["mesh_id", "face_id"]).join(shuffled(areas), ["mesh_id", "sample_id"]).select(
         "mesh_id", "face_id", "sample_id", *[r6(F.col(c)).alias(c) for c in ("area", "sample_area", "cx", "cy", "cz")], "neighbours")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surfpop.operators.spatial import morton
-from surfpop.session import cut, number_rows
+from surfpop.session import cut, number_rows, shuffled
 
 PATCH = 32768
 MAX_ROUNDS = 10000
@@ -164,7 +164,7 @@ def patches(measures: DataFrame, edges: DataFrame, size: int = PATCH) -> DataFra
     placed = cut(number_rows(curve, ["mesh_id"], "_block", ["_code", "face_id"], "place").select(
         "mesh_id", "face_id", F.floor(F.col("place") / size).cast("bigint").alias("patch")))
     there = placed.select("mesh_id", F.col("face_id").alias("nbr_id"), F.col("patch").alias("nbr_patch"))
-    ways = edges.join(placed, ["mesh_id", "face_id"]).join(there, ["mesh_id", "nbr_id"]).groupBy("mesh_id", "patch").agg(
+    ways = edges.join(shuffled(placed), ["mesh_id", "face_id"]).join(shuffled(there), ["mesh_id", "nbr_id"]).groupBy("mesh_id", "patch").agg(
         F.collect_list(F.struct("face_id", "nbr_id", "nbr_patch", "w")).alias("_edges"))
     held = placed.groupBy("mesh_id", "patch").agg(F.collect_list("face_id").alias("_faces"))
     total = placed.groupBy("mesh_id").agg((F.max("patch") + 1).alias("patches"))
@@ -175,7 +175,7 @@ def patches(measures: DataFrame, edges: DataFrame, size: int = PATCH) -> DataFra
             data = [Patch(list(f), [] if e is None else list(e)).dump() for f, e in zip(b["_faces"], b["_edges"])]
             yield pd.DataFrame({"mesh_id": b["mesh_id"], "patch": b["patch"], "patches": b["patches"], "data": data})
 
-    return cut(held.join(ways, ["mesh_id", "patch"], "left").join(total, "mesh_id").mapInPandas(
+    return cut(held.join(shuffled(ways), ["mesh_id", "patch"], "left").join(total, "mesh_id").mapInPandas(
         pack, f"mesh_id {kind}, patch bigint, patches bigint, data binary"))
 
 
@@ -214,7 +214,7 @@ def _exchange(out: DataFrame, work) -> Iterator[DataFrame]:
             return
         least = offers.groupBy("mesh_id", "patch", "name", "face").agg(F.min(F.struct("d", "radius")).alias("o"))
         box = least.groupBy("mesh_id", "patch").agg(F.collect_list(F.struct("name", "face", "o.d", "o.radius")).alias("inbox"))
-        out = _run(_state(out).join(box, ["mesh_id", "patch"], "left"), lambda patch, row: [] if row["inbox"] is None else work(patch, row["inbox"]))
+        out = _run(_state(out).join(shuffled(box), ["mesh_id", "patch"], "left"), lambda patch, row: [] if row["inbox"] is None else work(patch, row["inbox"]))
 
 
 def nearest(state: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -229,8 +229,8 @@ def nearest(state: DataFrame, seeds: DataFrame) -> DataFrame:
         return [("offer", to, owner, face, d, None) for to, owner, face, d in patch.settle(got)]
 
     here = state.select("mesh_id", "patch", "data").mapInPandas(_faces_of, f"mesh_id {state.schema['mesh_id'].dataType.simpleString()}, patch bigint, face_id bigint")
-    mine = seeds.join(here, ["mesh_id", "face_id"]).groupBy("mesh_id", "patch").agg(F.collect_list(F.struct("sample_id", "face_id")).alias("seeds"))
-    out = _run(state.join(mine, ["mesh_id", "patch"], "left"), start)
+    mine = seeds.join(shuffled(here), ["mesh_id", "face_id"]).groupBy("mesh_id", "patch").agg(F.collect_list(F.struct("sample_id", "face_id")).alias("seeds"))
+    out = _run(state.join(shuffled(mine), ["mesh_id", "patch"], "left"), start)
     for out in _exchange(out, lambda patch, inbox: offers(patch, [(m["d"], m["name"], m["face"]) for m in inbox])):
         pass
     return _state(out)

@@ -63,7 +63,7 @@ def prepare_analysis(mesh: m.Mesh, sample_count: int | None = None) -> Analysis:
     edges = cut(graph.weighted_adjacency(adj, measures, mesh.vertices))
     chosen, owners = graph.sample_faces(measures, edges, comp, sample_count)
     nearest = owners.select("mesh_id", "face_id", "sample_id")
-    samples = cut(chosen.join(sample_areas(nearest, measures), ["mesh_id", "sample_id"]))
+    samples = cut(chosen.join(shuffled(sample_areas(nearest, measures)), ["mesh_id", "sample_id"]))
     return Analysis(measures, adj, samples, nearest, False)
 
 

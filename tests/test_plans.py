@@ -1,10 +1,12 @@
 """Rows of surfaces, pixels and colours are never a side that is broadcast, however small the planner takes them for."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
 from catalog import fixtures as fx
-from surfpop.operators import charts, graph, region
+from surfpop.operators import charts, graph, region, sampling, spatial
 from surfpop.operators import mesh as m
 from surfpop.plans import colors as plan
 from surfpop.session import spread_join
@@ -46,6 +48,31 @@ def test_no_surface_is_broadcast(spark, capsys, made):
     assert "Join" in text and "Broadcast" not in text
 
 
+@pytest.mark.parametrize("name", ["g16_layout_islands", "g1_prepare_analysis"])
+def test_no_surface_is_broadcast_by_a_query(spark, capsys, name):
+    text = plan_of(entry.queries()[name](spark, SF), capsys)
+    assert "Join" in text and "Broadcast" not in text
+
+
+def test_marks_meet_their_vertices_by_shuffle(spark, capsys):
+    text = plan_of(fx.marks(spark, SF), capsys)
+    assert "Join" in text and "Broadcast" not in text
+
+
+def test_boxes_and_patches_meet_their_faces_by_shuffle(spark, capsys, monkeypatch):
+    """Faces of a written table are many for its bytes; only tables of a row per mesh or per partition may be broadcast."""
+    own = MESH(spark)
+    near = spatial.nearest_on_surface(fx.points(spark, SF), m.triangles(own))
+    met = spatial.nearest_vertex(fx.points(spark, SF), own.vertices)
+    made = [plan_of(near, capsys), plan_of(met, capsys)]
+    keep = sampling.cut
+    monkeypatch.setattr(sampling, "cut", lambda df: made.append(plan_of(df, capsys)) or keep(df))
+    sampling.patches(m.face_measures(own), _weights(spark))
+    assert len(made) == 4 and re.search(r"SortMergeJoin \[mesh_id#\d+L?, _node", made[0])
+    for text in made:
+        assert not re.search(r"BroadcastHashJoin \[mesh_id#\d+L?, ", text)
+
+
 def test_supplier_rows_are_dealt_before_they_become_pixels(spark, capsys):
     text = plan_of(fx.pixels(spark, SF), capsys)
     assert 0 < text.index("Generate") < text.index("Exchange")
