@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surfpop.operators.mesh import Mesh
-from surfpop.session import cut, wide_parts
+from surfpop.session import cut, shuffled, wide_parts
 
 SIDE = 12  # vertices along a grid edge
 PIXELS = 32  # texture side
@@ -319,7 +319,7 @@ def marks(spark, sf) -> DataFrame:
     """Nine landmarks at fixed grid places of every surface."""
     ids = F.posexplode(F.array(*[F.lit(v).cast("bigint") for v in MARK_VERTICES])).alias("ord", "vertex_id")
     own = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("mesh_id"), ids)
-    return own.join(vertices(spark, sf), ["mesh_id", "vertex_id"]).select(
+    return own.join(shuffled(vertices(spark, sf)), ["mesh_id", "vertex_id"]).select(
         F.col("mesh_id").alias("specimen_id"), F.concat(F.lit("P"), F.col("ord").cast("string")).alias("label"),
         F.col("ord").cast("bigint").alias("ord"), "x", "y", "z",
     )
