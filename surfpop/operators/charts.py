@@ -61,7 +61,7 @@ def assign_charts(mesh: m.Mesh, angle: float = 66.0) -> tuple[DataFrame, DataFra
             F.when(better, fit).otherwise(F.col("score")).alias("score"),
             F.when(better, F.lit(index).cast("bigint")).otherwise(F.col("chart_id")).alias("chart_id"),
         ))
-        worst = faces.join(seeds.select("mesh_id"), "mesh_id", "left_semi").filter(~F.col("taken")).groupBy("mesh_id").agg(
+        worst = faces.join(shuffled(seeds.select("mesh_id")), "mesh_id", "left_semi").filter(~F.col("taken")).groupBy("mesh_id").agg(
             F.min(F.struct("score", "area", "face_id", *normal)).alias("s")
         )
         seeds = cut(worst.filter(F.col("s.score") < full).select(

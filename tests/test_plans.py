@@ -76,3 +76,13 @@ def test_boxes_and_patches_meet_their_faces_by_shuffle(spark, capsys, monkeypatc
 def test_supplier_rows_are_dealt_before_they_become_pixels(spark, capsys):
     text = plan_of(fx.pixels(spark, SF), capsys)
     assert 0 < text.index("Generate") < text.index("Exchange")
+
+
+def test_chart_seeds_meet_their_faces_by_shuffle(spark, capsys, monkeypatch):
+    """There is a seed for every mesh that needs another direction, so seeds grow with the meshes."""
+    made, keep = [], charts.cut
+    monkeypatch.setattr(charts, "cut", lambda df: made.append(plan_of(df, capsys)) or keep(df))
+    charts.assign_charts(MESH(spark), 40.0)
+    assert any("LeftSemi" in text for text in made)
+    for text in made:
+        assert "Broadcast" not in text
