@@ -7,6 +7,8 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from surfpop.session import cut
 # Largest side of a dense symmetric problem on the driver; beyond it subspace rounds are used.
 SHARES = 32  # of the samples that a reconstructed row is spread over
 MAX_DENSE = 1024
+# Cells of one step of a scatter matrix.
+GRAM_CELLS = 1_000_000
 MAX_COMPONENTS = 64
 
 
@@ -74,7 +78,7 @@ def gram(features: DataFrame) -> DataFrame:
     """Scatter between features, (i, j, value) with i <= j, from centred long rows.
 
     Values of one specimen are packed into one row; each partition adds up its products
-    in numpy and only those sums are shuffled.
+    in numpy, straight from Arrow buffers, and only those sums are shuffled.
     """
     return _gram(features, "specimen_id", "feature_id").filter("i <= j")
 
@@ -84,24 +88,27 @@ def _gram(features: DataFrame, rows: str, cols: str) -> DataFrame:
     if len(ids) > MAX_DENSE:
         raise ValueError(f"A dense scatter is limited to {MAX_DENSE} columns.")
     kind = features.schema[cols].dataType.simpleString()
-    place = {v: i for i, v in enumerate(ids)}
-    packed = features.groupBy(rows).agg(F.collect_list(F.struct(F.col(cols).alias("k"), F.col("value").alias("v"))).alias("s"))
+    packed = features.groupBy(rows).agg(F.collect_list(F.struct(F.col(cols).alias("k"), F.col("value").alias("v"))).alias("s")).select(
+        F.col("s.k").alias("k"), F.col("s.v").alias("v"))
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, used = np.zeros((len(ids), len(ids))), False
+        step = max(1, GRAM_CELLS // max(len(ids), 1))
         for b in batches:
-            if len(b):
-                x = np.zeros((len(b), len(ids)))
-                for r, cells in enumerate(b["s"]):
-                    for cell in cells:
-                        x[r, place[cell["k"]]] = cell["v"]
+            known = pa.array(ids, b.schema.field("k").type.value_type)
+            for at in range(0, b.num_rows, step):
+                keys, values = (c.slice(at, step) for c in b.columns)
+                x = np.zeros((len(keys), len(ids)))
+                row = np.repeat(np.arange(len(keys)), keys.value_lengths().to_numpy(zero_copy_only=False))
+                place = pc.index_in(keys.flatten(), value_set=known).to_numpy(zero_copy_only=False)
+                x[row, place] = values.flatten().to_numpy(zero_copy_only=False)
                 total += x.T @ x
                 used = True
         if used:
             i, j = np.divmod(np.arange(total.size), len(ids))
-            yield pd.DataFrame({"i": np.array(ids)[i], "j": np.array(ids)[j], "value": total.ravel()})
+            yield pa.RecordBatch.from_arrays([known.take(pa.array(i)), known.take(pa.array(j)), pa.array(total.ravel())], names=["i", "j", "value"])
 
-    return packed.mapInPandas(add, f"i {kind}, j {kind}, value double").groupBy("i", "j").agg(F.sum("value").alias("value"))
+    return packed.mapInArrow(add, f"i {kind}, j {kind}, value double").groupBy("i", "j").agg(F.sum("value").alias("value"))
 
 
 def _dense(features: DataFrame, rows: str, cols: str) -> tuple[list, np.ndarray]:
