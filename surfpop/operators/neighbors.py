@@ -13,10 +13,15 @@ from pyspark.sql import functions as F
 from surfpop.session import cut
 
 # Rows whose neighbours one task step holds; every row travels once to each such block that may need it.
-BLOCK_ROWS = 16384
+BLOCK_ROWS = 8192
+LEAST_ROWS = 2048
 LEAST_BLOCKS = 8
 # Distances of one step at a time.
 PAIRS = 4_000_000
+# Rows of a block whose distances are at hand at a time, few enough for a core's cache.
+SLICE = 1024
+# Candidates that are measured at a time.
+MEASURED = 262_144
 
 
 class Pivots:
@@ -55,6 +60,9 @@ class Nearest:
         self.id, self.x = np.concatenate(self.ids), np.concatenate(self.rows)
         self.best = pd.DataFrame({"q": np.zeros(0, np.int64), "dist": np.zeros(0), "nbr_id": self.id[:0]})
         self.kth = np.full(len(self.id), np.inf)
+        self.square = (self.x**2).sum(1)
+        # One product per distance: (x, 1) . (-2 y, y²) is the squared distance less x².
+        self.left = np.hstack([self.x, np.ones((len(self.x), 1))])
 
     def meet(self, ids: np.ndarray, x: np.ndarray) -> None:
         step = max(64, PAIRS // len(self.id))
@@ -62,20 +70,42 @@ class Nearest:
             self._meet(ids[at:at + step], x[at:at + step])
 
     def _meet(self, ids: np.ndarray, x: np.ndarray) -> None:
-        d2 = _squares(self.x, x)
-        d2[self.id[:, None] == ids[None]] = np.inf
-        take = min(self.k, len(ids))
+        square = (x**2).sum(1)
+        right = np.hstack([-2 * x, square[:, None]]).T
         # Everything that may tie with the k-th stays, and is then measured without cancellation.
-        slack = 1e-12 * ((self.x**2).sum(1) + (x**2).sum(1).max())
-        limit = np.minimum(np.partition(d2, take - 1, axis=1)[:, take - 1] if take == self.k else np.inf, self.kth**2) + slack
-        q, r = np.nonzero((d2 <= limit[:, None]) & np.isfinite(d2))
-        fresh = pd.DataFrame({"q": q, "dist": np.sqrt(((self.x[q] - x[r]) ** 2).sum(axis=1)), "nbr_id": ids[r]})
-        self.best = pd.concat([self.best, fresh]).sort_values(["q", "dist", "nbr_id"], kind="stable").groupby("q").head(self.k) if len(fresh) else self.best
-        nth = self.best.groupby("q").cumcount().to_numpy()
-        full = nth == self.k - 1
-        self.kth[self.best["q"].to_numpy()[full]] = self.best["dist"].to_numpy()[full]
+        slack = 1e-12 * (self.square + square.max())
+        limit = self.kth**2 - self.square + slack
+        found = []
+        for at in range(0, len(self.id), SLICE):
+            part, most = self.left[at:at + SLICE] @ right, limit[at:at + SLICE]
+            unsure = np.flatnonzero(np.isinf(most))
+            if len(unsure) and len(ids) > self.k:
+                # One of the first k + 1 may be the row itself.
+                most[unsure] = np.partition(part[unsure], self.k, axis=1)[:, self.k] + slack[at + unsure]
+            found.append(np.flatnonzero(part <= most[:, None]) + at * len(ids))
+        q, r = np.divmod(np.concatenate(found), len(ids))
+        for at in range(0, len(q), MEASURED):
+            self._keep(q[at:at + MEASURED], ids, x, r[at:at + MEASURED])
+
+    def _keep(self, q: np.ndarray, ids: np.ndarray, x: np.ndarray, r: np.ndarray) -> None:
+        other = self.id[q] != ids[r]
+        q, r = q[other], r[other]
+        dist = np.sqrt(((self.x[q] - x[r]) ** 2).sum(axis=1))
+        near = dist <= self.kth[q]
+        if not near.any():
+            return
+        fresh = pd.DataFrame({"q": q[near], "dist": dist[near], "nbr_id": ids[r[near]]})
+        # Only the rows that found someone are ranked again.
+        hit = np.zeros(len(self.id), bool)
+        hit[fresh["q"]] = True
+        again = hit[self.best["q"].to_numpy()]
+        now = pd.concat([self.best[again], fresh]).sort_values(["q", "dist", "nbr_id"], kind="stable").groupby("q").head(self.k)
+        nth = now.groupby("q").cumcount().to_numpy() == self.k - 1
+        self.kth[now["q"].to_numpy()[nth]] = now["dist"].to_numpy()[nth]
+        self.best = pd.concat([self.best[~again], now], ignore_index=True)
 
     def result(self) -> pd.DataFrame:
+        self.best = self.best.sort_values(["q", "dist", "nbr_id"], kind="stable")
         return pd.DataFrame({"specimen_id": self.id[self.best["q"]], "rank": self.best.groupby("q").cumcount().to_numpy() + 1,
                              "nbr_id": self.best["nbr_id"].to_numpy(), "dist": self.best["dist"].to_numpy()})
 
@@ -109,7 +139,7 @@ def knn_graph(features: DataFrame, k: int | None = None, pivots: int | None = No
     shape = {r["cell"]: (r["n"], r["far"]) for r in celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}
     cells = np.array([c for c in tree.order if c in shape])  # at most one per pivot, branch by branch
     count, radius = np.array([shape[c][0] for c in cells]), np.array([shape[c][1] for c in cells]) * (1 + 1e-9)
-    size = min(block_rows, max(1, -(-n // LEAST_BLOCKS)))
+    size = min(block_rows, max(LEAST_ROWS, -(-n // LEAST_BLOCKS)))
     first = (np.cumsum(count) - count) // size
     last = (np.cumsum(count) - 1) // size
     centres = tree.centres[cells]

@@ -345,3 +345,28 @@ def test_samples_of_all_faces_and_too_few(bumpy):
         assert sorted(r["face_id"] for r in chosen.collect()) == list(range(40))
     with pytest.raises(ValueError):
         graph.sample_faces(measures, edges, comp, 2)
+
+
+def test_nearest_rows_rank_again_only_where_someone_came_near(monkeypatch):
+    """Rows come in small parts; equal rows, ties and the row itself among them. Each part once ranked all rows of the block anew."""
+    rng = np.random.default_rng(7)
+    x = np.vstack([rng.normal(size=(300, 4)), np.ones((40, 4)), rng.integers(0, 2, (60, 4))])
+    ids = rng.permutation(len(x))
+    monkeypatch.setattr(neighbors, "PAIRS", 64 * 200)
+    monkeypatch.setattr(neighbors, "SLICE", 37, raising=False)
+    now = neighbors.Nearest(6)
+    now.hold(ids[:200], x[:200])
+    now.start()
+    for at in range(0, len(x), 90):
+        now.meet(ids[at:at + 90], x[at:at + 90])
+    got = now.result()
+    d = np.sqrt(((x[:200, None] - x[None]) ** 2).sum(axis=2))
+    for i in range(200):
+        want = sorted((d[i, j], ids[j]) for j in range(len(x)) if j != i)[:6]
+        mine = got[got["specimen_id"] == ids[i]].sort_values("rank")
+        assert list(mine["nbr_id"]) == [w[1] for w in want] and np.allclose(mine["dist"], [w[0] for w in want])
+    # A part that comes near to one row has only that row's neighbours ranked.
+    ranked, keep = [], neighbors.pd.DataFrame.sort_values
+    monkeypatch.setattr(neighbors.pd.DataFrame, "sort_values", lambda df, *a, **kw: ranked.append(len(df)) or keep(df, *a, **kw))
+    now.meet(np.arange(1000, 1100), np.vstack([x[:1] + 1e-3, np.full((99, 4), 1e6)]))
+    assert 0 < sum(ranked) < 200
