@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from surfpop.functions import geometry as g
 from surfpop.functions import names
 from surfpop.operators import mesh as m
-from surfpop.session import block_digest, shuffled
+from surfpop.session import block_digest, row_parts, shuffled
 
 # Fixed value: a triangle is degenerate below 32 float64 spacings of its edge lengths' product.
 DEGENERATE = 32 * g.EPS
+REF_FACES = 150_000  # faces whose corners one task sorts
 RANK_TOLERANCE = 1e-12
 
 
@@ -31,7 +32,10 @@ def finite_violations(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def bad_face_refs(faces: DataFrame, vertices: DataFrame) -> DataFrame:
-    return m.face_corners(faces).join(shuffled(vertices), ["mesh_id", "vertex_id"], "left_anti")
+    """Corners without their vertex; both sides are dealt by the number of faces, so a task sorts a bounded share."""
+    parts, on = row_parts(faces, REF_FACES), ["mesh_id", "vertex_id"]
+    known = vertices.select(*on).repartition(parts, *on)
+    return m.face_corners(faces).repartition(parts, *on).join(shuffled(known), on, "left_anti")
 
 
 def collapsed_faces(faces: DataFrame) -> DataFrame:

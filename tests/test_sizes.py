@@ -4,7 +4,10 @@ import itertools
 
 import numpy as np
 
-from surfpop.operators import texture
+from catalog import fixtures as fx
+from surfpop.operators import checks, texture
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_padding_in_bands_equals_whole_images(spark, capsys, monkeypatch):
@@ -32,3 +35,11 @@ def test_padding_in_bands_equals_whole_images(spark, capsys, monkeypatch):
         want |= fresh
     got = [tuple(r) for r in out.collect()]
     assert len(got) == len(want) and {r[:3]: r[3:] for r in got} == want
+
+
+def test_corners_are_dealt_by_the_number_of_faces(spark, monkeypatch):
+    monkeypatch.setattr(checks, "REF_FACES", 100)
+    own = fx.mesh(spark, SF, uv=False)
+    out = checks.bad_face_refs(own.faces, own.vertices.filter("vertex_id <> 5"))
+    assert out.rdd.getNumPartitions() == -(-own.faces.count() // 100)
+    assert {r["vertex_id"] for r in out.collect()} == {5}
