@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 
 from catalog import fixtures as fx
-from surfpop.operators import checks, texture
+from surfpop.operators import checks, region, texture
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +43,17 @@ def test_corners_are_dealt_by_the_number_of_faces(spark, monkeypatch):
     out = checks.bad_face_refs(own.faces, own.vertices.filter("vertex_id <> 5"))
     assert out.rdd.getNumPartitions() == -(-own.faces.count() // 100)
     assert {r["vertex_id"] for r in out.collect()} == {5}
+
+
+def test_hull_of_a_curve_is_compiled(spark, capsys, monkeypatch):
+    """Few corners are plain columns; with many, as an array, the same vertices are inside."""
+    own = fx.vertices(spark, SF)
+    curve = np.array([[2.0, 2.1, 0.4], [8.2, 1.7, 0.5], [9.1, 8.3, 0.45], [5.0, 9.6, 0.6], [1.6, 7.2, 0.5]])
+    plain = region.inside_hull(own, *region.curve_plane(curve))
+    capsys.readouterr()
+    plain.explain()
+    assert "lambdafunction" not in capsys.readouterr().out
+    monkeypatch.setattr(region, "MAX_PLAIN", 0)
+    array = region.inside_hull(own, *region.curve_plane(curve))
+    rows = sorted(map(tuple, plain.collect()))
+    assert rows == sorted(map(tuple, array.collect())) and 0 < sum(r[-1] for r in rows) < len(rows)
