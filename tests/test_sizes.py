@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 
 from catalog import fixtures as fx
-from surfpop.operators import checks, region, texture
+from surfpop.operators import align, checks, region, texture
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +57,19 @@ def test_hull_of_a_curve_is_compiled(spark, capsys, monkeypatch):
     array = region.inside_hull(own, *region.curve_plane(curve))
     rows = sorted(map(tuple, plain.collect()))
     assert rows == sorted(map(tuple, array.collect())) and 0 < sum(r[-1] for r in rows) < len(rows)
+
+
+def test_landmarks_meet_their_labels_and_splines_by_shuffle(spark, capsys):
+    """Labels of all specimens are no small table, and the nodes of a spline travel once to a specimen's landmarks."""
+    marks = fx.landmarks(spark, SF)
+    for target, on in ((align.mean_landmarks(marks), ["label"]), (marks, ["specimen_id", "label"])):
+        capsys.readouterr()
+        align.label_gaps(marks, target, on).explain()
+        text = capsys.readouterr().out
+        assert "LeftAnti" in text and "Broadcast" not in text
+    coef = spark.createDataFrame([(1, [0.0] * 3, 1.0, [[0.0] * 6], [0.0] * 12)],
+                                 "specimen_id long, centre array<double>, size double, nodes array<array<double>>, affine array<double>")
+    capsys.readouterr()
+    align.apply_spline(marks, coef, "ord").explain()
+    text = capsys.readouterr().out
+    assert "[0]" in text and "14, 15]" not in text
