@@ -167,7 +167,7 @@ def j8(spark, sf):
 @query("c3_process_colors", k.with_(fx.SAMPLES_SQL, k.lab_cte("fx_samples", "lab"), k.moments_cte("lab", "mom"), k.normalized_cte("lab", "nrm", "mom"), k.rgb_cte("nrm", "out")) + f"""
 select specimen_id, sample_id, valid, {LABS}, case when valid then {R('dr')} else 0 end as r, case when valid then {R('dg')} else 0 end as g, case when valid then {R('db')} else 0 end as b from out""")
 def c3(spark, sf):
-    s = fx.samples(spark, sf)
+    s = cut(fx.samples(spark, sf))  # read by the statistics, their checks and the colours
     done, _ = colors.process_colors(s, colors.normalization_stats(s))
     return _labs(done, *[r6(F.col(f"d{c}")).alias(c) for c in "rgb"])
 

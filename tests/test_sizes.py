@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 
+import __spark_entry__ as entry
 from catalog import fixtures as fx
 from surfpop.operators import align, checks, region, texture
 
@@ -73,3 +74,11 @@ def test_landmarks_meet_their_labels_and_splines_by_shuffle(spark, capsys):
     align.apply_spline(marks, coef, "ord").explain()
     text = capsys.readouterr().out
     assert "[0]" in text and "14, 15]" not in text
+
+
+def test_processed_colours_are_read_once_made(spark, capsys):
+    """Statistics, their checks and the colours share one grouping of the order lines."""
+    out = entry.queries()["c3_process_colors"](spark, SF)
+    capsys.readouterr()
+    out.explain()
+    assert "lineitem" not in capsys.readouterr().out
