@@ -11,14 +11,21 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from surfpop.functions import geometry as g
-from surfpop.session import cut, shuffled, spread_join
+from surfpop.session import cut, shuffled, spread_join, wide_parts
 
 FAN = 16
 SALTS = 16
+# Queries that meet the vertices of one block in one place, those of all blocks in one task, and distances held at a time.
+PLACE_ROWS = 1 << 16
+TASK_ROWS = 1 << 19
+DISTANCES = 1 << 20
 # A box may be dropped only when it is farther than the bound by more than rounding.
 SLACK = 1.0 + 1e-9
 
@@ -105,8 +112,8 @@ def _sum_squares(values):
     return reduce(lambda p, q: p + q, [v * v for v in values])
 
 
-def _walk(points: DataFrame, tree: PackedBoxes) -> DataFrame:
-    """(points columns, _q, _node): the lowest boxes that may hold the nearest item.
+def _walk(points: DataFrame, tree: PackedBoxes, down_to: int = 1) -> DataFrame:
+    """(points columns, _q, _best, _node): the boxes of level ``down_to`` that may hold the nearest item, 1 the lowest.
 
     Boxes travel as arrays of at most FAN, so a level costs one row per kept parent.
     ``_q`` names a query in one column. Pruning groups by it alone, so Spark reshuffles by
@@ -134,7 +141,7 @@ def _walk(points: DataFrame, tree: PackedBoxes) -> DataFrame:
     state = points.withColumn("_q", F.struct("mesh_id", "query_id"))
     state = score(spread_join(state, tree.top, ["mesh_id"], ["_q"], SALTS, heavy=True))
     state = keep(state.select(*query, "_q", "_s", nearest.alias("_best")))
-    for level in range(tree.depth - 1, 0, -1):
+    for level in range(tree.depth - 1, down_to - 1, -1):
         state = score(state.withColumnRenamed("_node", "_parent").join(shuffled(tree.levels[level]), ["mesh_id", "_parent"]))
         state = keep(state.withColumn("_best", F.min(nearest).over(Window.partitionBy("_q"))))
     return state
@@ -165,14 +172,56 @@ def nearest_on_surface(points: DataFrame, tri: DataFrame) -> DataFrame:
     return best.select("_q.mesh_id", "_q.query_id", "s.face_id", "s.px", "s.py", "s.pz", "s.d2")
 
 
+def _nearest_in_block(points: pa.Table, vertices: pa.Table, names: list[str]) -> pa.Table:
+    """For every query the nearest vertex of a block, the smaller id on a tie."""
+    vertices = vertices.sort_by("vertex_id")
+    at = [[table[f"{tag}{n}"].to_numpy() for n in "xyz"] for table, tag in ((points, "q"), (vertices, ""))]
+    near, d2 = np.empty(points.num_rows, np.int64), np.empty(points.num_rows)
+    step = max(1, DISTANCES // max(1, vertices.num_rows))
+    for k in range(0, points.num_rows, step):
+        part = _sum_squares([v[None, :] - q[k:k + step, None] for q, v in zip(*at)])
+        near[k:k + step] = np.where(np.isnan(part), np.inf, part).argmin(axis=1)
+        d2[k:k + step] = part[np.arange(len(part)), near[k:k + step]]
+    return pa.table([points["mesh_id"], points["query_id"], vertices["vertex_id"].take(pa.array(near)), pa.array(d2)], names)
+
+
 def nearest_vertex(points: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Closest vertex of the query's own mesh: (mesh_id, query_id, vertex_id, d2)."""
+    """Closest vertex of the query's own mesh: (mesh_id, query_id, vertex_id, d2); the smaller vertex id wins a tie.
+
+    The walk ends at blocks of at most FAN * FAN vertices. A query is shuffled once to each block left open, its only one for a
+    mesh of no more vertices, and held against all of it there. A block is sent to as many places as its queries need;
+    only blocks that need several are listed, fewer than one for PLACE_ROWS queries.
+    """
+    points = points.dropna(subset=["mesh_id", *[f"q{n}" for n in "xyz"]])
     tree = PackedBoxes(vertices.select("mesh_id", "vertex_id", "x", "y", "z"), ("",), "vertex_id")
-    cand = _walk(points, tree).join(shuffled(tree.items), ["mesh_id", "_node"])
-    d2 = _sum_squares([F.col(n) - F.col(f"q{n}") for n in "xyz"])
-    near = _only(cand.select("_q", "_best", "vertex_id", d2.alias("d2")), F.col("d2") <= F.col("_best") * SLACK)
-    best = near.groupBy("_q").agg(F.min(F.struct("d2", "vertex_id")).alias("s"))
-    return best.select("_q.mesh_id", "_q.query_id", "s.vertex_id", "s.d2")
+    on, blocks = ["mesh_id"], tree.items.dropna(subset=["mesh_id", "x", "y", "z"])
+    if tree.depth > 1:
+        on = ["mesh_id", "_block"]
+        blocks = blocks.withColumn("_block", F.floor(F.col("_node") / FAN).cast("bigint"))
+        points = _walk(points, tree, down_to=2).withColumnRenamed("_node", "_block")
+    points, blocks = cut(points.select(*on, "query_id", "qx", "qy", "qz")), blocks.select(*on, "vertex_id", "x", "y", "z")
+    counts = cut(points.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")))
+    tasks = max(wide_parts(points.sparkSession), (counts.agg(F.sum("_n")).first()[0] or 0) // TASK_ROWS)
+    full = F.broadcast(counts.filter(F.col("_n") > PLACE_ROWS).select(*on, F.ceil(F.col("_n") / PLACE_ROWS).alias("_places")))
+    places = F.coalesce("_places", F.lit(1))
+
+    def dealt(df, place):
+        return df.join(full, on, "left").withColumn("_place", place).drop("_places").repartition(tasks, *on, "_place").groupBy(*on, "_place")
+
+    kinds = StructType([*[points.schema[n] for n in ("mesh_id", "query_id")], blocks.schema["vertex_id"], StructField("d2", DoubleType())])
+    names = kinds.names
+
+    def settle(points: pa.Table, vertices: pa.Table) -> pa.Table:
+        if not points.num_rows or not vertices.num_rows:
+            return pa.table({n: c.slice(0, 0) for n, c in zip(names, (points["mesh_id"], points["query_id"], vertices["vertex_id"], vertices["x"]))})
+        return _nearest_in_block(points, vertices, names)
+
+    near = dealt(points, F.pmod(F.xxhash64("query_id"), places)).cogroup(
+        dealt(blocks, F.explode(F.sequence(F.lit(0).cast("bigint"), places - 1)))).applyInArrow(settle, kinds)
+    if tree.depth == 1:
+        return near
+    best = near.groupBy("mesh_id", "query_id").agg(F.min(F.struct("d2", "vertex_id")).alias("s"))
+    return best.select("mesh_id", "query_id", "s.vertex_id", "s.d2")
 
 
 def _slab_hit(p, d, inverse, limit, b):

@@ -53,6 +53,34 @@ def test_nearest_on_surface_is_exact(scene):
         assert np.isclose(np.linalg.norm(np.array([row["px"], row["py"], row["pz"]]) - p), want, atol=1e-9)
 
 
+@pytest.mark.parametrize("sizes, levels", [((200, 3, 90), 1), ((700, 3, 90), 2), ((5000, 3, 90), 3)])
+def test_nearest_vertex_is_exact(spark, sizes, levels, monkeypatch):
+    """Grids with ties, a mesh without queries and one without vertices; queries of a mesh dealt over several places."""
+    monkeypatch.setattr(spatial, "PLACE_ROWS", 20)
+    monkeypatch.setattr(spatial, "DISTANCES", 1000)
+    rng = np.random.default_rng(8)
+    vertices = [(k, i, *map(float, rng.integers(0, 12, 3))) for k, n in enumerate(sizes) for i in rng.permutation(n).tolist()]
+    points = [(k % 2 if k % 9 else 7, k, *map(float, rng.integers(-3, 30, 3) / 2)) for k in range(150)]
+    points += [(0, None, 1.0, 2.0, 3.0), (0, 1000, None, 0.0, 0.0)]
+    kind = "mesh_id long, {} long, {}x double, {}y double, {}z double"
+    queries = spark.createDataFrame(points, kind.format("query_id", *["q"] * 3))
+    near = spatial.nearest_vertex(queries, spark.createDataFrame(vertices, kind.format("vertex_id", "", "", "")))
+    want = {(m, q, *min((sum((a - b) ** 2 for a, b in zip(v[2:], p)), v[1]) for v in vertices if v[0] == m)) for m, q, *p in points if m < 3 and None not in p}
+    got = near.select("mesh_id", "query_id", "d2", "vertex_id").collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+    assert spatial.PackedBoxes(spark.createDataFrame(vertices, kind.format("vertex_id", "", "", "")), ("",), "vertex_id").depth == levels
+
+
+def test_nearest_vertex_makes_no_row_per_box(spark):
+    """On meshes of a single block each query is shuffled once and gives one row; boxes and vertices were joined to it as rows before."""
+    vertices = spark.range(400).selectExpr("id % 2 as mesh_id", "id as vertex_id", "id % 7 as x", "id % 11 as y", "id % 13 as z").selectExpr("mesh_id", "vertex_id", *[f"cast({n} as double) {n}" for n in "xyz"])
+    queries = vertices.selectExpr("mesh_id", "vertex_id as query_id", "x + 0.2 as qx", "y as qy", "z as qz").selectExpr("mesh_id", "query_id", *[f"cast(q{n} as double) q{n}" for n in "xyz"])
+    near = spatial.nearest_vertex(queries, vertices)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "_boxes" not in plan and not any("Join" in line and "_node" in line for line in plan.splitlines())
+    assert near.count() == 400 and near.agg(F.max("d2")).first()[0] < 0.05
+
+
 def test_small_meshes_use_several_levels(spark, scene):
     _, tri, _, queries = scene
     assert spatial.PackedBoxes(tri, ("a", "b", "c"), "face_id").depth >= 2
