@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surfpop.functions import names
 from surfpop.operators import checks
+from surfpop.session import cut, wide_parts
 from surfpop.sources import tables
 
 MARKUPS = (
@@ -108,7 +114,8 @@ def parse_landmarks(files: DataFrame, axes: str | None = None) -> tuple[DataFram
 
 
 def read_landmarks(spark: SparkSession, path: str, axes: str | None = None) -> DataFrame:
-    landmarks, problems = parse_landmarks(read_files(spark, path), axes)
+    # The two formats, both checks and the result would open every file anew. The planner makes a task of every few files.
+    landmarks, problems = parse_landmarks(cut(read_files(spark, path).coalesce(wide_parts(spark))), axes)
     checks.require_none(problems, "Invalid landmark file.")
     checks.require_none(checks.label_violations(landmarks), "Labels must be unique and nonempty.")
     return landmarks
@@ -129,6 +136,42 @@ def markups_text(landmarks: DataFrame) -> DataFrame:
     return landmarks.groupBy("specimen_id").agg(points.alias("points")).select("specimen_id", F.to_json(doc).alias("value"))
 
 
+def folder_of(specimen_id: str | None) -> str:
+    """The folder that ``partitionBy("specimen_id")`` makes of a value."""
+    name = re.sub(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""", lambda c: f"%{ord(c[0]):02X}", specimen_id or "")
+    return f"specimen_id={name or '__HIVE_DEFAULT_PARTITION__'}"
+
+
+def _files_writer(root: str) -> Callable:
+    def write(rows) -> None:
+        for row in rows:
+            folder = f"{root}/{folder_of(row['specimen_id'])}"
+            os.makedirs(folder, exist_ok=True)
+            part = f"{folder}/.{uuid.uuid4().hex}"  # renamed when whole, as a task may run twice
+            with open(part, "w", encoding="utf-8", newline="") as file:
+                file.write(row["value"] + "\n")
+            os.replace(part, f"{folder}/part-00000.txt")
+
+    return write
+
+
 def write_landmarks(landmarks: DataFrame, path: str, overwrite: bool = False) -> None:
-    """One Markups document per specimen under path/specimen_id=.../."""
-    tables.commit(landmarks.sparkSession, path, markups_text(landmarks).write.partitionBy("specimen_id").text, overwrite)
+    """One Markups document per specimen under path/specimen_id=.../.
+
+    A file costs its opening and not its bytes, so specimens are dealt over all tasks. In a shared folder the tasks write
+    the files themselves: Hadoop's writer starts two processes per file there to set its mode, and the driver would move each
+    folder. Other stores get Spark's writer, whose tasks move their own files (version 2 of the commit). Either way the
+    folder is renamed when all files are there.
+    """
+    spark = landmarks.sparkSession
+    text = markups_text(landmarks.repartition(wide_parts(spark), "specimen_id")).withColumn("specimen_id", F.col("specimen_id").cast("string"))
+
+    def write(staged: str) -> None:
+        root = tables.local_path(spark, staged)
+        if root is None:
+            text.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("specimen_id").text(staged)
+        else:
+            os.makedirs(root)
+            text.foreachPartition(_files_writer(root))
+
+    tables.commit(spark, path, write, overwrite)

@@ -17,6 +17,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def local_path(spark: SparkSession, path: str) -> str | None:
+    """The plain path of a folder in a file system that every task opens by itself, else nothing."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri()
+    return where.getPath() if where.getScheme() == "file" else None
+
+
 def commit(spark: SparkSession, path: str, write: Callable[[str], None], overwrite: bool = False) -> str:
     """Lets ``write`` fill a folder beside ``path`` and renames it when it is whole.
 

@@ -1,6 +1,7 @@
 """Files in and out, and the whole flow on a four-specimen folder."""
 
 import json
+import pathlib
 import struct
 import zlib
 
@@ -99,6 +100,29 @@ def test_landmark_formats(spark, tmp_path):
     assert sorted(map(tuple, landmarks.read_landmarks(spark, out).collect())) == rows
 
 
+def test_landmark_files_are_dealt_and_read_once(spark, tmp_path, monkeypatch):
+    """Folders are named as partitionBy names them, the files come from many tasks and are opened by one plan."""
+    ids = [f"s{i}" for i in range(40)] + ["a b", "é%/x", "q=1:?", 'he"y', "[z]^{", "\t", "x+y"]
+    df = spark.createDataFrame([(s, "p1", 0, 1.0, 2.0, 3.0) for s in ids], "specimen_id string, label string, ord long, x double, y double, z double")
+    out, other = tmp_path / "w", str(tmp_path / "other")
+    landmarks.write_landmarks(df, str(out))
+    landmarks.markups_text(df).write.partitionBy("specimen_id").text(other)
+    files = lambda at: {p.parent.name: p.read_bytes() for p in pathlib.Path(at).glob("*/part-*.txt")}
+    assert files(out) == files(other) and len(files(out)) == len(ids)
+    dealt = landmarks.cut
+    made = []
+    monkeypatch.setattr(landmarks, "cut", lambda rows: made.append(rows) or dealt(rows))
+    back = landmarks.read_landmarks(spark, str(out))
+    assert back.count() == len(ids) and len(made) == 1
+    assert not set(back.inputFiles()) & {f for f in made[0].inputFiles()}
+    monkeypatch.setattr(tables, "local_path", lambda *_: None)  # a store that tasks do not open by themselves
+    landmarks.write_landmarks(df, str(tmp_path / "far"))
+    assert files(tmp_path / "far") == files(out)
+    landmarks.write_landmarks(df.limit(0), str(tmp_path / "none"))
+    with pytest.raises(FileExistsError):
+        landmarks.write_landmarks(df, str(out))
+
+
 def test_undefined_point_is_an_error(spark, tmp_path):
     doc = {"markups": [{"controlPoints": [{"label": "p", "position": [0, 0, 0], "positionStatus": "undefined"}]}]}
     (tmp_path / "a.json").write_text(json.dumps(doc))
