@@ -16,15 +16,14 @@ from __future__ import annotations
 
 import heapq
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surfpop.operators.spatial import morton
-from surfpop.session import cut, number_rows, shuffled
+from surfpop.session import by_row, cut, number_rows, shuffled, spread_join
 
 PATCH = 32768
 MAX_ROUNDS = 10000
@@ -37,17 +36,17 @@ INF = float("inf")
 class Patch:
     """Faces with their ways inside the patch and out of it, their distances and owners, and the searches under way."""
 
-    def __init__(self, faces: list[int], edges: list):
+    def __init__(self, faces: list[int], edges: Iterable[tuple[int, int, int, float]]):
         self.faces = sorted(faces)
         self.at = {f: i for i, f in enumerate(self.faces)}
         self.ways = [[] for _ in self.faces]
         self.exits = [[] for _ in self.faces]
-        for e in edges:
-            i, j = self.at[e["face_id"]], self.at.get(e["nbr_id"])
+        for face, nbr, nbr_patch, w in edges:
+            i, j = self.at[face], self.at.get(nbr)
             if j is None:
-                self.exits[i].append((e["nbr_id"], e["nbr_patch"], e["w"]))
+                self.exits[i].append((nbr, nbr_patch, w))
             else:
-                self.ways[i].append((j, e["w"]))
+                self.ways[i].append((j, w))
         self.dist = [INF] * len(self.faces)
         self.owner = [-1] * len(self.faces)
         self.seen: dict[int, dict[int, float]] = {}
@@ -159,43 +158,35 @@ def patches(measures: DataFrame, edges: DataFrame, size: int = PATCH) -> DataFra
     """(mesh_id, patch, patches, data): the faces of every mesh in packed patches of ``size`` faces that lie together."""
     box = measures.groupBy("mesh_id").agg(*[fn(f"c{n}").alias(f"{tag}{n}") for n in "xyz" for tag, fn in (("lo", F.min), ("hi", F.max))])
     unit = [(F.col(f"c{n}") - F.col(f"lo{n}")) / F.when(F.col(f"hi{n}") > F.col(f"lo{n}"), F.col(f"hi{n}") - F.col(f"lo{n}")).otherwise(1.0) for n in "xyz"]
-    curve = measures.join(box, "mesh_id").select("mesh_id", "face_id", morton(*unit, (0.0,) * 3, (1.0,) * 3).alias("_code"))
+    curve = spread_join(measures, box, ["mesh_id"], ["face_id"]).select("mesh_id", "face_id", morton(*unit, (0.0,) * 3, (1.0,) * 3).alias("_code"))
     curve = curve.withColumn("_block", F.shiftright("_code", 48))
     placed = cut(number_rows(curve, ["mesh_id"], "_block", ["_code", "face_id"], "place").select(
         "mesh_id", "face_id", F.floor(F.col("place") / size).cast("bigint").alias("patch")))
     there = placed.select("mesh_id", F.col("face_id").alias("nbr_id"), F.col("patch").alias("nbr_patch"))
     ways = edges.join(shuffled(placed), ["mesh_id", "face_id"]).join(shuffled(there), ["mesh_id", "nbr_id"]).groupBy("mesh_id", "patch").agg(
-        F.collect_list(F.struct("face_id", "nbr_id", "nbr_patch", "w")).alias("_edges"))
+        F.collect_list(F.struct("face_id", "nbr_id", "nbr_patch", "w")).alias("_edges")
+    ).select("mesh_id", "patch", *[F.col(f"_edges.{n}").alias(f"_{n}") for n in ("face_id", "nbr_id", "nbr_patch", "w")])
     held = placed.groupBy("mesh_id", "patch").agg(F.collect_list("face_id").alias("_faces"))
     total = placed.groupBy("mesh_id").agg((F.max("patch") + 1).alias("patches"))
-    kind = measures.schema["mesh_id"].dataType.simpleString()
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            data = [Patch(list(f), [] if e is None else list(e)).dump() for f, e in zip(b["_faces"], b["_edges"])]
-            yield pd.DataFrame({"mesh_id": b["mesh_id"], "patch": b["patch"], "patches": b["patches"], "data": data})
+    def pack(row: dict):
+        edges = zip(*[row[n] or [] for n in ("_face_id", "_nbr_id", "_nbr_patch", "_w")])
+        yield row["mesh_id"], row["patch"], row["patches"], Patch(row["_faces"], edges).dump()
 
-    return cut(held.join(shuffled(ways), ["mesh_id", "patch"], "left").join(total, "mesh_id").mapInPandas(
-        pack, f"mesh_id {kind}, patch bigint, patches bigint, data binary"))
-
-
-OUT = ["mesh_id", "patch", "what", "name", "face", "d", "radius", "data", "patches"]
+    return cut(by_row(held.join(shuffled(ways), ["mesh_id", "patch"], "left").join(shuffled(total), "mesh_id"), pack,
+                      "mesh_id key, patch bigint, patches bigint, data binary"))
 
 
 def _run(rows: DataFrame, work) -> DataFrame:
     """``work(patch, row)`` on every patch row, giving (what, patch, name, face, d, radius) rows; the patches come back as rows ``patch``."""
-    kind = rows.schema["mesh_id"].dataType.simpleString()
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for row in b.to_dict("records"):
-                patch = Patch.load(row["data"])
-                out += [(row["mesh_id"], to, what, name, face, d, radius, None, None) for what, to, name, face, d, radius in work(patch, row)]
-                out.append((row["mesh_id"], row["patch"], "patch", None, None, None, None, patch.dump(), row["patches"]))
-            yield pd.DataFrame(out, columns=OUT)
+    def step(row: dict):
+        patch = Patch.load(row["data"])
+        for what, to, name, face, d, radius in work(patch, row):
+            yield row["mesh_id"], to, what, name, face, d, radius, None, None
+        yield row["mesh_id"], row["patch"], "patch", None, None, None, None, patch.dump(), row["patches"]
 
-    return cut(rows.mapInPandas(each, f"mesh_id {kind}, patch bigint, what string, name bigint, face bigint, d double, radius double, data binary, patches bigint"))
+    return cut(by_row(rows, step, "mesh_id key, patch bigint, what string, name bigint, face bigint, d double, radius double, data binary, patches bigint"))
 
 
 def _state(out: DataFrame) -> DataFrame:
@@ -228,7 +219,7 @@ def nearest(state: DataFrame, seeds: DataFrame) -> DataFrame:
     def offers(patch: Patch, got: list):
         return [("offer", to, owner, face, d, None) for to, owner, face, d in patch.settle(got)]
 
-    here = state.select("mesh_id", "patch", "data").mapInPandas(_faces_of, f"mesh_id {state.schema['mesh_id'].dataType.simpleString()}, patch bigint, face_id bigint")
+    here = by_row(state.select("mesh_id", "patch", "data"), _faces_of, "mesh_id key, patch bigint, face_id bigint")
     mine = seeds.join(shuffled(here), ["mesh_id", "face_id"]).groupBy("mesh_id", "patch").agg(F.collect_list(F.struct("sample_id", "face_id")).alias("seeds"))
     out = _run(state.join(shuffled(mine), ["mesh_id", "patch"], "left"), start)
     for out in _exchange(out, lambda patch, inbox: offers(patch, [(m["d"], m["name"], m["face"]) for m in inbox])):
@@ -236,25 +227,21 @@ def nearest(state: DataFrame, seeds: DataFrame) -> DataFrame:
     return _state(out)
 
 
-def _faces_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        for mesh_id, patch, data in zip(b["mesh_id"], b["patch"], b["data"]):
-            faces = Patch.load(data).faces
-            yield pd.DataFrame({"mesh_id": [mesh_id] * len(faces), "patch": patch, "face_id": faces})
+def _faces_of(row: dict) -> Iterator[tuple]:
+    for face in Patch.load(row["data"]).faces:
+        yield row["mesh_id"], row["patch"], face
 
 
 def owners_of(state: DataFrame) -> DataFrame:
     """(mesh_id, face_id, dist, sample_id) of every face that a seed reaches."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for mesh_id, data in zip(b["mesh_id"], b["data"]):
-                p = Patch.load(data)
-                out = pd.DataFrame({"mesh_id": [mesh_id] * len(p.faces), "face_id": p.faces, "dist": p.dist, "sample_id": p.owner})
-                yield out[out["sample_id"] >= 0]
+    def reached(row: dict):
+        patch = Patch.load(row["data"])
+        for face, dist, owner in zip(patch.faces, patch.dist, patch.owner):
+            if owner >= 0:
+                yield row["mesh_id"], face, dist, owner
 
-    return state.select("mesh_id", "data").mapInPandas(
-        rows, f"mesh_id {state.schema['mesh_id'].dataType.simpleString()}, face_id bigint, dist double, sample_id bigint")
+    return by_row(state.select("mesh_id", "data"), reached, "mesh_id key, face_id bigint, dist double, sample_id bigint")
 
 
 def _searched(patch: Patch, wanted: list) -> list[tuple]:
@@ -285,17 +272,14 @@ def _go_on(patch: Patch, inbox: list) -> list[tuple]:
 
 def farthest_faces(state: DataFrame, seeds: DataFrame, count: int) -> DataFrame:
     """(mesh_id, sample_id, face_id): seeds(mesh_id, face_id, sample_id) and the faces added to them, up to ``count`` a mesh."""
-    kind = state.schema["mesh_id"].dataType.simpleString()
     state = nearest(state, seeds)
     have = cut(seeds.groupBy("mesh_id").agg(F.count(F.lit(1)).cast("bigint").alias("have")))
 
-    def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for mesh_id, data, n in zip(b["mesh_id"], b["data"], b["have"]):
-                rows = Patch.load(data).greedy(count - n)
-                yield pd.DataFrame({"mesh_id": [mesh_id] * len(rows), "face_id": [f for f, _ in rows], "dist": [d for _, d in rows]})
+    def alone(row: dict):
+        for face, dist in Patch.load(row["data"]).greedy(count - row["have"]):
+            yield row["mesh_id"], face, dist
 
-    added = cut(state.filter("patches = 1").join(have, "mesh_id").mapInPandas(alone, f"mesh_id {kind}, face_id bigint, dist double"))
+    added = cut(by_row(state.filter("patches = 1").join(shuffled(have), "mesh_id"), alone, "mesh_id key, face_id bigint, dist double"))
     wide = state.filter("patches > 1")
     least = wide.select("mesh_id").distinct().withColumn("least", F.lit(0.0))
     failed = wide.select("mesh_id", F.array(F.lit(0).cast("bigint")).alias("failed")).limit(0)
@@ -318,5 +302,5 @@ def farthest_faces(state: DataFrame, seeds: DataFrame, count: int) -> DataFrame:
     else:
         raise RuntimeError("Samples did not settle.")
     order = Window.partitionBy("mesh_id").orderBy(F.desc("dist"), "face_id")
-    ranked = added.withColumn("_k", F.row_number().over(order)).join(have, "mesh_id").withColumn("sample_id", F.col("have") + F.col("_k") - 1)
+    ranked = added.withColumn("_k", F.row_number().over(order)).join(shuffled(have), "mesh_id").withColumn("sample_id", F.col("have") + F.col("_k") - 1)
     return seeds.select("mesh_id", "sample_id", "face_id").unionByName(ranked.filter(F.col("sample_id") < count).select("mesh_id", "sample_id", "face_id"))

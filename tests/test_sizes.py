@@ -3,10 +3,12 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 
 import __spark_entry__ as entry
 from catalog import fixtures as fx
-from surfpop.operators import align, checks, region, texture
+from surfpop import session
+from surfpop.operators import align, checks, region, sampling, texture
 
 SF = "/root/testdata/sf0.001"
 
@@ -82,3 +84,46 @@ def test_processed_colours_are_read_once_made(spark, capsys):
     capsys.readouterr()
     out.explain()
     assert "lineitem" not in capsys.readouterr().out
+
+
+def test_rows_become_objects_one_by_one(spark, monkeypatch):
+    """A batch of whole meshes is not turned into Python objects at once, nor what they make."""
+    monkeypatch.setattr(session, "ROW_BYTES", 1000)
+    df, seen = spark.createDataFrame([], "mesh_id string, n long"), []
+
+    class Rows:
+        schema = df.schema
+        mapInArrow = staticmethod(lambda each, schema: (each, schema))
+
+    def work(row):
+        seen.append(row["n"])
+        yield row["mesh_id"], row["n"], b"x" * 400
+
+    each, schema = session.by_row(Rows, work, "mesh_id key, n bigint, data binary")
+    made = each(iter([pa.RecordBatch.from_pydict({"mesh_id": ["a"] * 9, "n": list(range(9))})]))
+    assert schema == "mesh_id string, n bigint, data binary"
+    assert next(made).num_rows == 2 and len(seen) == 2
+    assert sum(b.num_rows for b in made) == 7 and seen == list(range(9))
+
+
+def _cuts(module, capsys, monkeypatch):
+    """Plans of the tables that ``module`` writes."""
+    plans, keep = [], module.cut
+
+    def cut(df):
+        capsys.readouterr()
+        df.explain()
+        plans.append(capsys.readouterr().out)
+        return keep(df)
+
+    monkeypatch.setattr(module, "cut", cut)
+    return plans
+
+
+def test_patches_are_made_without_broadcasts_or_batches_of_meshes(spark, capsys, monkeypatch):
+    plans = _cuts(sampling, capsys, monkeypatch)
+    entry.queries()["g4_sample_faces"](spark, SF)
+    assert len(plans) > 4 and any("MapInArrow" in text for text in plans)
+    for text in plans:
+        assert "MapInPandas" not in text and "BroadcastHashJoin" not in text
+
