@@ -144,9 +144,9 @@ sp(mesh_id, face_id, dist) using key (mesh_id, face_id) as (
     left join recurring.sp r on r.mesh_id = e.mesh_id and r.face_id = e.nbr_id where r.dist is null or s.dist + e.w < r.dist group by 1, 2))
 select mesh_id, face_id, {R('dist')} as dist from sp""")
 def g5(spark, sf):
-    own, _, edges = _edges(spark, sf)
+    own, measures, edges = _edges(spark, sf)
     seeds = own.faces.filter(F.col("face_id").isin(0, 120, 241)).select("mesh_id", "face_id", F.floor(F.col("face_id") / 120).alias("sample_id"))
-    out = graph.nearest_sample(edges, seeds)
+    out = graph.nearest_sample(measures, edges, seeds)
     return out.select("mesh_id", "face_id", r6(F.col("dist")).alias("dist"))
 
 

@@ -98,43 +98,6 @@ def weighted_adjacency(adj: DataFrame, measures: DataFrame, vertices: DataFrame)
     )
 
 
-def relax(best: DataFrame, frontier: DataFrame, edges: DataFrame, max_rounds: int = 100000) -> DataFrame:
-    """Shortest distances from a frontier over ``edges``, starting from known ``best`` values.
-
-    Both hold (mesh_id, face_id, dist, sample_id). A face changes owner only for a
-    strictly smaller distance, or for an earlier sample at the same distance within
-    the running round, so earlier samples keep ties.
-    """
-    best, frontier = cut(best), cut(frontier)
-    for _ in range(max_rounds):
-        if frontier.isEmpty():
-            return best
-        reached = (
-            frontier.join(shuffled(edges), ["mesh_id", "face_id"])
-            .groupBy("mesh_id", "nbr_id")
-            .agg(F.min(F.struct((F.col("dist") + F.col("w")).alias("dist"), F.col("sample_id"))).alias("s"))
-            .select("mesh_id", F.col("nbr_id").alias("face_id"), F.col("s.dist").alias("dist"),
-                    F.col("s.sample_id").alias("sample_id"))
-        )
-        old = best.select("mesh_id", "face_id", F.col("dist").alias("od"), F.col("sample_id").alias("os"))
-        merged = cut(
-            reached.join(shuffled(old), ["mesh_id", "face_id"], "full_outer").select(
-                "mesh_id", "face_id", "od", "os", "dist", "sample_id",
-                (F.col("dist").isNotNull() & (
-                    F.col("od").isNull() | (F.col("dist") < F.col("od"))
-                    | ((F.col("dist") == F.col("od")) & (F.col("sample_id") < F.col("os")))
-                )).alias("better"),
-            )
-        )
-        frontier = merged.filter("better").select("mesh_id", "face_id", "dist", "sample_id")
-        best = merged.select(
-            "mesh_id", "face_id",
-            F.when(F.col("better"), F.col("dist")).otherwise(F.col("od")).alias("dist"),
-            F.when(F.col("better"), F.col("sample_id")).otherwise(F.col("os")).alias("sample_id"),
-        )
-    raise RuntimeError("Shortest paths did not settle.")
-
-
 def shortcuts(edges: DataFrame, doublings: int = 2, max_degree: int = 16) -> DataFrame:
     """Edges plus the shortest ways over up to 2**doublings edges.
 
@@ -154,10 +117,12 @@ def shortcuts(edges: DataFrame, doublings: int = 2, max_degree: int = 16) -> Dat
     return out.unionByName(plain)
 
 
-def nearest_sample(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Owner and graph distance of every reachable face from seeds(mesh_id, face_id, sample_id)."""
-    start = seeds.select("mesh_id", "face_id", F.lit(0.0).alias("dist"), "sample_id")
-    return relax(start, start, shortcuts(edges))
+def nearest_sample(measures: DataFrame, edges: DataFrame, seeds: DataFrame, patch: int = sampling.PATCH) -> DataFrame:
+    """Owner and graph distance of every reachable face from seeds(mesh_id, face_id, sample_id).
+
+    A patch of faces is searched in one step, so the rounds count the patches that a way crosses, not its faces (see ``sampling``).
+    """
+    return sampling.owners_of(sampling.nearest(sampling.patches(measures, edges, patch), seeds))
 
 
 def sample_faces(measures: DataFrame, edges: DataFrame, comp: DataFrame, count: int,

@@ -1,14 +1,17 @@
 """Tasks are counted by rows, and what travels does not grow faster than the input."""
 
+import heapq
 import itertools
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 import __spark_entry__ as entry
 from catalog import fixtures as fx
 from surfpop import session
-from surfpop.operators import align, checks, region, sampling, texture
+from surfpop.operators import align, checks, graph, region, sampling, texture
+from surfpop.operators import mesh as m
 
 SF = "/root/testdata/sf0.001"
 
@@ -127,3 +130,27 @@ def test_patches_are_made_without_broadcasts_or_batches_of_meshes(spark, capsys,
     for text in plans:
         assert "MapInPandas" not in text and "BroadcastHashJoin" not in text
 
+
+@pytest.mark.parametrize("patch,rounds", [(sampling.PATCH, 4), (60, 30)])
+def test_nearest_samples_take_rounds_by_patches(spark, capsys, monkeypatch, patch, rounds):
+    """A mesh of 242 faces in one patch is searched in one step; in several patches the ways are the same."""
+    own = fx.mesh(spark, SF, uv=False)
+    measures = session.cut(m.face_measures(own))
+    edges = session.cut(graph.weighted_adjacency(graph.adjacency(own.faces), measures, own.vertices))
+    seeds = own.faces.filter("face_id in (0, 120, 241)").selectExpr("mesh_id", "face_id", "face_id div 120 as sample_id")
+    plans = _cuts(sampling, capsys, monkeypatch)
+    got = {(r["mesh_id"], r["face_id"]): (r["sample_id"], r["dist"]) for r in graph.nearest_sample(measures, edges, seeds, patch).collect()}
+    assert len(plans) <= rounds and len(got) == own.faces.count()
+    ways = {}
+    for r in edges.collect():
+        ways.setdefault((r["mesh_id"], r["face_id"]), []).append(((r["mesh_id"], r["nbr_id"]), r["w"]))
+    want, heap = {}, [(0.0, r["sample_id"], (r["mesh_id"], r["face_id"])) for r in seeds.collect()]
+    heapq.heapify(heap)
+    while heap:
+        d, owner, face = heapq.heappop(heap)
+        if face not in want:
+            want[face] = owner, d
+            for nbr, w in ways.get(face, []):
+                heapq.heappush(heap, (d + w, owner, nbr))
+    assert got == want
+
