@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as entry
 from catalog import fixtures as fx
 from surfpop import session
-from surfpop.operators import align, checks, graph, region, sampling, texture
+from surfpop.operators import align, checks, graph, region, sampling, texture, weld
 from surfpop.operators import mesh as m
 
 SF = "/root/testdata/sf0.001"
@@ -154,3 +154,14 @@ def test_nearest_samples_take_rounds_by_patches(spark, capsys, monkeypatch, patc
                 heapq.heappush(heap, (d + w, owner, nbr))
     assert got == want
 
+
+def test_welding_sends_no_points_through_the_driver(spark, capsys, monkeypatch):
+    """A start becomes 27 rows, many more than the bytes of the table that holds it."""
+    plans = _cuts(weld, capsys, monkeypatch)
+    map_ = weld.weld(fx.mesh(spark, SF, uv=False), 1.05)[1]
+    capsys.readouterr()
+    map_.explain()
+    plans.append(capsys.readouterr().out)
+    assert len(plans) > 6
+    for text in plans:
+        assert "BroadcastHashJoin" not in text
