@@ -323,13 +323,13 @@ ar as (select g.specimen_id, g.label, coalesce(sum(x.area), 0) as area from grid
 
 @query("a8_cluster_areas", AREAS + f" select specimen_id, label, {R('area')} as area from ar")
 def a8(spark, sf):
-    return features.cluster_areas(_shared_lab(spark, sf), fx.shared_samples(spark, sf), fx.SHARED_LABELS).withColumn("area", r6(F.col("area")))
+    return features.cluster_areas(_shared_lab(spark, sf), fx.shared_samples(spark, sf), fx.SHARED_LABELS, none="empty").withColumn("area", r6(F.col("area")))
 
 
 def _area_query(norm, divisor):
     @query(f"c9_area_features_{norm}", AREAS + f" select specimen_id, label as feature_id, 'cluster_' || label || '.area_{norm}' as feature_name, {R('area / ' + divisor)} as value from ar")
     def c9(spark, sf):
-        out = features.area_features(_shared_lab(spark, sf), fx.shared_samples(spark, sf), fx.SHARED_LABELS, norm)
+        out = features.area_features(_shared_lab(spark, sf), fx.shared_samples(spark, sf), fx.SHARED_LABELS, norm, none="empty")
         return out.withColumn("value", r6(F.col("value")))
 
 
@@ -344,17 +344,17 @@ from (select *, unnest([0, 1, 2]) as j from lab where sample_id in (select sampl
 
 @query("c8_color_features", COLOR_FEATURES)
 def c8(spark, sf):
-    return features.color_features(_shared_lab(spark, sf), fx.shared_samples(spark, sf), "drop").withColumn("value", r6(F.col("value")))
+    return features.color_features(_shared_lab(spark, sf), fx.shared_samples(spark, sf), "drop", none="empty").withColumn("value", r6(F.col("value")))
 
 
 @query("c10_population_features", COLOR_FEATURES)
 def c10(spark, sf):
-    return features.population_features(_shared_lab(spark, sf), fx.shared_samples(spark, sf), False, fx.SHARED_LABELS).withColumn("value", r6(F.col("value")))
+    return features.population_features(_shared_lab(spark, sf), fx.shared_samples(spark, sf), False, fx.SHARED_LABELS, none="empty").withColumn("value", r6(F.col("value")))
 
 
 @query("c10_population_features_areas", AREAS + f" select specimen_id, label as feature_id, 'cluster_' || label || '.area_l2' as feature_name, {R('area / sqrt(sum(area * area) over (partition by specimen_id))')} as value from ar")
 def c10b(spark, sf):
-    return features.population_features(_shared_lab(spark, sf), fx.shared_samples(spark, sf), True, fx.SHARED_LABELS).withColumn("value", r6(F.col("value")))
+    return features.population_features(_shared_lab(spark, sf), fx.shared_samples(spark, sf), True, fx.SHARED_LABELS, none="empty").withColumn("value", r6(F.col("value")))
 
 
 @query("c4_kmeans_by")

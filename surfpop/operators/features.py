@@ -19,11 +19,14 @@ def common_valid(colors: DataFrame) -> DataFrame:
     ).filter(F.col("ok") == total).select("sample_id")
 
 
-def _kept(processed: DataFrame, missing: str) -> DataFrame:
+def _kept(processed: DataFrame, missing: str, none: str) -> DataFrame:
+    """Rows of the common samples. Where there is none, ``none`` says whether that is an error or a table without rows."""
     if missing not in ("error", "drop"):
         raise ValueError("missing must be error or drop.")
+    if none not in ("error", "empty"):
+        raise ValueError("none must be error or empty.")
     common = common_valid(processed)
-    if common.isEmpty():
+    if none == "error" and common.isEmpty():
         raise ValueError("No sample has a valid colour in every specimen.")
     if missing == "error":
         checks.require_none(
@@ -33,9 +36,9 @@ def _kept(processed: DataFrame, missing: str) -> DataFrame:
     return processed.join(common, "sample_id", "left_semi")
 
 
-def color_features(processed: DataFrame, samples: DataFrame, missing: str = "error") -> DataFrame:
+def color_features(processed: DataFrame, samples: DataFrame, missing: str = "error", none: str = "error") -> DataFrame:
     """L, a, b of every common sample; feature ids follow sample order, then channel."""
-    kept = _kept(processed, missing).join(samples.select("sample_id", "face_id"), "sample_id")
+    kept = _kept(processed, missing, none).join(samples.select("sample_id", "face_id"), "sample_id")
     stacked = F.posexplode(F.array(*[
         F.struct(F.lit(c).alias("channel"), F.col(c).alias("value")) for c in CHANNELS
     ])).alias("k", "s")
@@ -45,9 +48,10 @@ def color_features(processed: DataFrame, samples: DataFrame, missing: str = "err
     )
 
 
-def cluster_areas(processed: DataFrame, samples: DataFrame, n_clusters: int, missing: str = "drop") -> DataFrame:
+def cluster_areas(processed: DataFrame, samples: DataFrame, n_clusters: int, missing: str = "drop",
+                  none: str = "error") -> DataFrame:
     """Represented area of every label in every specimen; unused labels count 0."""
-    kept = _kept(processed, missing).join(samples.select("sample_id", F.col("area").alias("_area")), "sample_id")
+    kept = _kept(processed, missing, none).join(samples.select("sample_id", F.col("area").alias("_area")), "sample_id")
     found = kept.groupBy("specimen_id", "label").agg(F.sum("_area").alias("area"))
     grid = kept.select("specimen_id").distinct().select(
         "specimen_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_clusters - 1).cast("bigint"))).alias("label")
@@ -58,11 +62,11 @@ def cluster_areas(processed: DataFrame, samples: DataFrame, n_clusters: int, mis
 
 
 def area_features(processed: DataFrame, samples: DataFrame, n_clusters: int, norm: str = "fraction",
-                  missing: str = "drop") -> DataFrame:
+                  missing: str = "drop", none: str = "error") -> DataFrame:
     """Cluster areas as features, normalised per specimen to sum 1, to length 1, or not."""
     if norm not in ("fraction", "l2", "none"):
         raise ValueError("norm must be fraction, l2 or none.")
-    areas = cluster_areas(processed, samples, n_clusters, missing)
+    areas = cluster_areas(processed, samples, n_clusters, missing, none)
     # At most 64 labels per specimen.
     lists = areas.groupBy("specimen_id").agg(
         F.collect_list(F.struct("label", "area")).alias("s"), F.sum("area").alias("total"),
@@ -75,8 +79,9 @@ def area_features(processed: DataFrame, samples: DataFrame, n_clusters: int, nor
     )
 
 
-def population_features(processed: DataFrame, samples: DataFrame, all_faces: bool, n_clusters: int | None) -> DataFrame:
+def population_features(processed: DataFrame, samples: DataFrame, all_faces: bool, n_clusters: int | None,
+                        none: str = "error") -> DataFrame:
     """Areas when every face was measured and clusters were matched, colours otherwise."""
     if all_faces and n_clusters is not None:
-        return area_features(processed, samples, n_clusters, norm="l2", missing="drop")
-    return color_features(processed, samples, missing="drop")
+        return area_features(processed, samples, n_clusters, norm="l2", missing="drop", none=none)
+    return color_features(processed, samples, missing="drop", none=none)
