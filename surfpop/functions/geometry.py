@@ -1,7 +1,8 @@
-"""Three-vector and triangle arithmetic as columns."""
+"""Three-vector and triangle arithmetic as columns; ``sub``, ``add``, ``scale``, ``dot`` and ``cross`` take arrays too."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,55 +83,26 @@ def barycentric(p: Vec, a: Vec, b: Vec, c: Vec) -> tuple[Column, Column, Column,
     return raw[0] / total, raw[1] / total, raw[2] / total, usable
 
 
-def with_closest_point(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Add px, py, pz: the point of triangle ax..cz nearest to qx..qz, edges and corners included.
+def closest_on_triangle(p, a, b, c) -> list[np.ndarray]:
+    """The point of a triangle nearest to p, edges and corners included, for arrays of points and triangles.
 
-    The seven Voronoi regions of the triangle decide. Shared terms are columns of their
-    own, computed once per row.
+    The seven Voronoi regions of the triangle decide.
     """
-    p, a, b, c = vec("q"), vec("a"), vec("b"), vec("c")
     ab, ac = sub(b, a), sub(c, a)
-    out = df.select(
-        *keep, *p, *a, *b, *c,
-        dot(ab, sub(p, a)).alias("d1"), dot(ac, sub(p, a)).alias("d2_"),
-        dot(ab, sub(p, b)).alias("d3"), dot(ac, sub(p, b)).alias("d4"),
-        dot(ab, sub(p, c)).alias("d5"), dot(ac, sub(p, c)).alias("d6"),
-    )
-    d1, d2, d3, d4, d5, d6 = (F.col(n) for n in ("d1", "d2_", "d3", "d4", "d5", "d6"))
-    out = out.select(
-        "*", (d1 * d4 - d3 * d2).alias("vc"), (d5 * d2 - d1 * d6).alias("vb"), (d3 * d6 - d5 * d4).alias("va")
-    )
-    va, vb, vc = F.col("va"), F.col("vb"), F.col("vc")
-    region = (
-        F.when((d1 <= 0.0) & (d2 <= 0.0), 1)
-        .when((d3 >= 0.0) & (d4 <= d3), 2)
-        .when((vc <= 0.0) & (d1 >= 0.0) & (d3 <= 0.0), 3)
-        .when((d6 >= 0.0) & (d5 <= d6), 4)
-        .when((vb <= 0.0) & (d2 >= 0.0) & (d6 <= 0.0), 5)
-        .when((va <= 0.0) & (d4 - d3 >= 0.0) & (d5 - d6 >= 0.0), 6)
-        .otherwise(7)
-    )
-    out = out.select("*", region.alias("region"))
-    k = F.col("region")
+    ap, bp, cp = sub(p, a), sub(p, b), sub(p, c)
+    d1, d2, d3, d4, d5, d6 = dot(ab, ap), dot(ac, ap), dot(ab, bp), dot(ac, bp), dot(ab, cp), dot(ac, cp)
+    vc, vb, va = d1 * d4 - d3 * d2, d5 * d2 - d1 * d6, d3 * d6 - d5 * d4
+    k = np.select([
+        (d1 <= 0.0) & (d2 <= 0.0), (d3 >= 0.0) & (d4 <= d3), (vc <= 0.0) & (d1 >= 0.0) & (d3 <= 0.0), (d6 >= 0.0) & (d5 <= d6),
+        (vb <= 0.0) & (d2 >= 0.0) & (d6 <= 0.0), (va <= 0.0) & (d4 - d3 >= 0.0) & (d5 - d6 >= 0.0)], range(1, 7), 7)
 
     def ratio(top, bottom):
-        return F.when(bottom != 0.0, top / bottom).otherwise(F.lit(0.0))
+        return np.divide(top, bottom, out=np.zeros_like(top), where=bottom != 0.0)
 
-    one, zero = F.lit(1.0), F.lit(0.0)
     t_bc = ratio(d4 - d3, (d4 - d3) + (d5 - d6))
-    wb = (
-        F.when(k == 2, one).when(k == 3, ratio(d1, d1 - d3)).when(k == 6, one - t_bc)
-        .when(k == 7, ratio(vb, va + vb + vc)).otherwise(zero)
-    )
-    wc = (
-        F.when(k == 4, one).when(k == 5, ratio(d2, d2 - d6)).when(k == 6, t_bc)
-        .when(k == 7, ratio(vc, va + vb + vc)).otherwise(zero)
-    )
-    out = out.select("*", wb.alias("wb"), wc.alias("wc"))
-    point = [
-        (a[i] + ab[i] * F.col("wb") + ac[i] * F.col("wc")).alias(f"p{n}") for i, n in enumerate("xyz")
-    ]
-    return out.select(*keep, *p, *point)
+    wb = np.select([k == 2, k == 3, k == 6, k == 7], [1.0, ratio(d1, d1 - d3), 1.0 - t_bc, ratio(vb, va + vb + vc)], 0.0)
+    wc = np.select([k == 4, k == 5, k == 6, k == 7], [1.0, ratio(d2, d2 - d6), t_bc, ratio(vc, va + vb + vc)], 0.0)
+    return [a[i] + ab[i] * wb + ac[i] * wc for i in range(3)]
 
 
 def segment_distance(p: tuple, a: tuple, b: tuple) -> Column:

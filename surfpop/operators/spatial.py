@@ -22,9 +22,10 @@ from surfpop.session import cut, shuffled, spread_join, wide_parts
 
 FAN = 16
 SALTS = 16
-# Queries that meet the vertices of one block in one place, those of all blocks in one task, and distances held at a time.
+# Queries that meet one block in one place, those of all blocks in one task, blocks with queries in one task, and distances held at a time.
 PLACE_ROWS = 1 << 16
 TASK_ROWS = 1 << 19
+TASK_BLOCKS = 1 << 10
 DISTANCES = 1 << 20
 # A box may be dropped only when it is farther than the bound by more than rounding.
 SLACK = 1.0 + 1e-9
@@ -147,10 +148,115 @@ def _walk(points: DataFrame, tree: PackedBoxes, down_to: int = 1) -> DataFrame:
     return state
 
 
-def _only(df: DataFrame, condition) -> DataFrame:
-    """Filter on computed columns where they are: the row number keeps the optimizer from
-    copying their expressions down into the join."""
-    return df.withColumn("_row", F.monotonically_increasing_id()).filter(condition & (F.col("_row") >= 0)).drop("_row")
+def _in_blocks(points: DataFrame, tree: PackedBoxes, items: list[str], settle, kinds: StructType) -> DataFrame:
+    """What ``settle`` makes of the queries of a block and its items, for points(mesh_id, _node, query_id, ...) that name their blocks.
+
+    Blocks are those of level 2, of at most FAN * FAN items, or whole meshes if no mesh holds more. A block and its queries are one
+    row each, so a query is shuffled once per block. A block of more than PLACE_ROWS queries is sent to as many places as they need;
+    only such blocks are listed. ``settle(points, items)`` gets arrays by name and gives arrays as ``kinds`` has them after mesh_id,
+    the first of them places in ``points``.
+    """
+    on = ["mesh_id", "_node"]
+    points = cut(points)
+    blocks = tree.items.withColumn("_box", F.col("_node")).withColumn(
+        "_node", F.floor(F.col("_box") / FAN).cast("bigint") if tree.depth > 1 else F.shiftright("_box", 62)).select(*on, "_box", *items)
+    counts = cut(points.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")))
+    total, largest, many = counts.agg(F.sum("_n"), F.max("_n"), F.count(F.lit(1))).first()
+    tasks = max(wide_parts(points.sparkSession), (total or 0) // TASK_ROWS, many // TASK_BLOCKS)
+    if (largest or 0) > PLACE_ROWS:
+        full = F.broadcast(counts.filter(F.col("_n") > PLACE_ROWS).select(*on, F.ceil(F.col("_n") / PLACE_ROWS).alias("_places")))
+        places = F.coalesce("_places", F.lit(1))
+        points = points.join(full, on, "left").withColumn("_place", F.pmod(F.xxhash64("query_id"), places)).drop("_places")
+        blocks = blocks.join(full, on, "left").withColumn("_place", F.explode(F.sequence(F.lit(0).cast("bigint"), places - 1))).drop("_places")
+        on = [*on, "_place"]
+
+    def packed(df, name):
+        return df.repartition(tasks, *on).groupBy(*on).agg(F.collect_list(F.struct(*[c for c in df.columns if c not in on])).alias(name))
+
+    def arrays(lists: pa.ListArray, k: int) -> dict[str, np.ndarray]:
+        rows = lists[k].values
+        return {rows.type.field(i).name: c.to_numpy(zero_copy_only=False) for i, c in enumerate(rows.flatten())}
+
+    names = kinds.names
+
+    def each(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                points, items = (arrays(b.column(name), k) for name in ("_points", "_items"))
+                at, *found = settle(points, items)
+                if len(at):
+                    ids = b.column("_points")[k].values.field("query_id").take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([b.column("mesh_id").take(pa.array(np.full(len(at), k))), ids, *map(pa.array, found)], names)
+
+    met = packed(points, "_points").join(shuffled(packed(blocks, "_items")), on)
+    return met.select("mesh_id", "_points", "_items").mapInArrow(each, kinds)
+
+
+class BlockBoxes:
+    """The boxes of a block: their bounds, and the items of each in id order, short rows filled up with their first."""
+
+    def __init__(self, items: dict[str, np.ndarray], corners: str, item_id: str):
+        xyz = np.array([[items[c + n] for n in "xyz"] for c in corners])
+        self.lo, self.hi = xyz.min(axis=0), xyz.max(axis=0)
+        order = np.lexsort((items[item_id], items["_box"]))
+        _, start, count = np.unique(items["_box"][order], return_index=True, return_counts=True)
+        width = np.arange(count.max())
+        self.items = order[start[:, None] + np.where(width < count[:, None], width, 0)]
+        self.box_lo, self.box_hi = self.lo[:, self.items].min(axis=2), self.hi[:, self.items].max(axis=2)
+
+
+def _least(at: np.ndarray, values: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Of the rows of every ``at`` the one of least value, the smaller id on a tie."""
+    order = np.lexsort((ids, values, at))
+    return order[np.r_[True, at[order][1:] != at[order][:-1]]] if len(order) else order
+
+
+def _gap2(q: list, lo, hi):
+    return _sum_squares([np.maximum(np.maximum(low - c, c - high), 0.0) for c, low, high in zip(q, lo, hi)])
+
+
+def _nearest_faces(points: dict[str, np.ndarray], faces: dict[str, np.ndarray]) -> tuple:
+    """For every query of a block its nearest face, the smaller id on a tie: (query, face_id, px, py, pz, d2)."""
+    boxes, found = BlockBoxes(faces, "abc", "face_id"), []
+    corners, ids = [[faces[c + n] for n in "xyz"] for c in "abc"], faces["face_id"]
+    rep = [corners[0][k][boxes.items[:, 0]] for k in range(3)]
+    step = max(1, DISTANCES // (2 * len(ids)))
+
+    def exact(at, q, rows, bound):
+        """Rows (place in ``at``, face, point, d2): the nearest of the faces ``rows`` of every entry of ``at`` that may lie within its bound."""
+        wide = [c[at][:, None] for c in q]
+        i, j = np.nonzero(~(_gap2(wide, boxes.lo[:, rows], boxes.hi[:, rows]) > bound[at][:, None]))
+        f = rows[i, j]
+        here = [c[at[i]] for c in q]
+        point = g.closest_on_triangle(here, *[[n[f] for n in c] for c in corners])
+        d2 = _sum_squares([p - c for p, c in zip(point, here)])
+        pick = _least(at[i], d2, ids[f])
+        return at[i][pick], f[pick], [p[pick] for p in point], d2[pick]
+
+    for k in range(0, len(points["qx"]), step):
+        q = [points[f"q{n}"][k:k + step] for n in "xyz"]
+        wide = [c[:, None] for c in q]
+        low = _gap2(wide, boxes.box_lo[:, None], boxes.box_hi[:, None])
+        best = _sum_squares([r[None] - c for r, c in zip(rep, wide)]).min(axis=1)
+        # Ways that differ by rounding alone are all taken exactly, so the smaller id wins as it does without boxes.
+        near = 1e-24 * _sum_squares(q)
+        first, every = low.argmin(axis=1), np.arange(len(q[0]))
+        one = exact(every, q, boxes.items[first], best * SLACK + near)
+        np.minimum.at(best, one[0], one[3])
+        bound = best * SLACK + near
+        more = ~(low > bound[:, None])
+        more[every, first] = False
+        at, box = np.nonzero(more)
+        two = exact(at, q, boxes.items[box], bound)
+        at, f, d2 = (np.r_[one[n], two[n]] for n in (0, 1, 3))
+        pick = _least(at, d2, ids[f])
+        found.append((at[pick] + k, ids[f[pick]], *[np.r_[p, r][pick] for p, r in zip(one[2], two[2])], d2[pick]))
+    return tuple(map(np.concatenate, zip(*found)))
+
+
+def _blocks_of(points: DataFrame, tree: PackedBoxes, walk) -> DataFrame:
+    """Points with the block in ``_node``: the only one, or those that ``walk`` leaves open."""
+    return walk() if tree.depth > 1 else points.withColumn("_node", F.lit(0).cast("bigint"))
 
 
 def nearest_on_surface(points: DataFrame, tri: DataFrame) -> DataFrame:
@@ -159,17 +265,17 @@ def nearest_on_surface(points: DataFrame, tri: DataFrame) -> DataFrame:
     ``points(mesh_id, query_id, qx, qy, qz)``, ``tri(mesh_id, face_id, ax..cz)`` ->
     (mesh_id, query_id, face_id, px, py, pz, d2); the smaller face id wins a tie.
     """
+    q, abc = ["qx", "qy", "qz"], [f"{c}{n}" for c in "abc" for n in "xyz"]
+    points = points.select("mesh_id", "query_id", *q).filter(" and ".join(f"{c} is not null" for c in q))
+    tri = tri.select("mesh_id", "face_id", *abc).filter(" and ".join(f"{c} is not null" for c in abc))
     tree = PackedBoxes(tri, ("a", "b", "c"), "face_id")
-    corner = lambda fn, n: fn(*[F.col(f"{c}{n}") for c in "abc"])
-    gap = [F.greatest(corner(F.least, n) - q, q - corner(F.greatest, n), F.lit(0.0)) for q, n in zip(g.vec("q"), "xyz")]
-    # The box around a triangle rules most of them out before the exact distance is taken.
-    cand = _walk(points, tree).join(shuffled(tree.items), ["mesh_id", "_node"]).withColumn("_gap", _sum_squares(gap))
-    cand = _only(cand, F.col("_gap") <= F.col("_best") * SLACK)
-    scored = g.with_closest_point(cand, ["_q", "_best", "face_id"])
-    d2 = _sum_squares([F.col(f"p{n}") - F.col(f"q{n}") for n in "xyz"])
-    # No bound here: on a corner the recomputed distance may exceed it by rounding, and the minimum settles it.
-    best = scored.select("_q", "face_id", *g.vec("p"), d2.alias("d2")).groupBy("_q").agg(F.min(F.struct(F.col("d2"), F.col("face_id"), *g.vec("p"))).alias("s"))
-    return best.select("_q.mesh_id", "_q.query_id", "s.face_id", "s.px", "s.py", "s.pz", "s.d2")
+    open_blocks = _blocks_of(points, tree, lambda: _walk(points, tree, down_to=2)).select("mesh_id", "_node", "query_id", *q)
+    kinds = StructType([points.schema["mesh_id"], points.schema["query_id"], tri.schema["face_id"], *[StructField(n, DoubleType()) for n in ("px", "py", "pz", "d2")]])
+    near = _in_blocks(open_blocks, tree, ["face_id", *abc], _nearest_faces, kinds)
+    if tree.depth == 1:
+        return near
+    best = near.groupBy("mesh_id", "query_id").agg(F.min(F.struct("d2", "face_id", "px", "py", "pz")).alias("s"))
+    return best.select("mesh_id", "query_id", "s.face_id", "s.px", "s.py", "s.pz", "s.d2")
 
 
 def _nearest_in_block(points: pa.Table, vertices: pa.Table, names: list[str]) -> pa.Table:
@@ -244,6 +350,9 @@ def ray_hits(rays: DataFrame, tri: DataFrame, max_dist: float = 0.0) -> DataFram
     ``rays(mesh_id, query_id, qx..qz, dx..dz)`` with unit directions. A hit must be nearer
     than ``max_dist``; 0 means no limit. Edges count as hit.
     """
+    abc, qd = [f"{c}{n}" for c in "abc" for n in "xyz"], [f"{c}{n}" for c in "qd" for n in "xyz"]
+    rays = rays.select("mesh_id", "query_id", *qd).filter(" and ".join(f"{c} is not null" for c in qd))
+    tri = tri.select("mesh_id", "face_id", *abc).filter(" and ".join(f"{c} is not null" for c in abc))
     tree = PackedBoxes(tri, ("a", "b", "c"), "face_id")
     p, d, inverse = g.vec("q"), g.vec("d"), g.vec("i")
     limit = F.lit(float(max_dist) if max_dist else float("inf"))
@@ -256,26 +365,53 @@ def ray_hits(rays: DataFrame, tri: DataFrame, max_dist: float = 0.0) -> DataFram
         met = F.filter("_boxes", lambda b: _slab_hit(p, d, inverse, limit, b))
         return df.select(*query, F.explode(F.transform(met, lambda b: b["_node"])).alias("_node"))
 
-    state = keep(spread_join(state, tree.top, ["mesh_id"], ["_q"], SALTS, heavy=True))
-    for level in range(tree.depth - 1, 0, -1):
-        state = keep(state.withColumnRenamed("_node", "_parent").join(shuffled(tree.levels[level]), ["mesh_id", "_parent"]))
-    cand = state.join(shuffled(tree.items), ["mesh_id", "_node"])
-    # The usual determinant test, one step per projection so that no term is computed twice.
-    a, b, c = g.vec("a"), g.vec("b"), g.vec("c")
-    base = ["_q", "face_id", *p, *d]
-    named = lambda vs, name: [v.alias(f"{name}{n}") for v, n in zip(vs, "xyz")]
-    out = cand.select(*base, *named(g.sub(b, a), "e"), *named(g.sub(c, a), "f"), *named(g.sub(p, a), "s"))
-    e1, e2, s = g.vec("e"), g.vec("f"), g.vec("s")
-    out = out.select("*", *named(g.cross(d, e2), "h"), *named(g.cross(s, e1), "k"))
-    h, q = g.vec("h"), g.vec("k")
-    out = out.select(*base, g.dot(e1, h).alias("det"), g.dot(s, h).alias("u"), g.dot(d, q).alias("v"), g.dot(e2, q).alias("t"))
-    det = F.nullif(F.col("det"), F.lit(0.0))
-    out = out.select(*base, *[(F.col(n) / det).alias(n) for n in "uvt"])
-    hit = (F.col("u") >= 0.0) & (F.col("v") >= 0.0) & (F.col("u") + F.col("v") <= 1.0) & (F.col("t") >= 0.0) & (F.col("t") < limit)
-    best = _only(out, hit).groupBy("_q").agg(
-        F.min(F.struct(F.col("t"), F.col("face_id"), *[(p[i] + d[i] * F.col("t")).alias(f"p{n}") for i, n in enumerate("xyz")])).alias("s")
-    )
-    return best.select("_q.mesh_id", "_q.query_id", "s.face_id", "s.t", "s.px", "s.py", "s.pz")
+    def walk():
+        left = keep(spread_join(state, tree.top, ["mesh_id"], ["_q"], SALTS, heavy=True))
+        for level in range(tree.depth - 1, 1, -1):
+            left = keep(left.withColumnRenamed("_node", "_parent").join(shuffled(tree.levels[level]), ["mesh_id", "_parent"]))
+        return left
+
+    open_blocks = _blocks_of(rays, tree, walk).select("mesh_id", "_node", "query_id", *qd)
+    kinds = StructType([rays.schema["mesh_id"], rays.schema["query_id"], tri.schema["face_id"], *[StructField(n, DoubleType()) for n in ("t", "px", "py", "pz")]])
+    far = float(max_dist) if max_dist else float("inf")
+    met = _in_blocks(open_blocks, tree, ["face_id", *abc], lambda rays, faces: _first_faces(rays, faces, far), kinds)
+    if tree.depth == 1:
+        return met
+    best = met.groupBy("mesh_id", "query_id").agg(F.min(F.struct("t", "face_id", "px", "py", "pz")).alias("s"))
+    return best.select("mesh_id", "query_id", "s.face_id", "s.t", "s.px", "s.py", "s.pz")
+
+
+def _first_faces(rays: dict[str, np.ndarray], faces: dict[str, np.ndarray], limit: float) -> tuple:
+    """For every ray that meets a face of a block its first, the smaller id on a tie: (ray, face_id, t, px, py, pz)."""
+    boxes, found = BlockBoxes(faces, "abc", "face_id"), []
+    a, b, c = ([faces[v + n] for n in "xyz"] for v in "abc")
+    e1, e2, ids = g.sub(b, a), g.sub(c, a), faces["face_id"]
+    step = max(1, DISTANCES // (2 * len(ids)))
+    with np.errstate(all="ignore"):
+        for k in range(0, len(rays["qx"]), step):
+            q, d = ([rays[tag + n][k:k + step] for n in "xyz"] for tag in "qd")
+            enter, leave, inside = 0.0, limit, True
+            for p, v, lo, hi in zip(q, d, boxes.box_lo, boxes.box_hi):
+                p, v = p[:, None], v[:, None]
+                pad = (np.abs(lo) + np.abs(hi) + np.abs(p)) * 1e-9
+                w = np.where(v != 0.0, 1.0 / v, np.nan)
+                t0, t1 = (lo - pad - p) * w, (hi + pad - p) * w
+                # fmax and fmin pass over the sides that a ray runs along.
+                enter, leave = np.fmax(enter, np.fmin(t0, t1)), np.fmin(leave, np.fmax(t0, t1))
+                inside = inside & ((v != 0.0) | ((p >= lo - pad) & (p <= hi + pad)))
+            at, box = np.nonzero(inside & (enter <= leave))
+            rows = boxes.items[box]
+            p, v = [n[at][:, None] for n in q], [n[at][:, None] for n in d]
+            e, f, s = [n[rows] for n in e1], [n[rows] for n in e2], [m - n[rows] for m, n in zip(p, a)]
+            h, r = g.cross(v, f), g.cross(s, e)
+            det = g.dot(e, h)
+            det = np.where(det != 0.0, det, np.nan)
+            u, w, t = g.dot(s, h) / det, g.dot(v, r) / det, g.dot(f, r) / det
+            i, j = np.nonzero((u >= 0.0) & (w >= 0.0) & (u + w <= 1.0) & (t >= 0.0) & (t < limit))
+            pick = _least(at[i], t[i, j], ids[rows[i, j]])
+            at, first, t = at[i][pick], ids[rows[i, j]][pick], t[i, j][pick]
+            found.append((at + k, first, t, *[p[at] + v[at] * t for p, v in zip(q, d)]))
+    return tuple(map(np.concatenate, zip(*found)))
 
 
 def axis_check(landmarks: DataFrame, tri: DataFrame, vertices: DataFrame) -> DataFrame:

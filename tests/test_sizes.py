@@ -10,7 +10,8 @@ import pytest
 import __spark_entry__ as entry
 from catalog import fixtures as fx
 from surfpop import session
-from surfpop.operators import align, checks, graph, region, sampling, texture, weld
+from surfpop.functions import geometry as g
+from surfpop.operators import align, checks, graph, region, sampling, spatial, texture, weld
 from surfpop.operators import mesh as m
 
 SF = "/root/testdata/sf0.001"
@@ -165,3 +166,45 @@ def test_welding_sends_no_points_through_the_driver(spark, capsys, monkeypatch):
     assert len(plans) > 6
     for text in plans:
         assert "BroadcastHashJoin" not in text
+
+
+@pytest.mark.parametrize("name", ["j3_nearest_on_surface", "j5_ray_hits"])
+def test_queries_make_no_row_per_box(spark, capsys, name):
+    capsys.readouterr()
+    entry.queries()[name](spark, SF).explain()
+    text = capsys.readouterr().out
+    assert "MapInArrow" in text and "Generate" not in text
+
+
+@pytest.mark.parametrize("fan,places", [(16, 1 << 16), (3, 10)])
+def test_surfaces_and_rays_in_blocks_are_exact(spark, monkeypatch, fan, places):
+    """Two meshes, one much larger; blocks of nine faces are cut from them, and their queries are dealt over places."""
+    monkeypatch.setattr(spatial, "FAN", fan)
+    monkeypatch.setattr(spatial, "PLACE_ROWS", places)
+    rng = np.random.default_rng(9)
+    corners = [tuple(map(float, rng.normal(size=3).repeat(3).reshape(3, 3).T.ravel() * 3 + rng.normal(size=9))) for _ in range(200)]
+    tri = [(int(i >= 190), i, *c) for i, c in enumerate(corners)] + [(0, 500, *corners[3])]
+    names = ["mesh_id", "face_id"] + [f"{c}{n}" for c in "abc" for n in "xyz"]
+    q = [(i % 2, i, *map(float, rng.normal(size=3) * 4)) for i in range(60)] + [(0, 60, *corners[3][:3]), (1, 61, float("nan"), 0.0, 0.0)]
+    queries, faces = spark.createDataFrame(q, ["mesh_id", "query_id", "qx", "qy", "qz"]), spark.createDataFrame(tri, names)
+    near = {r["query_id"]: r for r in spatial.nearest_on_surface(queries, faces).collect()}
+    assert len(near) == len(q) and near[60]["face_id"] == 3 and np.isnan(near[61]["d2"]) and near[61]["face_id"] == 190
+    down = queries.filter("query_id < 60").selectExpr("*", "0.0d as dx", "0.6d as dy", "-0.8d as dz")
+    first = {r["query_id"]: r for r in spatial.ray_hits(down, faces).collect()}
+    hits = {}
+    for mesh_id, i, *at in q[:60]:
+        own = [r for r in tri if r[0] == mesh_id]
+        a, b, c = ([np.array([r[2 + 3 * k + j] for r in own]) for j in range(3)] for k in range(3))
+        p = [np.full(len(own), v) for v in at]
+        point = g.closest_on_triangle(p, a, b, c)
+        d2 = (point[0] - p[0]) * (point[0] - p[0]) + (point[1] - p[1]) * (point[1] - p[1]) + (point[2] - p[2]) * (point[2] - p[2])
+        k = int(d2.argmin())
+        assert (near[i]["face_id"], near[i]["d2"], near[i]["px"]) == (own[k][1], d2[k], point[0][k])
+        e1, e2, s, d = g.sub(b, a), g.sub(c, a), g.sub(p, a), (0.0, 0.6, -0.8)
+        h, r = g.cross(d, e2), g.cross(s, e1)
+        det = g.dot(e1, h)
+        u, v, t = g.dot(s, h) / det, g.dot(d, r) / det, g.dot(e2, r) / det
+        t = np.where((u >= 0) & (v >= 0) & (u + v <= 1) & (t >= 0), t, np.inf)
+        if np.isfinite(t.min()):
+            hits[i] = own[int(t.argmin())][1], t.min()
+    assert 5 < len(hits) and {i: (r["face_id"], r["t"]) for i, r in first.items()} == hits
