@@ -15,7 +15,7 @@ from surfpop.functions import names
 from surfpop.operators import checks, graph, region
 from surfpop.operators import mesh as m
 from surfpop.plans import colors as plan
-from surfpop.session import cut, work_root
+from surfpop.session import cut, shuffled, work_root
 from surfpop.sources import discovery, landmarks, obj, tables
 
 NAMED = fx.FILES_SQL + r""",
@@ -488,7 +488,7 @@ def s8(spark, sf):
 @query("s8_write_obj_uv", k.with_(fx.MESH_SQL) + " select mesh_id, face_id, corner, a, b, c, u, v from fx_uv join fx_faces using (mesh_id, face_id)")
 def s8b(spark, sf):
     back = _written_mesh(spark, sf)
-    both = back.corner_uv.join(back.faces, ["mesh_id", "face_id"])
+    both = back.corner_uv.join(shuffled(back.faces), ["mesh_id", "face_id"])
     return both.withColumn("mesh_id", F.col("mesh_id").cast("bigint")).select("mesh_id", "face_id", "corner", "a", "b", "c", "u", "v")
 
 

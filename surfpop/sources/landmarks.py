@@ -136,10 +136,10 @@ def markups_text(landmarks: DataFrame) -> DataFrame:
     return landmarks.groupBy("specimen_id").agg(points.alias("points")).select("specimen_id", F.to_json(doc).alias("value"))
 
 
-def folder_of(specimen_id: str | None) -> str:
-    """The folder that ``partitionBy("specimen_id")`` makes of a value."""
-    name = re.sub(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""", lambda c: f"%{ord(c[0]):02X}", specimen_id or "")
-    return f"specimen_id={name or '__HIVE_DEFAULT_PARTITION__'}"
+def folder_of(value: str | None, column: str = "specimen_id") -> str:
+    """The folder that ``partitionBy(column)`` makes of a value."""
+    name = re.sub(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""", lambda c: f"%{ord(c[0]):02X}", value or "")
+    return f"{column}={name or '__HIVE_DEFAULT_PARTITION__'}"
 
 
 def _files_writer(root: str) -> Callable:

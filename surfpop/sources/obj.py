@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import itertools
+import os
+import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from surfpop.functions import names
 from surfpop.operators import checks
 from surfpop.operators.mesh import Mesh
-from surfpop.session import cut
+from surfpop.session import cut, shuffled, wide_parts
 from surfpop.sources import tables
+from surfpop.sources.landmarks import folder_of
 
 KINDS = ("v", "vt", "f")
 
@@ -41,13 +49,13 @@ def parse_obj(lines: DataFrame, axes: str = "RAS") -> tuple[Mesh, DataFrame]:
         raise ValueError("axes must be RAS or LPS.")
     body = F.trim(F.translate(F.element_at(F.split(F.regexp_replace("line", "^﻿", ""), "#"), 1), "\t\r\f", "   "))
     rec = lines.select("mesh_id", "block", "pos", F.split(body, " +").alias("f")).withColumn("kind", F.col("f")[0])
-    rec = rec.filter(F.col("kind").isin(*KINDS))
+    rec = cut(rec.filter(F.col("kind").isin(*KINDS)))  # counted and numbered: files would be opened and split into words anew
     here = Window.partitionBy("mesh_id", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("mesh_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rec.groupBy("mesh_id", "block").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in KINDS])
     offsets = offsets.select("mesh_id", "block", *[F.coalesce(F.sum(f"n_{k}").over(before), F.lit(0)).alias(f"o_{k}") for k in KINDS])
     rec = rec.select("*", *[F.count(F.when(F.col("kind") == k, 1)).over(here).alias(f"i_{k}") for k in KINDS])
-    rec = cut(rec.join(offsets, ["mesh_id", "block"]).select(
+    rec = cut(rec.join(shuffled(offsets), ["mesh_id", "block"]).select(
         "mesh_id", "f", "kind", *[(F.col(f"i_{k}") + F.col(f"o_{k}")).cast("bigint").alias(f"n_{k}") for k in KINDS]
     ))
 
@@ -94,14 +102,15 @@ def parse_obj(lines: DataFrame, axes: str = "RAS") -> tuple[Mesh, DataFrame]:
         .unionByName(mixed.filter("some AND NOT all").select("mesh_id", F.lit("texture coordinates on some corners only").alias("problem")))
     )
     uv = corner.filter("has_uv").select("mesh_id", "face_id", F.col("corner").cast("bigint").alias("corner"), "vt_id").join(
-        vt, ["mesh_id", "vt_id"]
+        shuffled(vt), ["mesh_id", "vt_id"]
     ).select("mesh_id", "face_id", "corner", "u", "v")
     return Mesh(v, per_face.select("mesh_id", "face_id", "a", "b", "c"), uv), problems
 
 
 def read_obj(spark: SparkSession, path: str, axes: str = "RAS") -> Mesh:
     """Mesh tables of every OBJ file under a path; a malformed file is an error."""
-    mesh, problems = parse_obj(read_lines(spark, path), axes)
+    # The planner makes a task of every few files.
+    mesh, problems = parse_obj(read_lines(spark, path).coalesce(wide_parts(spark)), axes)
     checks.require_none(problems, "Invalid OBJ.")
     return mesh
 
@@ -125,13 +134,43 @@ def obj_lines(mesh: Mesh) -> DataFrame:
     ))
 
 
+def _parts_writer(root: str) -> Callable:
+    """Writes rows(mesh_id, value) in their order, a part file for every mesh of a task; counts the files."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, part = f"part-{TaskContext.get().partitionId():05d}.txt", f".{uuid.uuid4().hex}"  # renamed when whole, as a task may run twice
+        rows = (row for b in batches for row in zip(b["mesh_id"].to_pylist(), b["value"].to_pylist()))
+        files = 0
+        for mesh_id, lines in itertools.groupby(rows, lambda row: row[0]):
+            folder = f"{root}/{folder_of(mesh_id, 'mesh_id')}"
+            os.makedirs(folder, exist_ok=True)
+            with open(f"{folder}/{part}", "w", encoding="utf-8", newline="") as file:
+                file.writelines(f"{line}\n" for _, line in lines)
+            os.replace(f"{folder}/{part}", f"{folder}/{name}")
+            files += 1
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], ["files"])
+
+    return write
+
+
 def write_obj(mesh: Mesh, path: str, overwrite: bool = False) -> None:
     """OBJ text under path/mesh_id=.../; ids must run from 0.
 
     Rows are range-partitioned in writing order: a small mesh is one part file, a large
-    one several whose names sort in order and whose concatenation is the OBJ file.
+    one several whose names sort in order and whose concatenation is the OBJ file. As with landmarks, the tasks write the
+    files of a shared folder themselves, and other stores get Spark's writer.
     """
     keyed = obj_lines(mesh).withColumn("mesh_id", F.coalesce(F.col("mesh_id").cast("string"), F.lit("")))
     order = ["mesh_id", "section", "k"]
     rows = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("mesh_id", "value")
-    tables.commit(rows.sparkSession, path, rows.write.partitionBy("mesh_id").text, overwrite)
+    spark = rows.sparkSession
+
+    def write(staged: str) -> None:
+        root = tables.local_path(spark, staged)
+        if root is None:
+            rows.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("mesh_id").text(staged)
+        else:
+            os.makedirs(root)
+            rows.mapInArrow(_parts_writer(root), "files bigint").write.format("noop").mode("overwrite").save()
+
+    tables.commit(spark, path, write, overwrite)

@@ -6,6 +6,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from catalog import fixtures as fx
@@ -13,6 +14,7 @@ from surfpop import session
 from surfpop.functions import geometry as g
 from surfpop.operators import align, checks, graph, region, sampling, spatial, texture, weld
 from surfpop.operators import mesh as m
+from surfpop.sources import obj
 
 SF = "/root/testdata/sf0.001"
 
@@ -208,3 +210,23 @@ def test_surfaces_and_rays_in_blocks_are_exact(spark, monkeypatch, fan, places):
         if np.isfinite(t.min()):
             hits[i] = own[int(t.argmin())][1], t.min()
     assert 5 < len(hits) and {i: (r["face_id"], r["t"]) for i, r in first.items()} == hits
+
+
+def test_obj_files_are_written_by_their_tasks_and_read_once(spark, capsys, monkeypatch, tmp_path):
+    """A mesh over several tasks is several part files in order; no writer of Spark's, and one table reads the files."""
+    monkeypatch.setattr(obj, "wide_parts", lambda spark: 3)
+    own = fx.mesh(spark, SF)
+    own = m.Mesh(own.vertices.withColumn("mesh_id", F.concat(F.lit("a b:"), "mesh_id")), own.faces.withColumn("mesh_id", F.concat(F.lit("a b:"), "mesh_id")))
+    obj.write_obj(own, f"{tmp_path}/out")
+    assert not list(tmp_path.glob("out/_SUCCESS")) and not list(tmp_path.glob("out/*/.part*.crc"))
+    folders = sorted(tmp_path.glob("out/mesh_id=*"))
+    assert len(folders) == 10 and folders[0].name.startswith("mesh_id=a b%3A")
+    for folder in folders:
+        lines = "".join(p.read_text() for p in sorted(folder.glob("part-*.txt"))).splitlines()
+        assert [l[0] for l in lines] == ["v"] * 144 + ["f"] * 242 and lines[0].startswith("v 0.0 0.0 ") and lines[144].startswith("f 1 13 14")
+    plans = _cuts(obj, capsys, monkeypatch)
+    assert obj.read_obj(spark, f"{tmp_path}/out").faces.count() == 2420
+    assert [("FileScan text" in text, "Coalesce 3" in text) for text in plans] == [(True, True), (False, False)]
+    capsys.readouterr()
+    entry.queries()["s8_write_obj_uv"](spark, SF).explain()
+    assert "BroadcastHashJoin" not in "".join(plans) + capsys.readouterr().out
