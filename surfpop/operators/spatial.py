@@ -158,6 +158,7 @@ def _in_blocks(points: DataFrame, tree: PackedBoxes, items: list[str], settle, k
     """
     on = ["mesh_id", "_node"]
     points = cut(points)
+    # A single block is 0 by its node: a literal would be folded out of the join.
     blocks = tree.items.withColumn("_box", F.col("_node")).withColumn(
         "_node", F.floor(F.col("_box") / FAN).cast("bigint") if tree.depth > 1 else F.shiftright("_box", 62)).select(*on, "_box", *items)
     counts = cut(points.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")))
